@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinscan.functions.kernels import text_ratios
+from twinscan.functions.text import strip
 from twinscan.functions.tokens import part_set
 
 # Weights, thresholds and limits of the two scores.
@@ -51,17 +52,12 @@ def type_similarity(types1: Column, types2: Column) -> Column:
     return _ratio(F.size(F.array_intersect(types1, types2)), F.size(F.array_union(types1, types2)))
 
 
-def fuzzy_jaccard(parts1: Column, parts2: Column) -> Column:
-    """Exact Jaccard, blended with the best near matches of the left parts that have no equal.
+def with_fuzzy_jaccard(df: DataFrame, name: str, parts1: Column, parts2: Column) -> DataFrame:
+    """Add exact Jaccard, blended with the best near matches of the left parts that have no equal.
 
     Not symmetric. Applied only when there are at most fifty unmatched combinations, so the inner
     arrays stay small; pairs beyond that keep the exact value.
     """
-    a, b = part_set(parts1), part_set(parts2)
-    exact = set_jaccard(a, b)
-    only1, only2 = F.array_except(a, b), F.array_except(b, a)
-    combos = F.size(only1) * F.size(only2)
-    fits = (combos > 0) & (combos <= FUZZY_COMBINATIONS)
 
     def letters(x: Column) -> Column:
         return F.array_distinct(F.split(x, ""))
@@ -71,33 +67,44 @@ def fuzzy_jaccard(parts1: Column, parts2: Column) -> Column:
         shared = F.size(F.array_intersect(letters(p), letters(q))) / F.size(F.array_union(letters(p), letters(q)))
         return (gap <= FUZZY_LENGTH_GAP) & (shared >= FUZZY_LETTERS)
 
-    candidates = F.flatten(
-        F.transform(
-            F.when(fits, only1),
-            lambda p: F.transform(
-                F.filter(only2, lambda q: near(p, q)), lambda q: F.named_struct(F.lit("p"), p, F.lit("q"), q)
-            ),
-        )
+    def kept(parts: Column) -> Column:
+        return F.size(F.filter(parts, lambda p: F.length(strip(p)) > 0))
+
+    df = (
+        df.withColumn("_s1", part_set(parts1))
+        .withColumn("_s2", part_set(parts2))
+        .withColumn("_only1", F.array_except("_s1", "_s2"))
+        .withColumn("_only2", F.array_except("_s2", "_s1"))
+        .withColumn("_exact", set_jaccard(F.col("_s1"), F.col("_s2")))
     )
-    ratios = text_ratios(F.transform(candidates, lambda c: c["p"]), F.transform(candidates, lambda c: c["q"]))
-    scored = F.arrays_zip(candidates.alias("c"), ratios.alias("r"))
-    best = F.transform(
-        only1,
-        lambda p: F.coalesce(
-            F.array_max(
-                F.transform(
-                    F.filter(scored, lambda s: (s["c"]["p"] == p) & (s["r"] >= FUZZY_RATIO)), lambda s: s["r"]
-                )
-            ),
-            F.lit(0.0),
+    combos = F.size("_only1") * F.size("_only2")
+    df = df.withColumn("_fits", (combos > 0) & (combos <= FUZZY_COMBINATIONS)).withColumn(
+        "_near",
+        F.flatten(
+            F.transform(
+                F.when(F.col("_fits"), F.col("_only1")),
+                lambda p: F.transform(
+                    F.filter("_only2", lambda q: near(p, q)), lambda q: F.named_struct(F.lit("p"), p, F.lit("q"), q)
+                ),
+            )
         ),
     )
-    total = F.aggregate(best, F.lit(0.0), lambda acc, x: acc + x)
-    kept1 = F.size(F.filter(parts1, lambda p: F.length(F.trim(p)) > 0))
-    kept2 = F.size(F.filter(parts2, lambda p: F.length(F.trim(p)) > 0))
-    weight = FUZZY_SHARE * (F.size(only1) / F.greatest(kept1, kept2, F.lit(1)))
-    blended = F.least(F.lit(1.0), exact * (1 - weight) + total / F.greatest(F.size(only1), F.lit(1)) * weight)
-    return F.when(fits & (total > 0), blended).otherwise(exact)
+    ratios = text_ratios(F.transform("_near", lambda c: c["p"]), F.transform("_near", lambda c: c["q"]))
+    df = df.withColumn("_ratios", ratios).withColumn(
+        "_scored", F.zip_with("_near", "_ratios", lambda c, r: F.named_struct(F.lit("p"), c["p"], F.lit("r"), r))
+    )
+
+    def best(p: Column) -> Column:
+        good = F.filter("_scored", lambda s: (s["p"] == p) & (s["r"] >= FUZZY_RATIO))
+        return F.coalesce(F.array_max(F.transform(good, lambda s: s["r"])), F.lit(0.0))
+
+    df = df.withColumn("_total", F.aggregate(F.transform("_only1", best), F.lit(0.0), lambda acc, x: acc + x))
+    weight = FUZZY_SHARE * (F.size("_only1") / F.greatest(kept(parts1), kept(parts2), F.lit(1)))
+    average = F.col("_total") / F.greatest(F.size("_only1"), F.lit(1))
+    blended = F.least(F.lit(1.0), F.col("_exact") * (1 - weight) + average * weight)
+    return df.withColumn(name, F.when(F.col("_fits") & (F.col("_total") > 0), blended).otherwise(F.col("_exact"))).drop(
+        "_s1", "_s2", "_only1", "_only2", "_exact", "_fits", "_near", "_ratios", "_scored", "_total"
+    )
 
 
 def length_ratio(n1: Column, n2: Column) -> Column:

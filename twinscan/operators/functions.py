@@ -234,13 +234,15 @@ def all_functions(files: DataFrame) -> DataFrame:
 
 def html_blocks(pages: DataFrame, tags: tuple[str, ...] = ("p", "li", "h1")) -> DataFrame:
     """Text blocks of markup pages, so that block matching also works where there are no functions."""
-    found = [
-        F.transform(
-            F.regexp_extract_all("content", F.lit(f"(?s)<{t}[^>]*>(.*?)</{t}>"), F.lit(1)),
-            lambda text, i, t=t: F.named_struct(F.lit("tag"), F.lit(t), F.lit("block_index"), i, F.lit("block"), text),
+
+    def of(tag: str) -> Column:
+        bodies = F.regexp_extract_all("content", F.lit(f"(?s)<{tag}[^>]*>(.*?)</{tag}>"), F.lit(1))
+        return F.transform(
+            bodies,
+            lambda body, i: F.named_struct(F.lit("tag"), F.lit(tag), F.lit("block_index"), i, F.lit("block"), body),
         )
-        for t in tags
-    ]
+
+    found = [of(t) for t in tags]
     return pages.select("file_id", F.explode(F.concat(*found)).alias("b")).select("file_id", "b.*")
 
 

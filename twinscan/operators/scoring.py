@@ -46,11 +46,13 @@ def compare_similarity(pairs: DataFrame, fuzzy: bool = True, rounded: bool = Tru
     """All submission-level metrics of rows with feature structs `f1` and `f2`."""
     f1, f2 = F.col("f1"), F.col("f2")
     n1, n2 = F.size(f1["types"]), F.size(f2["types"])
-    jaccard = sim.fuzzy_jaccard if fuzzy else sim.exact_jaccard
     distinct1, distinct2 = F.array_distinct(f1["parts"]), F.array_distinct(f2["parts"])
-    scored = pairs.select(
+    if fuzzy:
+        scored = sim.with_fuzzy_jaccard(pairs, "jaccard_similarity", f1["parts"], f2["parts"])
+    else:
+        scored = pairs.withColumn("jaccard_similarity", sim.exact_jaccard(f1["parts"], f2["parts"]))
+    scored = scored.select(
         "*",
-        jaccard(f1["parts"], f2["parts"]).alias("jaccard_similarity"),
         sim.type_similarity(f1["types"], f2["types"]).alias("type_similarity"),
         lcs_similarity(f1["structural"], f2["structural"]).alias("structural_similarity"),
         lcs_similarity(f1["types"], f2["types"]).alias("type_sequence_similarity"),
