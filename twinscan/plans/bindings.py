@@ -40,7 +40,8 @@ SUBMISSIONS = {
 }
 
 COMPARISONS = {
-    "id": "concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING), '-', CAST(l_partkey AS STRING), '-', CAST(l_suppkey AS STRING))",
+    "id": """concat_ws('-', CAST(l_orderkey AS STRING), CAST(l_linenumber AS STRING), CAST(l_partkey AS STRING), CAST(l_suppkey AS STRING),
+        CAST(CAST(l_quantity AS INT) AS STRING), CAST(year(l_shipdate) AS STRING), CAST(dayofyear(l_shipdate) AS STRING))""",
     "submission_id": "CAST(l_orderkey AS STRING)",
     "compared_submission_id": "CAST(l_partkey AS STRING)",
     "project": "concat('p', CAST(year(l_shipdate) AS STRING))",
