@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from itertools import chain
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinscan.functions.text import strip
+from twinscan.functions.text import literal_map, strip
 
 # Suffixes and whole file names of each language.
 LANGUAGE_FILES = {
@@ -73,10 +71,6 @@ DEFAULT_LANGUAGE = "python"
 FILE_LANGUAGE = {name: language for language, names in LANGUAGE_FILES.items() for name in names}
 
 
-def _map(d: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for x in chain.from_iterable(d.items())])
-
-
 def file_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
@@ -88,11 +82,11 @@ def suffix(path: Column) -> Column:
 
 def detect_language(path: Column, content: Column | None = None) -> Column:
     name, ending = file_name(path), suffix(path)
-    table = _map(FILE_LANGUAGE)
+    table = literal_map(FILE_LANGUAGE)
     found = [
         F.try_element_at(table, name),
         F.try_element_at(table, ending),
-        F.when(ending == "", F.try_element_at(_map(BARE_NAMES), F.lower(name))),
+        F.when(ending == "", F.try_element_at(literal_map(BARE_NAMES), F.lower(name))),
     ]
     if content is not None:
         found.append(_language_of_content(content))
@@ -129,4 +123,4 @@ def supported_extensions(spark: SparkSession) -> DataFrame:
 
 def is_supported(path: Column) -> Column:
     """True when the lower-cased suffix is a known key; whole names such as Makefile do not count."""
-    return suffix(path).isin(list(FILE_LANGUAGE))
+    return F.try_element_at(literal_map(FILE_LANGUAGE), suffix(path)).isNotNull()

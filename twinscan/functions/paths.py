@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from twinscan.functions.text import one_of
+
 # Name fragments and directory names that steer the search for the project root.
 TEMP_MARKS = ["tmp", "temp", "tempfile"]
 PROJECT_DIRS = [
@@ -46,7 +48,7 @@ def relative_path(path: Column) -> Column:
     after_temp = F.filter(
         at, lambda e: (e["i"] > last_temp) & ~e["p"].startswith(".") & ~_looks_generated(e["p"])
     )
-    by_layout = F.filter(at, lambda e: F.lower(e["p"]).isin(PROJECT_DIRS) & (e["i"] > 0))
+    by_layout = F.filter(at, lambda e: one_of(F.lower(e["p"]), PROJECT_DIRS) & (e["i"] > 0))
     by_system = F.filter(at, lambda e: ~_has_mark(e["p"], SYSTEM_MARKS) & ~e["p"].startswith("."))
     root = F.coalesce(
         F.try_element_at(after_temp, F.lit(1))["i"],

@@ -13,6 +13,20 @@ WHITE_SPACE = (
 )
 
 
+def _quoted(s: str) -> str:
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def literal_map(d: dict[str, str]) -> Column:
+    """Constant map column, parsed from one SQL text instead of one call per value."""
+    return F.expr("map(" + ", ".join(f"{_quoted(k)}, {_quoted(v)}" for k, v in d.items()) + ")")
+
+
+def one_of(c: Column, values) -> Column:
+    """Membership in a constant list, parsed from one SQL text like `literal_map`."""
+    return F.array_contains(F.expr("array(" + ", ".join(_quoted(v) for v in values) + ")"), c)
+
+
 def strip(c: Column) -> Column:
     """Trim all Unicode white space, not only blanks."""
     return F.trim(c, F.lit(WHITE_SPACE))

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from itertools import chain
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from twinscan.functions.text import strip
+from twinscan.functions.text import literal_map, one_of, strip
 
 # Token types that are dropped or replaced by a placeholder.
 SKIPPED_TYPES = ["comment", "ERROR"]
@@ -65,13 +63,9 @@ PART_SEPARATOR = " | "
 TEXT_KEPT = 20
 
 
-def _literal_map(d: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for x in chain.from_iterable(d.items())])
-
-
 def prepare_for_similarity(tokens: Column) -> Column:
     """Drop comments and errors, replace literals and names by placeholders, keep the rest."""
-    placeholder = _literal_map(PLACEHOLDERS)
+    placeholder = literal_map(PLACEHOLDERS)
 
     def one(t: Column) -> Column:
         generic = F.try_element_at(placeholder, t["type"])
@@ -81,7 +75,7 @@ def prepare_for_similarity(tokens: Column) -> Column:
             generic.isNotNull().alias("normalized"),
         )
 
-    return F.transform(F.filter(tokens, lambda t: ~t["type"].isin(SKIPPED_TYPES)), one)
+    return F.transform(F.filter(tokens, lambda t: ~one_of(t["type"], SKIPPED_TYPES)), one)
 
 
 def normalize_structural(text: Column, kind: Column) -> Column:
@@ -116,7 +110,7 @@ def signature_texts(prepared: Column) -> Column:
         text = strip(t["text"])
         return (
             F.when(t["normalized"], F.struct(F.lit(None).cast("string").alias("type"), t["text"].alias("text")))
-            .when(~t["type"].isin(REWRITTEN_TYPES), F.struct(t["type"].alias("type"), text.alias("text")))
+            .when(~one_of(t["type"], REWRITTEN_TYPES), F.struct(t["type"].alias("type"), text.alias("text")))
             .otherwise(F.struct(t["type"].alias("type"), normalize_structural(text, t["type"]).alias("text")))
         )
 
@@ -151,12 +145,12 @@ def type_sequence(prepared: Column) -> Column:
 
 
 def structural_sequence(prepared: Column) -> Column:
-    table = _literal_map(STRUCTURAL)
+    table = literal_map(STRUCTURAL)
     return F.transform(prepared, lambda t: F.coalesce(F.try_element_at(table, t["type"]), F.upper(t["type"])))
 
 
 def logical_flow(prepared: Column) -> Column:
-    return F.filter(type_sequence(prepared), lambda t: t.isin(FLOW_TYPES))
+    return F.filter(type_sequence(prepared), lambda t: one_of(t, FLOW_TYPES))
 
 
 def operations(prepared: Column) -> Column:
@@ -164,18 +158,18 @@ def operations(prepared: Column) -> Column:
 
     def by_text(text: Column, math: list[str], logic: list[str]) -> Column:
         return (
-            F.when(text.isin(math), "MATH_OP")
-            .when(text.isin(COMPARE), "COMPARE_OP")
-            .when(text.isin(logic), "LOGIC_OP")
+            F.when(one_of(text, math), "MATH_OP")
+            .when(one_of(text, COMPARE), "COMPARE_OP")
+            .when(one_of(text, logic), "LOGIC_OP")
             .otherwise("OPERATOR")
         )
 
     def one(t: Column) -> Column:
         text = strip(t["text"])
         return (
-            F.when(t["type"].isin(WORD_OPERATOR_TYPES), by_text(text, WORD_MATH, WORD_LOGIC))
-            .when(t["type"].isin(SIGN_OPERATOR_TYPES), by_text(text, SIGN_MATH, SIGN_LOGIC))
-            .when(t["type"].isin(CALL_TYPES), "METHOD_CALL")
+            F.when(one_of(t["type"], WORD_OPERATOR_TYPES), by_text(text, WORD_MATH, WORD_LOGIC))
+            .when(one_of(t["type"], SIGN_OPERATOR_TYPES), by_text(text, SIGN_MATH, SIGN_LOGIC))
+            .when(one_of(t["type"], CALL_TYPES), "METHOD_CALL")
         )
 
     return F.filter(F.transform(prepared, one), lambda o: o.isNotNull())

@@ -7,13 +7,11 @@ few small columns. The source text itself is only joined back at the end.
 
 from __future__ import annotations
 
-from itertools import chain
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinscan.functions.languages import NO_FUNCTIONS, detect_language
-from twinscan.functions.text import code_block
+from twinscan.functions.text import code_block, literal_map, one_of
 from twinscan.operators.tokenize import HASH_LANGUAGES
 
 NAME = r"([A-Za-z_]\w*)"
@@ -77,36 +75,42 @@ def is_constructor(name: Column) -> Column:
 
 
 def _lookup(language: Column, table: dict[str, str]) -> Column:
-    return F.try_element_at(F.create_map(*[F.lit(x) for x in chain.from_iterable(table.items())]), language)
+    return F.try_element_at(literal_map(table), language)
 
 
-def _headers(lines: DataFrame, generic: bool) -> DataFrame:
-    """Add `header` (name, node type) where the line opens a function.
+def _headers(lines: DataFrame, mode: str) -> DataFrame:
+    """Add `own` (name, node type) where a line opens a function by its language's forms and `generic` by
+    the general one.
 
     The pattern is looked up by language; lines of one file follow each other, so it is compiled once a file.
     """
-    if generic:
-        forms = [{language: GENERIC_HEADER for language in HEADERS}]
-    else:
-        depth = max(len(more) for more in MORE_HEADERS.values())
-        forms = [HEADERS] + [
-            {language: more[i] for language, more in MORE_HEADERS.items() if i < len(more)} for i in range(depth)
-        ]
+    depth = max(len(more) for more in MORE_HEADERS.values())
+    forms = [HEADERS] + [
+        {language: more[i] for language, more in MORE_HEADERS.items() if i < len(more)} for i in range(depth)
+    ]
     language = F.col("language")
-    found = []
-    for i, form in enumerate(forms):
-        pattern = F.lit(GENERIC_HEADER[0]) if generic else _lookup(language, {k: v[0] for k, v in form.items()})
-        lines = lines.withColumn(f"_n{i}", F.call_function("regexp_extract", F.col("text"), pattern, F.lit(1)))
-        node = F.lit(GENERIC_HEADER[1]) if generic else _lookup(language, {k: v[1] for k, v in form.items()})
-        usable = (F.col(f"_n{i}") != "") & ~F.col(f"_n{i}").isin([*CONSTRUCTORS, *ANNOTATIONS, *NOT_NAMES])
-        found.append(F.when(usable, F.struct(F.col(f"_n{i}").alias("name"), node.alias("node_type"))))
-    return lines.withColumn("header", F.coalesce(*found)).drop(*[f"_n{i}" for i in range(len(forms))])
+    none = F.lit(None).cast("struct<name:string,node_type:string>")
+
+    def found(column: str, node: Column) -> Column:
+        usable = (F.col(column) != "") & ~one_of(F.col(column), [*CONSTRUCTORS, *ANNOTATIONS, *NOT_NAMES])
+        return F.when(usable, F.struct(F.col(column).alias("name"), node.alias("node_type")))
+
+    own, generic = [], none
+    if mode != "generic":
+        for i, form in enumerate(forms):
+            pattern = _lookup(language, {k: v[0] for k, v in form.items()})
+            lines = lines.withColumn(f"_n{i}", F.call_function("regexp_extract", F.col("text"), pattern, F.lit(1)))
+            own.append(found(f"_n{i}", _lookup(language, {k: v[1] for k, v in form.items()})))
+    if mode != "own":
+        lines = lines.withColumn("_g", F.regexp_extract("text", GENERIC_HEADER[0], 1))
+        generic = F.when(~one_of(language, NO_FUNCTIONS), found("_g", F.lit(GENERIC_HEADER[1])))
+    return lines.withColumn("own", F.coalesce(*own) if own else none).withColumn("generic", generic)
 
 
 def _blanked(line: Column, language: Column) -> Column:
     """The line without strings and comments, so that braces inside them do not count."""
     bare = F.regexp_replace(line, r'"(?:[^"\\]|\\.)*"|' + r"'(?:[^'\\]|\\.)*'", '""')
-    return F.when(language.isin(HASH_LANGUAGES), F.regexp_replace(bare, "#.*", "")).otherwise(
+    return F.when(one_of(language, HASH_LANGUAGES), F.regexp_replace(bare, "#.*", "")).otherwise(
         F.regexp_replace(bare, r"//.*|/\*.*?\*/", "")
     )
 
@@ -115,21 +119,22 @@ def _count(text: Column, what: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(what), F.lit("")))
 
 
-def _spans(files: DataFrame, generic: bool) -> DataFrame:
+def _spans(files: DataFrame, mode: str) -> DataFrame:
     """Rows (file_id, name, node_type, start_line, end_line)."""
     language = F.col("language")
     lines = files.select("file_id", "language", F.posexplode(F.split("content", "\n")).alias("line", "text"))
     bare = _blanked(F.col("text"), language)
-    lines = _headers(lines, generic)
+    lines = _headers(lines, mode)
     small = lines.select(
         "file_id",
         "line",
-        F.when(language.isin(INDENTED), "indent").when(language.isin(ENDED), "end").otherwise("brace").alias("style"),
+        F.when(one_of(language, INDENTED), "indent").when(one_of(language, ENDED), "end").otherwise("brace").alias("style"),
         F.length(F.regexp_extract("text", r"^([ \t]*)", 1)).alias("indent"),
         F.col("text").rlike(r"\S").alias("filled"),
         _count(bare, "{").alias("opens"),
         _count(bare, "}").alias("closes"),
-        "header",
+        "own",
+        "generic",
     ).filter("filled")
     by_line = Window.partitionBy("file_id").orderBy("line")
     so_far = by_line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -140,6 +145,7 @@ def _spans(files: DataFrame, generic: bool) -> DataFrame:
         F.lag("indent").over(by_line).alias("last_indent"),
         F.lag("line").over(by_line).alias("last_line"),
         F.max("line").over(whole).alias("file_end"),
+        F.when(F.max(F.col("own").isNotNull()).over(whole), F.col("own")).otherwise(F.col("generic")).alias("header"),
     )
     brace = F.col("style") == "brace"
     before = F.col("depth") - F.col("opens") + F.col("closes")
@@ -212,8 +218,8 @@ def _with_language(files: DataFrame) -> DataFrame:
 
 def extract_functions(files: DataFrame) -> DataFrame:
     """Functions of files (file_id, path or language, content) by the header of their language; 0-based lines."""
-    known = _with_language(files).filter(F.col("language").isin(list(HEADERS))).select("file_id", "language", "content")
-    return _with_blocks(_spans(known, generic=False), known)
+    known = _with_language(files).filter(one_of(F.col("language"), HEADERS)).select("file_id", "language", "content")
+    return _with_blocks(_spans(known, "own"), known)
 
 
 def extract_functions_fallback(files: DataFrame, found: DataFrame) -> DataFrame:
@@ -224,12 +230,13 @@ def extract_functions_fallback(files: DataFrame, found: DataFrame) -> DataFrame:
         .select("file_id", "language", "content")
         .join(found.select("file_id").distinct(), "file_id", "left_anti")
     )
-    return _with_blocks(_spans(rest, generic=True), rest)
+    return _with_blocks(_spans(rest, "generic"), rest)
 
 
 def all_functions(files: DataFrame) -> DataFrame:
-    found = extract_functions(files)
-    return found.unionByName(extract_functions_fallback(files, found))
+    """Functions by language headers and, in files where these find none, by the generic ones: one pass."""
+    known = _with_language(files).select("file_id", "language", "content")
+    return _with_blocks(_spans(known, "both"), known)
 
 
 def html_blocks(pages: DataFrame, tags: tuple[str, ...] = ("p", "li", "h1")) -> DataFrame:

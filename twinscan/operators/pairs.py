@@ -59,7 +59,7 @@ def _ordered(classes: DataFrame, scope: list[str]) -> DataFrame:
     )
 
 
-def _prefixes(ordered: DataFrame, scope: list[str], threshold: float) -> DataFrame:
+def prefixes(ordered: DataFrame, scope: list[str], threshold: float) -> DataFrame:
     size = F.size("parts")
     keep = size - F.ceil(size * threshold - EPS).cast("int") + 1
     band = F.floor(F.log(size.cast("double")) / F.log(F.lit(1 / threshold)) + EPS).cast("int")
@@ -93,9 +93,13 @@ def candidate_classes(classes: DataFrame, scope: list[str], threshold: float, me
     Sizes are cut into bands by the threshold, so only equal or neighbouring bands meet; groups of
     frequent parts are split by a salt.
     """
-    prefixes = _prefixes(_ordered(classes, scope), scope, threshold)
+    return meet(prefixes(_ordered(classes, scope), scope, threshold), scope, threshold, measure)
+
+
+def meet(rows: DataFrame, scope: list[str], threshold: float, measure: str) -> DataFrame:
+    """Join prefix rows with themselves inside the scope."""
     keys = [*scope, "part", "band", "salt"]
-    probe = prefixes.select(
+    probe = rows.select(
         *scope,
         "part",
         F.pmod(F.hash("class_key"), F.greatest("salts", F.lit(1))).alias("salt"),
@@ -105,7 +109,7 @@ def candidate_classes(classes: DataFrame, scope: list[str], threshold: float, me
         F.col("size").alias("a_size"),
         F.col("pos").alias("a_pos"),
     )
-    index = prefixes.select(
+    index = rows.select(
         *scope,
         "part",
         "band",

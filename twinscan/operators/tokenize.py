@@ -6,13 +6,11 @@ statement's type and carry the logical line; calls, operators, literals and name
 
 from __future__ import annotations
 
-from itertools import chain
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinscan.functions.languages import detect_language
-from twinscan.functions.text import strip
+from twinscan.functions.text import literal_map, one_of, strip
 
 # Statement type of a keyword, and the words that are operators.
 STATEMENT_WORDS = {
@@ -77,79 +75,103 @@ TEXT_LANGUAGES = ["text", "markdown"]
 
 def language_family(language: Column) -> Column:
     return (
-        F.when(language.isin(HASH_LANGUAGES), "hash")
-        .when(language.isin(MARKUP_LANGUAGES), "markup")
-        .when(language.isin(TEXT_LANGUAGES), "text")
+        F.when(one_of(language, HASH_LANGUAGES), "hash")
+        .when(one_of(language, MARKUP_LANGUAGES), "markup")
+        .when(one_of(language, TEXT_LANGUAGES), "text")
         .otherwise("slash")
     )
 
 
 def _word_table() -> Column:
-    return F.create_map(*[F.lit(x) for x in chain.from_iterable(WORD_TYPES.items())])
+    return literal_map(WORD_TYPES)
 
 
 def _operator_type(lexeme: Column) -> Column:
     return (
-        F.when(lexeme.isin("==", "!=", "===", "!==", "<", ">", "<=", ">="), "comparison_operator")
-        .when(lexeme.isin("+=", "-=", "*=", "/=", "%=", "++", "--"), "augmented_assignment")
-        .when(lexeme.isin("&&", "||", "!"), "boolean_operator")
+        F.when(one_of(lexeme, ["==", "!=", "===", "!==", "<", ">", "<=", ">="]), "comparison_operator")
+        .when(one_of(lexeme, ["+=", "-=", "*=", "/=", "%=", "++", "--"]), "augmented_assignment")
+        .when(one_of(lexeme, ["&&", "||", "!"]), "boolean_operator")
         .when(lexeme == "=", "assignment")
-        .when(lexeme.isin("=>", "->"), "arrow")
+        .when(one_of(lexeme, ["=>", "->"]), "arrow")
         .otherwise("binary_operator")
     )
 
 
-def _token(lexeme: Column, line: Column, row: Column, family: str) -> Column:
-    called = lexeme.endswith("(")
-    word = F.rtrim(F.rtrim(lexeme, F.lit("("))) if family in ("hash", "slash") else lexeme
-    keyword = F.try_element_at(_word_table(), word) if family != "markup" else F.lit(None).cast("string")
-    first = F.substring(lexeme, 1, 1)
-    is_word = first.rlike(r"^[\p{L}_]")
-    kind = F.when(first.rlike("^[0-9]"), F.when(lexeme.contains("."), "float").otherwise("integer"))
+def _markup_token(lexeme: Column, row: Column) -> Column:
+    kind = (
+        F.when(lexeme.startswith("</"), "end_tag")
+        .when(lexeme.startswith("<!--"), "comment")
+        .when(lexeme.startswith("<"), "start_tag")
+        .when(lexeme.endswith('"'), "attribute")
+        .when(lexeme.rlike("^[0-9]"), _number_type(lexeme))
+        .otherwise("word")
+    )
+    return F.struct(kind.alias("type"), lexeme.alias("text"), row.alias("start"), row.alias("end"))
+
+
+def _number_type(lexeme: Column) -> Column:
+    return F.when(lexeme.contains("."), "float").otherwise("integer")
+
+
+def _text_token(lexeme: Column, keyword: Column, row: Column) -> Column:
+    kind = (
+        F.when(keyword.isNotNull(), keyword)
+        .when(lexeme.rlike(r"^[\p{L}_]"), "word")
+        .when(lexeme.rlike("^[0-9]"), _number_type(lexeme))
+        .otherwise(_operator_type(lexeme))
+    )
+    return F.struct(kind.alias("type"), lexeme.alias("text"), row.alias("start"), row.alias("end"))
+
+
+def _code_token(e: Column, line: Column, row: Column, family: str) -> Column:
+    """Token of a lexeme `e` = (lex, word, kw): statement words carry the line they open."""
+    lexeme, word, keyword = e["lex"], e["word"], e["kw"]
+    comment = lexeme.startswith("#") if family == "hash" else lexeme.startswith("//") | lexeme.startswith("/*")
+    opens = one_of(keyword, dict.fromkeys(STATEMENT_WORDS.values())) & line.startswith(word)
+
+    def token(kind, text) -> Column:
+        return F.struct(kind.alias("type"), text.alias("text"), row.alias("start"), row.alias("end"))
+
+    return (
+        F.when(keyword.isNotNull(), token(keyword, F.when(opens, line).otherwise(word)))
+        .when(comment, token(F.lit("comment"), lexeme))
+        .when(lexeme.startswith('"') | lexeme.startswith("'"), token(F.lit("string"), lexeme))
+        .when(word != lexeme, token(F.lit("call"), F.concat(word, F.lit("()"))))
+        .when(lexeme.rlike(r"^[\p{L}_]"), token(F.lit("identifier"), lexeme))
+        .when(lexeme.rlike("^[0-9]"), token(_number_type(lexeme), lexeme))
+        .otherwise(token(_operator_type(lexeme), F.when(lexeme == "=", line).otherwise(lexeme)))
+    )
+
+
+def _line_tokens(line: Column, row: Column, family: str) -> Column:
+    """Tokens of one stripped line. Each stage is evaluated once per lexeme."""
+    lexemes = F.regexp_extract_all(line, F.lit(LEXEMES[family]), F.lit(0))
     if family == "markup":
-        kind = (
-            kind.when(lexeme.startswith("<!--"), "comment")
-            .when(lexeme.startswith("</"), "end_tag")
-            .when(lexeme.startswith("<"), "start_tag")
-            .when(lexeme.endswith('"'), "attribute")
-            .otherwise("word")
-        )
-    elif family == "text":
-        kind = kind.when(is_word, F.coalesce(keyword, F.lit("word"))).otherwise(_operator_type(lexeme))
-    else:
-        comment = lexeme.startswith("#") if family == "hash" else (
-            (lexeme.startswith("//")) | (lexeme.startswith("/*"))
-        )
-        kind = (
-            kind.when(comment, "comment")
-            .when(first.isin('"', "'"), "string")
-            .when(is_word, F.coalesce(keyword, F.when(called, "call").otherwise("identifier")))
-            .otherwise(_operator_type(lexeme))
-        )
-    text = lexeme
-    if family in ("hash", "slash"):
-        opens = keyword.isin(*set(STATEMENT_WORDS.values()))
-        text = (
-            F.when(is_word & opens & line.startswith(word), line)
-            .when(is_word & keyword.isNotNull(), word)
-            .when(is_word & called, F.concat(word, F.lit("()")))
-            .when(lexeme == "=", line)
-            .otherwise(lexeme)
-        )
-    return F.struct(kind.alias("type"), text.alias("text"), row.alias("start"), row.alias("end"))
+        return F.transform(lexemes, lambda x: _markup_token(x, row))
+    table = _word_table()
+    if family == "text":
+        found = F.transform(lexemes, lambda x: F.named_struct(F.lit("lex"), x, F.lit("kw"), F.try_element_at(table, x)))
+        return F.transform(found, lambda e: _text_token(e["lex"], e["kw"], row))
+    starts_word = r"^[\p{L}_].*\($"
+    words = F.transform(
+        lexemes,
+        lambda x: F.named_struct(
+            F.lit("lex"), x, F.lit("word"), F.when(x.rlike(starts_word), F.rtrim(F.rtrim(x, F.lit("(")))).otherwise(x)
+        ),
+    )
+    found = F.transform(
+        words,
+        lambda e: F.named_struct(
+            F.lit("lex"), e["lex"], F.lit("word"), e["word"], F.lit("kw"), F.try_element_at(table, e["word"])
+        ),
+    )
+    return F.transform(found, lambda e: _code_token(e, line, row, family))
 
 
 def tokenize(text: Column, family: str) -> Column:
     """Token array of a text in one language family."""
-    pattern = F.lit(LEXEMES[family])
-    return F.flatten(
-        F.transform(
-            F.split(text, "\n"),
-            lambda line, row: F.transform(
-                F.regexp_extract_all(line, pattern, F.lit(0)), lambda lex: _token(lex, strip(line), row, family)
-            ),
-        )
-    )
+    lines = F.transform(F.split(text, "\n"), strip)
+    return F.flatten(F.transform(lines, lambda line, row: _line_tokens(line, row, family)))
 
 
 def tokenize_by_language(text: Column, language: Column) -> Column:
