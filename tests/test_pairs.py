@@ -6,7 +6,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from twinscan.operators import blocks, functions, graph, scoring
+from twinscan.operators import blocks, functions, graph, scoring, sequences
 from twinscan.operators.pairs import candidate_counts, threshold_pairs
 from twinscan.operators.tokenize import tokenize_files
 
@@ -176,3 +176,27 @@ def test_candidate_counts(spark):
     df = spark.createDataFrame(rows, "id string, project string, step string, group_id string, status string")
     r = candidate_counts(df).first()
     assert (r.other_group_pairs, r.completed_pairs) == (4, 4)
+
+
+def test_submission_scores_equal_brute_force(spark):
+    files = tokenize_files(fixture(spark)).withColumn("submission_id", F.col("group_id"))
+    features = scoring.similarity_features(files.select("submission_id", "path", "tokens")).cache()
+    pairs = spark.createDataFrame([("g0", "g1"), ("g0", "g2"), ("g1", "g3")], "submission_id string, compared_submission_id string")
+    whole = {}
+    for r in sorted(features.collect(), key=lambda r: r.path):
+        w = whole.setdefault(r.submission_id, {k: [] for k in ("parts", "types", "structural", "flow", "ops")})
+        for k in w:
+            w[k] += r[k]
+    got = sequences.compare_submissions(pairs, features).collect()
+    assert len(got) == 3
+    for r in got:
+        a, b = whole[r.submission_id], whole[r.compared_submission_id]
+        ratio = min(len(a["types"]), len(b["types"])) / max(len(a["types"]), len(b["types"]))
+        want = (
+            0.25 * jac(set(a["parts"]), set(b["parts"])) + 0.05 * jac(set(a["types"]), set(b["types"]))
+            + 0.3 * seq_score(a["structural"], b["structural"]) + 0.2 * seq_score(a["types"], b["types"])
+            + 0.15 * seq_score(a["flow"], b["flow"]) + 0.05 * seq_score(a["ops"], b["ops"])
+        ) * (1.0 if ratio > 0.5 else 0.9)
+        assert abs(r.overall_similarity - want) < 6e-5 and r.files1 == 3
+    short = sequences.submission_sequences(features, limit=10).first()
+    assert short.types is None and short.n_types > 10

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinscan.functions.kernels import LCS_LIMIT
+from twinscan.functions import similarity as sim
+from twinscan.functions.kernels import LCS_LIMIT, lcs_similarity
 
 SEQUENCES = ["types", "structural", "flow", "ops"]
 
@@ -51,9 +52,11 @@ def part_overlap(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     ids = ["submission_id", "compared_submission_id"]
     usable = parts.filter(F.length(F.trim("part")) > 0)
     sizes = usable.groupBy("submission_id").agg(F.count("*").alias("n"))
-    left = pairs.select(*ids).join(usable, "submission_id")
-    right = usable.withColumnRenamed("submission_id", "compared_submission_id")
-    common = left.join(right, ["compared_submission_id", "part"], "left_semi").groupBy(*ids).agg(F.count("*").alias("common"))
+    # The compared side is repeated, not the one that may be paired with everything.
+    theirs = pairs.select(*ids).join(
+        usable.withColumnRenamed("submission_id", "compared_submission_id"), "compared_submission_id"
+    )
+    common = theirs.join(usable, ["submission_id", "part"], "left_semi").groupBy(*ids).agg(F.count("*").alias("common"))
     n1 = sizes.withColumnsRenamed({"n": "n1"})
     n2 = sizes.withColumnsRenamed({"submission_id": "compared_submission_id", "n": "n2"})
     out = (
@@ -66,3 +69,56 @@ def part_overlap(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     return out.withColumn(
         "jaccard_similarity", F.when(total == 0, 1.0).otherwise(F.col("common") / F.greatest(total, F.lit(1)))
     )
+
+
+def submission_types(features: DataFrame) -> DataFrame:
+    """Distinct token types of each submission; as many as the lexer knows, whatever the size."""
+    rows = features.select("submission_id", F.explode(F.array_distinct("types")).alias("type")).distinct()
+    return rows.groupBy("submission_id").agg(F.collect_list("type").alias("type_set"))
+
+
+def compare_submissions(pairs: DataFrame, features: DataFrame) -> DataFrame:
+    """All metrics of submission pairs (submission_id, compared_submission_id) over their concatenated files.
+
+    Jaccard is the exact one: part sets of whole submissions stay rows. A sequence beyond the limit scores
+    0.0, as in the file comparison.
+    """
+    ids = ["submission_id", "compared_submission_id"]
+    whole = submission_sequences(features).join(submission_types(features), "submission_id", "left")
+    names = [c for c in whole.columns if c != "submission_id"]
+    first = whole.select("submission_id", F.struct(*names).alias("s1"))
+    second = whole.select(F.col("submission_id").alias("compared_submission_id"), F.struct(*names).alias("s2"))
+    joined = part_overlap(pairs.select(*ids), submission_parts(features)).join(first, "submission_id").join(second, "compared_submission_id")
+    s1, s2 = F.col("s1"), F.col("s2")
+    none = F.array().cast("array<string>")
+
+    def types(s):
+        return F.coalesce(s["type_set"], none)
+
+    def score(name: str):
+        a, b = F.coalesce(s1[name], none), F.coalesce(s2[name], none)
+        beyond = F.greatest(s1[f"n_{name}"], s2[f"n_{name}"]) > LCS_LIMIT
+        return F.when(beyond, 0.0).otherwise(lcs_similarity(a, b))
+
+    metrics = {"structural": "structural", "type_sequence": "types", "flow": "flow", "operation": "ops"}
+    scored = joined.select(
+        *ids,
+        "jaccard_similarity",
+        sim.type_similarity(types(s1), types(s2)).alias("type_similarity"),
+        *[score(s).alias(f"{m}_similarity") for m, s in metrics.items()],
+        *[F.greatest(s1[f"n_{s}"], s2[f"n_{s}"]).alias(f"_longest_{m}") for m, s in metrics.items()],
+        sim.length_ratio(s1["n_types"], s2["n_types"]).alias("length_ratio"),
+        s1["n_tokens"].alias("tokens1"),
+        s2["n_tokens"].alias("tokens2"),
+        s1["files_count"].alias("files1"),
+        s2["files_count"].alias("files2"),
+    ).withColumn("length_penalty", sim.length_penalty(F.col("length_ratio")))
+    scored = sim.with_weighted_score(
+        scored,
+        "overall_similarity",
+        {k: f"{k}_similarity" for k in sim.SUBMISSION_WEIGHTS},
+        sim.SUBMISSION_WEIGHTS,
+        {m: F.col(f"_longest_{m}") for m in metrics},
+    )
+    overall = F.bround(F.col("overall_similarity") * F.col("length_penalty"), 4)
+    return scored.withColumn("overall_similarity", overall).drop(*[f"_longest_{m}" for m in metrics])

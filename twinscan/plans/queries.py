@@ -349,19 +349,30 @@ def submission_sequences(spark, d):
     )
 
 
-@query
-def submission_overlap(spark, d):
-    """Jaccard of each project's largest submission with all its others, from part rows."""
+def _largest_with_others(spark, d):
+    """(pairs, features): each project's largest submission with all its others."""
     features = materialize(
-        scoring.similarity_features(source_tokens(spark, d).select("project", "submission_id", "file_id", "tokens"))
+        scoring.similarity_features(source_tokens(spark, d).select("project", "submission_id", "path", "file_id", "tokens"))
     )
     sizes = features.groupBy("project", "submission_id").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("project").agg(F.max_by("submission_id", F.struct("n", "submission_id")).alias("submission_id"))
     others = sizes.select("project", F.col("submission_id").alias("compared_submission_id"))
-    wanted = largest.join(others, "project").filter("submission_id <> compared_submission_id")
+    return largest.join(others, "project").filter("submission_id <> compared_submission_id"), features
+
+
+@query
+def submission_overlap(spark, d):
+    wanted, features = _largest_with_others(spark, d)
     return sequences.part_overlap(wanted, sequences.submission_parts(features))
 
 
+@query
+def submission_similarity(spark, d):
+    """All metrics of whole submissions; their long sequences make SQL too slow."""
+    wanted, features = _largest_with_others(spark, d)
+    return sequences.compare_submissions(wanted, features)
+
+
 # ---- shared blocks and graph -----------------------------------------------------------------------
 
 
