@@ -8,7 +8,7 @@ places, so a text may be cut there and the parts encoded alone, whatever surroun
   a pre-token may be a space, and its white-space look-ahead sees nothing beyond a run of white space).
 
 Special strings hold no white space, so they stay inside one part and act as the library handles them.
-Parts repeat far more than texts do; each worker keeps the ids of a bounded number of them.
+Parts repeat far more than texts do; each worker remembers the ids of a bounded number of them.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Parts a worker remembers; beyond it, it starts afresh.
+#: Parts a worker remembers.
 REMEMBERED = 500_000
 #: Longer parts are encoded but not remembered.
 LONGEST_KEPT = 64
@@ -77,22 +77,49 @@ def load(path: str):
 
 
 class _Kept:
-    """Ids of strings, in one array; places are given in the order of learning."""
+    """Ids of strings, in one array. The first `limit` strings stay; further ones, and very long ones, only
+    until `settle` is called for the next texts."""
 
-    def __init__(self) -> None:
+    def __init__(self, limit: int) -> None:
+        self.limit = limit
+        self.clear()
+
+    def clear(self) -> None:
         self.place: dict[str, int] = {}
         self.flat = np.zeros(0, np.uint32)
         self.starts = np.zeros(0, np.int64)
         self.lengths = np.zeros(0, np.int64)
+        self.extra: list[str] = []
+        self.staying: tuple[int, int] | None = None
+
+    def settle(self) -> None:
+        for x in self.extra:
+            self.place.pop(x, None)
+        self.extra = []
+        if self.staying:
+            n, m = self.staying
+            self.starts, self.lengths, self.flat = self.starts[:n], self.lengths[:n], self.flat[:m]
+            self.staying = None
+
+    def missing(self, strings: list[str]) -> list[str]:
+        """Those not known. If most are not, the texts have changed: start afresh."""
+        new = [x for x in strings if x not in self.place]
+        if len(new) * 2 > len(strings) and len(self.place) >= self.limit:
+            self.clear()
+            return strings
+        return new
 
     def add(self, strings: list[str], flat: np.ndarray, lengths: np.ndarray) -> None:
+        if self.staying is None and len(self.starts) + len(strings) > self.limit:
+            self.staying = len(self.starts), len(self.flat)
+        self.extra += strings if self.staying else [x for x in strings if len(x) > LONGEST_KEPT]
         self.place.update(zip(strings, range(len(self.starts), len(self.starts) + len(strings))))
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
         self.flat = np.concatenate([self.flat, flat])
 
-    def full(self, more: int, limit: int) -> bool:
-        return len(self.starts) + more > limit or len(self.flat) > 8 * limit
+    def places(self, strings: Iterable[str], n: int) -> np.ndarray:
+        return np.fromiter(map(self.place.__getitem__, strings), np.int64, n)
 
     def gather(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of these places in a row, and the running total of their numbers (from 0)."""
@@ -100,10 +127,6 @@ class _Kept:
         total = np.concatenate([[0], np.cumsum(lengths)])
         return self.flat[np.repeat(self.starts[places] - total[:-1], lengths) + np.arange(total[-1])], total
 
-    def drop(self, strings: Iterable[str]) -> None:
-        for x in strings:
-            self.place.pop(x, None)
-
 
 def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.fromiter(map(len, lists), np.int64, len(lists))
@@ -117,26 +140,22 @@ class PartEncoder:
 
     def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
         self.tokenizer = load(path)
-        self.remembered = remembered
-        self.kept = _Kept()
+        self.kept = _Kept(remembered)
 
-    def _new(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        return _flat([x.ids for x in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)])
+    def _learn(self, parts: list[str]) -> None:
+        """Encode these parts and remember them."""
+        self.kept.add(parts, *_flat([x.ids for x in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]))
 
     def _places(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Places of all parts, and the ends of the texts among them."""
         cut = self.parts(texts)
         ends = np.cumsum(pc.list_value_length(cut).to_numpy(zero_copy_only=False).astype(np.int64))
         coded = cut.flatten().dictionary_encode()
-        different = coded.dictionary.to_pylist()
-        new = [x for x in different if x not in self.kept.place]
-        if self.kept.full(len(new), self.remembered):
-            self.kept, new = _Kept(), different
-        if new:
-            self.kept.add(new, *self._new(new))
-        places = np.fromiter(map(self.kept.place.__getitem__, different), np.int64, len(different))
-        self.kept.drop(x for x in new if len(x) > LONGEST_KEPT)
-        return places[coded.indices.to_numpy(zero_copy_only=False)], ends
+        different = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self.kept.settle()
+        if new := self.kept.missing(different):
+            self._learn(new)
+        return self.kept.places(different, len(different))[coded.indices.to_numpy(zero_copy_only=False)], ends
 
     def count(self, texts: pa.Array) -> np.ndarray:
         """Number of tokens of each text; null counts as empty."""
@@ -157,32 +176,26 @@ class WordEncoder(PartEncoder):
 
     def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
         super().__init__(path, remembered)
-        self.runs = _Kept()
+        self.runs = _Kept(remembered)
         self.mark, *rest = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
         self.marked = not rest
 
-    def _new(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        plain = [x for x in parts if not _NOT_PLAIN.search(x)]
-        if not self.marked or len(plain) < 2:
-            return super()._new(parts)
+    def _learn(self, parts: list[str]) -> None:
+        plain = [x for x in parts if not _NOT_PLAIN.search(x)] if self.marked else []
+        if len(plain) < len(parts):
+            known = set(plain)
+            super()._learn([x for x in parts if x not in known])
+        if not plain:
+            return
         runs = [_RUN.findall(x.lower()) for x in plain]
-        new = list(set(chain.from_iterable(runs)).difference(self.runs.place))
-        if self.runs.full(len(new), self.remembered):
-            self.runs = _Kept()
-            new = list(set(chain.from_iterable(runs)))
-        if new:
+        counts = np.cumsum(np.fromiter(map(len, runs), np.int64, len(runs)))
+        self.runs.settle()
+        if new := self.runs.missing(list(set(chain.from_iterable(runs)))):
             ids = np.array(self.tokenizer.encode_batch_fast([f" {_MARK} ".join([*new, ""])], add_special_tokens=False)[0].ids, np.uint32)
             at = np.flatnonzero(ids == self.mark)
             self.runs.add(new, ids[ids != self.mark], np.diff(at, prepend=-1) - 1)
-        counts = np.cumsum(np.fromiter(map(len, runs), np.int64, len(runs)))
-        flat, total = self.runs.gather(np.fromiter(map(self.runs.place.__getitem__, chain.from_iterable(runs)), np.int64, int(counts[-1])))
-        if len(plain) == len(parts):
-            return flat, np.diff(total[counts], prepend=0)
-        ends = dict(zip(plain, zip(np.concatenate([[0], total[counts][:-1]]), total[counts])))
-        other = [x for x in parts if x not in ends]
-        encoded = dict(zip(other, (x.ids for x in self.tokenizer.encode_batch_fast(other, add_special_tokens=False))))
-        pieces = [flat[slice(*ends[x])] if x in ends else np.array(encoded[x], np.uint32) for x in parts]
-        return np.concatenate(pieces), np.fromiter(map(len, pieces), np.int64, len(pieces))
+        flat, total = self.runs.gather(self.runs.places(chain.from_iterable(runs), int(counts[-1])))
+        self.kept.add(plain, flat, np.diff(total[counts], prepend=0))
 
 
 def _byte_of() -> dict[str, int]:
@@ -215,11 +228,12 @@ class ByteEncoder(PartEncoder):
             ranks = {bytes(map(byte_of.__getitem__, k)): i for k, i in vocabulary.items() if k not in added}
             self.quick = tiktoken.Encoding("own", pat_str=_BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def _new(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _learn(self, parts: list[str]) -> None:
         if self.quick is None:
-            return super()._new(parts)
+            super()._learn(parts)
+            return
         own = self.quick.encode_ordinary
-        return _flat([self.tokenizer.encode(x, add_special_tokens=False).ids if any(s in x for s in self.special) else own(x) for x in parts])
+        self.kept.add(parts, *_flat([self.tokenizer.encode(x, add_special_tokens=False).ids if any(s in x for s in self.special) else own(x) for x in parts]))
 
 
 _ENCODERS: dict[tuple[str, type], PartEncoder] = {}
