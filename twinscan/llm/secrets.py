@@ -32,6 +32,9 @@ THRESHOLD = 0.75
 #: Documents the models are learned from, about; taken by a hash of the id.
 TRAINING_DOCUMENTS = 20_000
 
+#: Weight of the single-character model against a step's own counts.
+BACKOFF = 8.0
+
 #: Characters '+' to 'z'.
 _FIRST, _LETTERS = 43, 80
 
@@ -74,7 +77,7 @@ def base_matches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bound: int = TRAINING_DOCUMENTS) -> list[float]:
-    """Log-likelihood ratio of each step, from about `bound` documents. Steps never seen count half."""
+    """Log-likelihood ratio of each step, from about `bound` documents."""
     share = bound / max(1, docs.count())
     taken = docs if share >= 1 else docs.where(F.pmod(F.xxhash64(doc_id), F.lit(1_000_000)) < int(share * 1_000_000))
     base = base_matches(taken, doc_id, text)
@@ -83,14 +86,21 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bound: in
     samples = F.concat(F.transform(secrets, lambda v: F.struct(F.lit(1).alias("random"), v.alias("token"))), F.transform(words, lambda v: F.struct(F.lit(0).alias("random"), v.alias("token"))))
     steps = base.select(F.explode(samples).alias("x")).groupBy("x.random", "x.token").count()
     counted = steps.select("random", "count", F.explode(_steps(F.col("token"))).alias("step")).groupBy("random", "step").agg(F.sum("count").alias("n"))
-    tables = [[0.5] * _LETTERS**2 for _ in range(2)]
+    tables = [[0.0] * _LETTERS**2 for _ in range(2)]
     for row in counted.collect():  # at most two rows for each step
         tables[row["random"]][row["step"]] += row["n"]
-    logs = []
-    for table in tables:
-        sums = [sum(table[i * _LETTERS : (i + 1) * _LETTERS]) for i in range(_LETTERS)]
-        logs.append([math.log(x / sums[i // _LETTERS]) for i, x in enumerate(table)])
-    return [round(r - o, 6) for o, r in zip(*logs)]
+    return [round(r - o, 6) for o, r in zip(*map(_log_probabilities, tables))]
+
+
+def _log_probabilities(steps: list[float]) -> list[float]:
+    """log P(next | this), smoothed towards how often the next character follows any."""
+    total = sum(steps)
+    follows = [(sum(steps[i :: _LETTERS]) + 0.5) / (total + 0.5 * _LETTERS) for i in range(_LETTERS)]
+    out = []
+    for i in range(_LETTERS):
+        row = steps[i * _LETTERS : (i + 1) * _LETTERS]
+        out += [math.log((x + BACKOFF * p) / (sum(row) + BACKOFF)) for x, p in zip(row, follows)]
+    return out
 
 
 def find_secrets(docs: DataFrame, ratios: list[float], doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
