@@ -95,7 +95,7 @@ def test_tokens_and_sequences(values):
     )
     assert got["s"].split(" | ") == [
         "function_definition:def func(params):", "<VAR>", "<NUMBER>", "return_statement:return expr", "if_statement:if condition:",
-        "assignment:var = expr", "class_definition:class VeryLongClassN...", "binary_operator:+", "boolean_operator:and",
+        "assignment:var = expr", "class_definition:class VeryLongClassName(Base):", "binary_operator:+", "boolean_operator:and",
         "comparison_operator:==", "unary_expression:!", "call:func(args)",
     ]
     assert got["st"][:5] == ["FUNC_DEF", "VAR", "LITERAL", "RETURN", "CONDITIONAL"] and got["st"][6] == "CLASS_DEFINITION"
@@ -141,9 +141,10 @@ def test_lcs_and_penalties(spark, values):
 
     got = values(
         a=lcs_similarity(seq("ABCD"), seq("BCEF")), b=lcs_similarity(seq("ABCBDAB"), seq("BDCABA")), c=lcs_similarity(seq(""), seq("")),
-        d=lcs_similarity(seq("A"), seq("")), e=lcs_similarity(F.array_repeat(F.lit("x"), 10001), F.array_repeat(F.lit("x"), 10001)),
+        d=lcs_similarity(seq("A"), seq("")), e=lcs_similarity(F.array_repeat(F.lit("x"), 50_000), F.array_repeat(F.lit("x"), 50_000)),
+        f=lcs_similarity(F.array_repeat(F.lit("x"), 50_000), F.concat(F.lit(["y"]), F.array_repeat(F.lit("x"), 49_999))),
     )
-    assert got == {"a": 0.5, "b": 4 / 7, "c": 1.0, "d": 0.0, "e": 0.0}
+    assert got == {"a": 0.5, "b": 4 / 7, "c": 1.0, "d": 0.0, "e": 1.0, "f": 49_999 / 50_000}
     r = length_ratio(F.lit(2), F.lit(5))
     got = values(a=length_penalty(r), b=length_penalty(r, "function"), c=length_ratio(F.lit(0), F.lit(0)), d=combined_score(F.lit(0.5), F.lit(1.0), F.lit(0.2)))
     assert got == {"a": 0.9, "b": 0.8, "c": 0.0, "d": 0.56}

@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from twinscan.operators import blocks, functions, graph, scoring, sequences
-from twinscan.operators.pairs import candidate_counts, threshold_pairs
+from twinscan.operators.pairs import candidate_counts, copy_class_members, threshold_pairs
 from twinscan.operators.tokenize import tokenize_files
 
 
@@ -33,14 +33,39 @@ def test_threshold_pairs_equal_all_pairs(spark):
         want = {}
         for a, b in combinations([c for c in classes if c], 2):
             if jac(a, b) >= t and len({g for _, g in classes[a] + classes[b]}) > 1:
-                x, y = sorted([classes[a], classes[b]], key=min)
-                want[min(x)[0], min(y)[0]] = (len(x), len(y), round(jac(a, b), 9))
+                x, y = sorted([classes[a], classes[b]], key=lambda c: min((g, i) for i, g in c))
+                (g1, low), (g2, high) = min((g, i) for i, g in x), max((g, i) for i, g in y)
+                if g1 == g2:
+                    high, low = min((g, i) for i, g in y)[1], max((g, i) for i, g in x)[1]
+                sides = sorted([(low, len(x), min(x)[0]), (high, len(y), min(y)[0])])
+                want[sides[0][0], sides[1][0]] = (sides[0][1], sides[1][1], sides[0][2], sides[1][2], round(jac(a, b), 9))
         for p, members in classes.items():
             if p and len({g for _, g in members}) > 1:
-                ids = [i for i, _ in members]
-                want[min(ids), max(ids)] = (len(ids), len(ids), 1.0)
-        got = {(r.left_id, r.right_id): (r.left_copies, r.right_copies, round(r.similarity, 9)) for r in threshold_pairs(df, ["scope"], t).collect()}
+                ends = sorted(f((g, i) for i, g in members)[1] for f in (min, max))
+                want[tuple(ends)] = (len(members), len(members), min(members)[0], min(members)[0], 1.0)
+        got = {
+            (r.left_id, r.right_id): (r.left_copies, r.right_copies, r.left_class, r.right_class, round(r.similarity, 9))
+            for r in threshold_pairs(df, ["scope"], t).collect()
+        }
         assert got == want
+        group = {i: g for i, g, _ in rows}
+        assert all(group[x] != group[y] for x, y in got)
+
+
+def test_pairs_name_different_groups(spark):
+    rows = [(1, "g1", ["a", "b", "c", "d"]), (2, "g2", ["a", "b", "c", "d"]), (3, "g1", ["a", "b", "c", "d"]), (4, "g1", ["a", "b", "c", "d", "e"])]
+    df = spark.createDataFrame([("s", *r) for r in rows], "scope string, id long, group_id string, parts array<string>")
+    got = {(r.left_id, r.right_id) for r in threshold_pairs(df, ["scope"], 0.7).collect()}
+    assert got == {(1, 2), (2, 4)}
+    members = {(r.id, r.class_id, r.copies) for r in copy_class_members(df, ["scope"]).collect()}
+    assert members == {(1, 1, 3), (2, 1, 3), (3, 1, 3), (4, 4, 1)}
+
+
+def test_hot_parts_are_cut_into_a_grid(spark, monkeypatch):
+    monkeypatch.setattr("twinscan.operators.pairs.HOT_PART", 3)
+    rows = [("s", i, f"g{i}", ["all", "same", f"x{i}"]) for i in range(20)]
+    df = spark.createDataFrame(rows, "scope string, id long, group_id string, parts array<string>")
+    assert threshold_pairs(df, ["scope"], 0.5).count() == 190
 
 
 def py_source(name, k, extra):
@@ -79,7 +104,7 @@ def fuzzy(p1, p2):
     s1, s2 = set(c1), set(c2)
     exact = jac(s1, s2)
     u1, u2 = s1 - s2, s2 - s1
-    if not u1 or not u2 or len(u1) * len(u2) > 50:
+    if not u1 or not u2:
         return exact
     total = 0.0
     for p in u1:
@@ -198,5 +223,5 @@ def test_submission_scores_equal_brute_force(spark):
             + 0.15 * seq_score(a["flow"], b["flow"]) + 0.05 * seq_score(a["ops"], b["ops"])
         ) * (1.0 if ratio > 0.5 else 0.9)
         assert abs(r.overall_similarity - want) < 6e-5 and r.files1 == 3
-    short = sequences.submission_sequences(features, limit=10).first()
-    assert short.types is None and short.n_types > 10
+    for r in sequences.submission_sequences(features).collect():
+        assert r.types == whole[r.submission_id]["types"] and len(r.types) == r.n_types

@@ -7,11 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinscan.functions.kernels import text_ratios
+from twinscan.functions.kernels import near_matches
 from twinscan.functions.text import strip
 from twinscan.functions.tokens import part_set
 
-# Weights, thresholds and limits of the two scores.
+# Weights and thresholds of the two scores.
 SUBMISSION_WEIGHTS = {
     "jaccard": 0.25,
     "structural": 0.30,
@@ -21,11 +21,6 @@ SUBMISSION_WEIGHTS = {
     "type": 0.05,
 }
 FUNCTION_WEIGHTS = {"structural": 0.4, "type_sequence": 0.25, "flow": 0.2, "operation": 0.1, "type_set": 0.05}
-LONG_SEQUENCE = 1000
-FUZZY_COMBINATIONS = 50
-FUZZY_RATIO = 0.6
-FUZZY_LENGTH_GAP = 0.4
-FUZZY_LETTERS = 0.3
 FUZZY_SHARE = 0.3
 SHARED_BLOCK_SCORE = 0.7
 HIGH_SIMILARITY = 0.7
@@ -55,18 +50,9 @@ def type_similarity(types1: Column, types2: Column) -> Column:
 def with_fuzzy_jaccard(df: DataFrame, name: str, parts1: Column, parts2: Column) -> DataFrame:
     """Add exact Jaccard, blended with the best near matches of the left parts that have no equal.
 
-    Not symmetric. Applied only when there are at most fifty unmatched combinations, so the inner
-    arrays stay small; pairs beyond that keep the exact value.
+    Not symmetric. Only parts without an equal travel to the Arrow kernel, whatever their number.
     """
 
-    def letters(x: Column) -> Column:
-        return F.array_distinct(F.split(x, ""))
-
-    def near(p: Column, q: Column) -> Column:
-        gap = F.abs(F.length(p) - F.length(q)) / F.greatest(F.length(p), F.length(q))
-        shared = F.size(F.array_intersect(letters(p), letters(q))) / F.size(F.array_union(letters(p), letters(q)))
-        return (gap <= FUZZY_LENGTH_GAP) & (shared >= FUZZY_LETTERS)
-
     def kept(parts: Column) -> Column:
         return F.size(F.filter(parts, lambda p: F.length(strip(p)) > 0))
 
@@ -77,34 +63,12 @@ def with_fuzzy_jaccard(df: DataFrame, name: str, parts1: Column, parts2: Column)
         .withColumn("_only2", F.array_except("_s2", "_s1"))
         .withColumn("_exact", set_jaccard(F.col("_s1"), F.col("_s2")))
     )
-    combos = F.size("_only1") * F.size("_only2")
-    df = df.withColumn("_fits", (combos > 0) & (combos <= FUZZY_COMBINATIONS)).withColumn(
-        "_near",
-        F.flatten(
-            F.transform(
-                F.when(F.col("_fits"), F.col("_only1")),
-                lambda p: F.transform(
-                    F.filter("_only2", lambda q: near(p, q)), lambda q: F.named_struct(F.lit("p"), p, F.lit("q"), q)
-                ),
-            )
-        ),
-    )
-    ratios = text_ratios(F.transform("_near", lambda c: c["p"]), F.transform("_near", lambda c: c["q"]))
-    df = df.withColumn("_ratios", ratios).withColumn(
-        "_scored", F.zip_with("_near", "_ratios", lambda c, r: F.named_struct(F.lit("p"), c["p"], F.lit("r"), r))
-    )
-
-    def best(p: Column) -> Column:
-        good = F.filter("_scored", lambda s: (s["p"] == p) & (s["r"] >= FUZZY_RATIO))
-        return F.coalesce(F.array_max(F.transform(good, lambda s: s["r"])), F.lit(0.0))
-
-    df = df.withColumn("_total", F.aggregate(F.transform("_only1", best), F.lit(0.0), lambda acc, x: acc + x))
+    both = (F.size("_only1") > 0) & (F.size("_only2") > 0)
+    df = df.withColumn("_total", F.coalesce(near_matches(F.when(both, F.col("_only1")), F.when(both, F.col("_only2"))), F.lit(0.0)))
     weight = FUZZY_SHARE * (F.size("_only1") / F.greatest(kept(parts1), kept(parts2), F.lit(1)))
     average = F.col("_total") / F.greatest(F.size("_only1"), F.lit(1))
     blended = F.least(F.lit(1.0), F.col("_exact") * (1 - weight) + average * weight)
-    return df.withColumn(name, F.when(F.col("_fits") & (F.col("_total") > 0), blended).otherwise(F.col("_exact"))).drop(
-        "_s1", "_s2", "_only1", "_only2", "_exact", "_fits", "_near", "_ratios", "_scored", "_total"
-    )
+    return df.withColumn(name, F.when(F.col("_total") > 0, blended).otherwise(F.col("_exact"))).drop("_s1", "_s2", "_only1", "_only2", "_exact", "_total")
 
 
 def length_ratio(n1: Column, n2: Column) -> Column:
@@ -116,22 +80,9 @@ def length_penalty(ratio: Column, level: str = "submission") -> Column:
     return F.when(ratio > 0.5, 1.0).when(ratio > 0.3, medium).otherwise(low)
 
 
-def with_weighted_score(
-    df: DataFrame, name: str, metrics: dict[str, str], weights: dict[str, float], lengths: dict[str, Column]
-) -> DataFrame:
-    """Add the weighted sum of metric columns; the weight of a skipped metric (0.0 on a long sequence) is
-    shared equally by the others. Helper columns keep each condition evaluated once."""
-    skips = {k: f"_skip_{k}" for k in lengths}
-    for k, n in lengths.items():
-        df = df.withColumn(skips[k], (F.col(metrics[k]) == 0.0) & (n > LONG_SEQUENCE))
-    lost = reduce(lambda x, y: x + y, [F.when(F.col(s), weights[k]).otherwise(0.0) for k, s in skips.items()])
-    left = F.lit(len(weights)) - reduce(lambda x, y: x + y, [F.col(s).cast("int") for s in skips.values()])
-    df = df.withColumn("_bonus", lost / left)
-    terms = []
-    for k, w in weights.items():
-        weight = F.lit(w) + F.col("_bonus")
-        terms.append(F.col(metrics[k]) * (F.when(F.col(skips[k]), w).otherwise(weight) if k in skips else weight))
-    return df.withColumn(name, reduce(lambda x, y: x + y, terms)).drop("_bonus", *skips.values())
+def weighted_score(metrics: dict[str, str], weights: dict[str, float]) -> Column:
+    """Weighted sum of metric columns. A 0.0 is a score like any other."""
+    return reduce(lambda x, y: x + y, [F.col(metrics[k]) * F.lit(w) for k, w in weights.items()])
 
 
 def combined_score(jaccard: Column, types: Column, shared: Column) -> Column:

@@ -54,8 +54,8 @@ def code_block(text: Column, start: Column, end: Column) -> Column:
     ).otherwise(F.lit(""))
 
 
-def extract_imports(text: Column, keep: int = 10) -> Column:
-    """Ordered distinct names of import lines; the graph shows the first ten."""
+def extract_imports(text: Column) -> Column:
+    """Ordered distinct names of all import lines."""
     clauses = F.regexp_extract_all(text, F.lit(r"(?Ud)(?m)^(?:from\s+\S+\s+)?import\s+([^#\n]+)"), F.lit(1))
     names = F.flatten(
         F.transform(
@@ -65,4 +65,4 @@ def extract_imports(text: Column, keep: int = 10) -> Column:
             ),
         )
     )
-    return F.slice(F.array_distinct(F.filter(names, lambda n: n != "")), 1, keep)
+    return F.array_distinct(F.filter(names, lambda n: n != ""))

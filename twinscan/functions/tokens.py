@@ -54,13 +54,13 @@ WORD_MATH, SIGN_MATH = ["+", "-", "*", "/", "//", "%", "**"], ["+", "-", "*", "/
 COMPARE = ["==", "!=", "<", ">", "<=", ">="]
 WORD_LOGIC, SIGN_LOGIC = ["and", "or", "not"], ["&&", "||", "!"]
 
+# Token types whose text is rewritten, and (in normalize_structural) how.
 REWRITTEN_TYPES = [
     "function_definition", "method_definition", "class_definition", "return_statement", "assignment",
     "if_statement", "elif_clause", "for_statement", "while_statement", "call",
 ]
 
 PART_SEPARATOR = " | "
-TEXT_KEPT = 20
 
 
 def prepare_for_similarity(tokens: Column) -> Column:
@@ -99,12 +99,8 @@ def normalize_structural(text: Column, kind: Column) -> Column:
     )
 
 
-def _shorten(text: Column) -> Column:
-    return F.when(F.length(text) > TEXT_KEPT, F.concat(F.substring(text, 1, TEXT_KEPT), F.lit("..."))).otherwise(text)
-
-
 def signature_texts(prepared: Column) -> Column:
-    """One text per prepared token: the placeholder, or its type and the first characters of its text."""
+    """One text per prepared token: the placeholder, or its type and its rewritten text."""
 
     def reduced(t: Column) -> Column:
         text = strip(t["text"])
@@ -117,7 +113,7 @@ def signature_texts(prepared: Column) -> Column:
     return F.transform(
         F.transform(prepared, reduced),
         lambda r: F.when(r["type"].isNull(), r["text"]).otherwise(
-            F.concat(r["type"], F.lit(":"), _shorten(r["text"]))
+            F.concat(r["type"], F.lit(":"), r["text"])
         ),
     )
 

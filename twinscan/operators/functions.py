@@ -67,7 +67,6 @@ CONSTRUCTORS = ["__init__", "__construct", "constructor", "init", "initialize",
 ANNOTATIONS = ["Test", "DisplayName", "Override", "Deprecated", "SuppressWarnings"]
 NOT_NAMES = ["if", "for", "while", "switch", "catch", "return", "function", "else", "do", "try", "new", "with"]
 
-MIN_LINES = 5  # fixed value: shorter functions are not compared
 
 
 def is_constructor(name: Column) -> Column:

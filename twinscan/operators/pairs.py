@@ -14,9 +14,7 @@ from pyspark.sql import functions as F
 from twinscan.functions.similarity import set_jaccard
 from twinscan.sources.tables import materialize
 
-HEAVY_PARTS = 200_000  # rows of the broadcast frequency table, whatever the vocabulary
-HOT_PART = 5_000  # postings of a part above which its join group is split
-MAX_SALTS = 64
+HOT_PART = 5_000  # postings of a part above which its join group is cut into a grid
 EPS = 1e-9
 
 
@@ -26,36 +24,56 @@ def content_key(*columns: Column) -> Column:
 
 
 def copy_classes(rows: DataFrame, scope: list[str], key: Column | None = None) -> DataFrame:
-    """Collapse rows (scope, id, group_id, parts) of equal content to one row each.
+    """Collapse rows (scope, id, group_id, parts) of equal part sets to one row each.
 
-    Keeps the number of copies, the first and last id and the range of groups: two classes hold a pair
-    of different groups unless all their members are in one single group.
+    A class keeps the number of its rows and two of them, chosen by (group, id): its first, and its last.
+    They stand in different groups unless all rows of the class stand in one. Only the first row's parts
+    are fetched, by a join, so no array is aggregated.
     """
     keyed = rows.withColumn("class_key", content_key(F.array_sort("parts")) if key is None else key)
-    return keyed.groupBy(*scope, "class_key").agg(
-        F.count("*").alias("copies"),
-        F.min("id").alias("id"),
-        F.max("id").alias("last_id"),
-        F.min("group_id").alias("min_group"),
-        F.max("group_id").alias("max_group"),
-        F.first("parts").alias("parts"),
+    member = F.struct("group_id", "id")
+    classes = (
+        keyed.groupBy(*scope, "class_key")
+        .agg(F.count("*").alias("copies"), F.min(member).alias("low"), F.max(member).alias("high"), F.min("id").alias("first_id"))
+        .select(*scope, "class_key", "copies", "low", "high", F.col("first_id").alias("id"))
+    )
+    parts = keyed.select(*[F.col(c).alias(f"_{c}") for c in scope], F.col("class_key").alias("_key"), F.col("id").alias("_id"), "parts")
+    first = (F.col("class_key") == F.col("_key")) & (F.col("id") == F.col("_id"))
+    for c in scope:
+        first = first & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return classes.join(parts, first).select(
+        *scope,
+        "class_key",
+        "copies",
+        "id",
+        F.col("low.id").alias("low_id"),
+        F.col("low.group_id").alias("min_group"),
+        F.col("high.id").alias("high_id"),
+        F.col("high.group_id").alias("max_group"),
+        "parts",
     )
 
 
+def copy_class_members(rows: DataFrame, scope: list[str], key: Column | None = None) -> DataFrame:
+    """Each row (scope, id, group_id) with the name of its class, the smallest id in it, and their number:
+    who stands behind a pair of classes. As many rows as given; copies are never expanded into pairs."""
+    keyed = rows.withColumn("class_key", content_key(F.array_sort("parts")) if key is None else key)
+    named = keyed.groupBy(*scope, "class_key").agg(F.min("id").alias("class_id"), F.count("*").alias("copies"))
+    return keyed.select(*scope, "class_key", "id", "group_id").join(named, [*scope, "class_key"]).drop("class_key")
+
+
 def _ordered(classes: DataFrame, scope: list[str]) -> DataFrame:
-    """Parts of each class in the global order (document frequency, text)."""
-    postings = classes.select(*scope, "class_key", F.explode("parts").alias("part"))
-    heavy = (
-        postings.groupBy("part")
-        .agg(F.count("*").alias("n"))
-        .filter(F.col("n") > 1)
-        .orderBy(F.desc("n"), "part")
-        .limit(HEAVY_PARTS)
-    )
+    """Hashes of each class's parts in the global order (document frequency, hash).
+
+    Frequencies come by an ordinary shuffled join, whose frequent parts adaptive execution splits. Two parts
+    of one hash only make more candidates; all are verified on the parts themselves.
+    """
+    postings = classes.select(*scope, "class_key", F.explode(F.transform("parts", lambda p: F.xxhash64(p))).alias("part"))
+    counted = postings.groupBy("part").agg(F.count("*").alias("n")).withColumnRenamed("part", "_part")
     return (
-        postings.join(F.broadcast(heavy), "part", "left")
+        postings.join(counted, F.col("part") == F.col("_part"))
         .groupBy(*scope, "class_key")
-        .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "part"))).alias("parts"))
+        .agg(F.array_sort(F.collect_list(F.struct("n", "part"))).alias("parts"))
     )
 
 
@@ -76,7 +94,7 @@ def prefixes(ordered: DataFrame, scope: list[str], threshold: float) -> DataFram
         "band",
         "pos",
         F.col("entry.part").alias("part"),
-        F.least(F.ceil(F.col("entry.n") / HOT_PART), F.lit(MAX_SALTS)).cast("int").alias("salts"),
+        F.greatest(F.ceil(F.col("entry.n") / HOT_PART), F.lit(1)).cast("int").alias("cells"),
     )
 
 
@@ -90,34 +108,26 @@ def required_overlap(m: Column, n: Column, threshold: float, measure: str) -> Co
 def candidate_classes(classes: DataFrame, scope: list[str], threshold: float, measure: str = "jaccard") -> DataFrame:
     """Class pairs (a < b by key) that share a prefix part and pass the length and position bounds.
 
-    Sizes are cut into bands by the threshold, so only equal or neighbouring bands meet; groups of
-    frequent parts are split by a salt.
+    Sizes are cut into bands by the threshold, so only equal or neighbouring bands meet; the groups of
+    frequent parts are cut into a grid, however frequent they are.
     """
     return meet(prefixes(_ordered(classes, scope), scope, threshold), scope, threshold, measure)
 
 
 def meet(rows: DataFrame, scope: list[str], threshold: float, measure: str) -> DataFrame:
-    """Join prefix rows with themselves inside the scope."""
-    keys = [*scope, "part", "band", "salt"]
+    """Join prefix rows with themselves inside the scope. A part of k cells has a grid of k x k tasks: the
+    probing rows fill its rows, the others its columns, so neither side of any task grows with the part."""
+    keys = [*scope, "part", "band", "across", "down"]
+    every = F.sequence(F.lit(0), F.col("cells") - 1)
+    own = F.pmod(F.xxhash64("class_key"), F.col("cells")).cast("int")
     probe = rows.select(
-        *scope,
-        "part",
-        F.pmod(F.hash("class_key"), F.greatest("salts", F.lit(1))).alias("salt"),
-        F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"),
-        (F.col("band")).alias("own_band"),
-        F.col("class_key").alias("a_key"),
-        F.col("size").alias("a_size"),
-        F.col("pos").alias("a_pos"),
-    )
+        *scope, "part", "cells", own.alias("across"), F.explode(every).alias("down"), F.col("band").alias("own_band"),
+        F.col("class_key").alias("a_key"), F.col("size").alias("a_size"), F.col("pos").alias("a_pos"),
+    ).withColumn("band", F.explode(F.array(F.col("own_band"), F.col("own_band") - 1))).drop("cells")
     index = rows.select(
-        *scope,
-        "part",
-        "band",
-        F.explode(F.sequence(F.lit(0), F.greatest("salts", F.lit(1)) - 1)).alias("salt"),
-        F.col("class_key").alias("b_key"),
-        F.col("size").alias("b_size"),
-        F.col("pos").alias("b_pos"),
-    )
+        *scope, "part", "band", own.alias("down"), F.explode(every).alias("across"),
+        F.col("class_key").alias("b_key"), F.col("size").alias("b_size"), F.col("pos").alias("b_pos"),
+    )
     possible = 1 + F.least(F.col("a_size") - F.col("a_pos") - 1, F.col("b_size") - F.col("b_pos") - 1)
     met = probe.join(index, keys).filter(
         ((F.col("band") < F.col("own_band")) | (F.col("a_key") < F.col("b_key")))
@@ -144,28 +154,35 @@ def threshold_pairs(
 ) -> DataFrame:
     """Exact similarity join of rows (scope, id, group_id, parts) at `threshold`.
 
-    One result row per pair of distinct contents, and one per content that occurs more than once (its
-    first and last id, similarity 1.0); `left_copies`/`right_copies` say how many rows each side stands
-    for. With `across_groups` a pair counts only if two different groups are involved.
+    One result row per pair of classes, and one per class that itself holds a pair (similarity 1.0).
+    `left_copies`/`right_copies` say how many rows each side stands for, `left_class`/`right_class` name the
+    classes by their smallest ids; `copy_class_members` lists all members. With `across_groups` a pair counts only if it involves
+    two different groups, and the two ids named are of different groups: the first of one class by (group,
+    id) and the last of the other. Without it the smallest ids are named.
     """
     classes = materialize(copy_classes(rows, scope, key))
     candidates = candidate_classes(classes, scope, threshold, measure)
     pairs = candidates.join(_side(classes, scope, "a"), [*scope, "a_key"]).join(
         _side(classes, scope, "b"), [*scope, "b_key"]
     )
-    one_group = (
-        (F.col("a_min_group") == F.col("a_max_group"))
-        & (F.col("b_min_group") == F.col("b_max_group"))
-        & (F.col("a_min_group") == F.col("b_min_group"))
-    )
-    if across_groups:
-        pairs = pairs.filter(~one_group)
     if measure == "jaccard":
         score = set_jaccard(F.col("a_parts"), F.col("b_parts"))
     else:
         score = F.size(F.array_intersect("a_parts", "b_parts")) / F.greatest(F.size("a_parts"), F.size("b_parts"))
     pairs = pairs.withColumn("similarity", score).filter(F.col("similarity") >= threshold)
-    swap = F.col("b_id") < F.col("a_id")
+    if across_groups:
+        # The smaller of the two first members names its side; the other side gives its last member. If those
+        # are of one group, then both classes' ranges meet in it, and the members the other way round differ.
+        low_first = F.struct("a_min_group", "a_low_id") <= F.struct("b_min_group", "b_low_id")
+        straight = F.col("a_min_group") != F.col("b_max_group")
+        crossed = F.col("b_min_group") != F.col("a_max_group")
+        use_straight = straight & (low_first | ~crossed)
+        pairs = pairs.filter(straight | crossed)
+        named = {"a": F.when(use_straight, F.col("a_low_id")).otherwise(F.col("a_high_id")), "b": F.when(use_straight, F.col("b_high_id")).otherwise(F.col("b_low_id"))}
+    else:
+        named = {"a": F.col("a_id"), "b": F.col("b_id")}
+    pairs = pairs.withColumn("a_named", named["a"]).withColumn("b_named", named["b"])
+    swap = F.col("b_named") < F.col("a_named")
 
     def pick(c: str, first: bool) -> Column:
         x, y = (f"a_{c}", f"b_{c}") if first else (f"b_{c}", f"a_{c}")
@@ -173,21 +190,25 @@ def threshold_pairs(
 
     distinct_pairs = pairs.select(
         *scope,
-        pick("id", True).alias("left_id"),
-        pick("id", False).alias("right_id"),
+        pick("named", True).alias("left_id"),
+        pick("named", False).alias("right_id"),
         pick("copies", True).alias("left_copies"),
         pick("copies", False).alias("right_copies"),
+        pick("id", True).alias("left_class"),
+        pick("id", False).alias("right_class"),
         "similarity",
     )
     repeated = classes.filter((F.col("copies") > 1) & (F.size("parts") > 0))
     if across_groups:
-        repeated = repeated.filter(F.col("min_group") < F.col("max_group"))
+        repeated = repeated.filter(F.col("min_group") != F.col("max_group"))
     copies = repeated.select(
         *scope,
-        F.col("id").alias("left_id"),
-        F.col("last_id").alias("right_id"),
+        F.least("low_id", "high_id").alias("left_id"),
+        F.greatest("low_id", "high_id").alias("right_id"),
         F.col("copies").alias("left_copies"),
         F.col("copies").alias("right_copies"),
+        F.col("id").alias("left_class"),
+        F.col("id").alias("right_class"),
         F.lit(1.0).alias("similarity"),
     )
     return distinct_pairs.unionByName(copies)

@@ -66,21 +66,12 @@ def compare_similarity(pairs: DataFrame, fuzzy: bool = True, rounded: bool = Tru
         n1.alias("tokens1_length"),
         n2.alias("tokens2_length"),
         F.array_intersect(f1["types"], f2["types"]).alias("common_types"),
-        _preview(f1["parts"]).alias("signature1"),
-        _preview(f2["parts"]).alias("signature2"),
+        _signature(f1["parts"]).alias("signature1"),
+        _signature(f2["parts"]).alias("signature2"),
     ).withColumn("length_penalty", sim.length_penalty(F.col("length_ratio")))
 
-    def longer(name: str) -> Column:
-        return F.greatest(F.size(f1[name]), F.size(f2[name]))
-
-    scored = sim.with_weighted_score(
-        scored,
-        "overall_similarity",
-        {k: f"{k}_similarity" for k in sim.SUBMISSION_WEIGHTS},
-        sim.SUBMISSION_WEIGHTS,
-        {"structural": longer("structural"), "type_sequence": longer("types"), "flow": longer("flow"), "operation": longer("ops")},
-    )
-    scored = scored.withColumn("overall_similarity", F.col("overall_similarity") * F.col("length_penalty"))
+    total = sim.weighted_score({k: f"{k}_similarity" for k in sim.SUBMISSION_WEIGHTS}, sim.SUBMISSION_WEIGHTS)
+    scored = scored.withColumn("overall_similarity", total * F.col("length_penalty"))
     if rounded:
         for c in (
             "overall_similarity", "structural_similarity", "type_sequence_similarity", "flow_similarity",
@@ -90,9 +81,9 @@ def compare_similarity(pairs: DataFrame, fuzzy: bool = True, rounded: bool = Tru
     return scored.drop("f1", "f2")
 
 
-def _preview(parts: Column) -> Column:
-    signature = F.array_join(parts, tok.PART_SEPARATOR)
-    return F.when(F.length(signature) > 100, F.concat(F.substring(signature, 1, 100), F.lit("..."))).otherwise(signature)
+def _signature(parts: Column) -> Column:
+    """Hash of a whole signature."""
+    return F.sha2(F.array_join(parts, tok.PART_SEPARATOR), 256)
 
 
 def function_similarity(pairs: DataFrame) -> DataFrame:
@@ -115,16 +106,7 @@ def function_similarity(pairs: DataFrame) -> DataFrame:
         sim.length_penalty(sim.length_ratio(n1, n2), "function").alias("_penalty"),
     )
 
-    def longer(name: str) -> Column:
-        return F.greatest(F.size(f1[name]), F.size(f2[name]))
-
-    scored = sim.with_weighted_score(
-        scored,
-        "_score",
-        {k: f"{k}_similarity" for k in sim.FUNCTION_WEIGHTS},
-        sim.FUNCTION_WEIGHTS,
-        {"structural": longer("structural"), "type_sequence": longer("types"), "flow": longer("flow"), "operation": longer("ops")},
-    )
+    scored = scored.withColumn("_score", sim.weighted_score({k: f"{k}_similarity" for k in sim.FUNCTION_WEIGHTS}, sim.FUNCTION_WEIGHTS))
     return scored.withColumn(
         "similarity_score", F.when(present, F.col("_score") * F.col("_penalty")).otherwise(F.lit(0.0))
     ).drop("f1", "f2", "_penalty", "_score")

@@ -1,8 +1,4 @@
-"""Submission-level sequences: the tokens of all files of a submission, in path order.
-
-Sequences longer than the comparison limit always score 0.0, so only those within it are ever
-collected; a submission of any size costs a count, not one huge row.
-"""
+"""Submission-level sequences: the tokens of all files of a submission, in path order, at any length."""
 
 from __future__ import annotations
 
@@ -10,36 +6,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinscan.functions import similarity as sim
-from twinscan.functions.kernels import LCS_LIMIT, lcs_similarity
+from twinscan.functions.kernels import lcs_similarity
 
 SEQUENCES = ["types", "structural", "flow", "ops"]
 
 
-def submission_sequences(features: DataFrame, limit: int = LCS_LIMIT) -> DataFrame:
-    """Per submission: each sequence concatenated in path order with its length; null beyond `limit`."""
-    sizes = features.groupBy("submission_id").agg(
-        F.sum("n_tokens").alias("n_tokens"),
-        F.count("*").alias("files_count"),
-        *[F.sum(F.size(s)).alias(f"n_{s}") for s in SEQUENCES],
-    )
-    owned = features.join(sizes.drop("n_tokens", "files_count"), "submission_id")
-    parts = owned.groupBy("submission_id").agg(
-        *[
-            F.array_sort(
-                F.collect_list(F.when((F.col(f"n_{s}") <= limit) & (F.size(s) > 0), F.struct("path", F.col(s).alias("seq"))))
-            ).alias(s)
-            for s in SEQUENCES
-        ]
-    )
-    return sizes.join(parts, "submission_id").select(
-        "submission_id",
-        "n_tokens",
-        "files_count",
-        *[f"n_{s}" for s in SEQUENCES],
-        *[
-            F.when(F.col(f"n_{s}") <= limit, F.flatten(F.transform(s, lambda e: e["seq"]))).alias(s) for s in SEQUENCES
-        ],
-    )
+def submission_sequences(features: DataFrame) -> DataFrame:
+    """Per submission: each sequence concatenated in path order with its length. A row is one submission."""
+    return (
+        features.groupBy("submission_id")
+        .agg(
+            F.sum("n_tokens").alias("n_tokens"),
+            F.count("*").alias("files_count"),
+            *[F.sum(F.size(s)).alias(f"n_{s}") for s in SEQUENCES],
+            F.array_sort(F.collect_list(F.struct("path", *SEQUENCES))).alias("files"),
+        )
+        .select(
+            "submission_id", "n_tokens", "files_count", *[f"n_{s}" for s in SEQUENCES],
+            *[F.flatten(F.col(f"files.{s}")).alias(s) for s in SEQUENCES],
+        )
+    )
 
 
 def submission_parts(features: DataFrame) -> DataFrame:
@@ -80,8 +66,7 @@ def submission_types(features: DataFrame) -> DataFrame:
 def compare_submissions(pairs: DataFrame, features: DataFrame) -> DataFrame:
     """All metrics of submission pairs (submission_id, compared_submission_id) over their concatenated files.
 
-    Jaccard is the exact one: part sets of whole submissions stay rows. A sequence beyond the limit scores
-    0.0, as in the file comparison.
+    Jaccard is the exact one: part sets of whole submissions stay rows.
     """
     ids = ["submission_id", "compared_submission_id"]
     whole = submission_sequences(features).join(submission_types(features), "submission_id", "left")
@@ -97,8 +82,7 @@ def compare_submissions(pairs: DataFrame, features: DataFrame) -> DataFrame:
 
     def score(name: str):
         a, b = F.coalesce(s1[name], none), F.coalesce(s2[name], none)
-        beyond = F.greatest(s1[f"n_{name}"], s2[f"n_{name}"]) > LCS_LIMIT
-        return F.when(beyond, 0.0).otherwise(lcs_similarity(a, b))
+        return lcs_similarity(a, b)
 
     metrics = {"structural": "structural", "type_sequence": "types", "flow": "flow", "operation": "ops"}
     scored = joined.select(
@@ -106,19 +90,11 @@ def compare_submissions(pairs: DataFrame, features: DataFrame) -> DataFrame:
         "jaccard_similarity",
         sim.type_similarity(types(s1), types(s2)).alias("type_similarity"),
         *[score(s).alias(f"{m}_similarity") for m, s in metrics.items()],
-        *[F.greatest(s1[f"n_{s}"], s2[f"n_{s}"]).alias(f"_longest_{m}") for m, s in metrics.items()],
         sim.length_ratio(s1["n_types"], s2["n_types"]).alias("length_ratio"),
         s1["n_tokens"].alias("tokens1"),
         s2["n_tokens"].alias("tokens2"),
         s1["files_count"].alias("files1"),
         s2["files_count"].alias("files2"),
     ).withColumn("length_penalty", sim.length_penalty(F.col("length_ratio")))
-    scored = sim.with_weighted_score(
-        scored,
-        "overall_similarity",
-        {k: f"{k}_similarity" for k in sim.SUBMISSION_WEIGHTS},
-        sim.SUBMISSION_WEIGHTS,
-        {m: F.col(f"_longest_{m}") for m in metrics},
-    )
-    overall = F.bround(F.col("overall_similarity") * F.col("length_penalty"), 4)
-    return scored.withColumn("overall_similarity", overall).drop(*[f"_longest_{m}" for m in metrics])
+    total = sim.weighted_score({k: f"{k}_similarity" for k in sim.SUBMISSION_WEIGHTS}, sim.SUBMISSION_WEIGHTS)
+    return scored.withColumn("overall_similarity", F.bround(total * F.col("length_penalty"), 4))

@@ -13,7 +13,6 @@ from twinscan.schema import METRICS
 MAX_SIZE_BYTES = 5 * 1024**3
 MAX_FILES = 10_000
 MAX_DESCRIPTION = 1000
-MAX_PAGE = 1000
 
 
 def submission_errors(have: set[str]) -> Column:
@@ -64,8 +63,8 @@ def deduplicate_submissions(subs: DataFrame) -> DataFrame:
 
 
 def list_submissions(subs: DataFrame, skip: int = 0, limit: int = 100) -> DataFrame:
-    """A page of submissions, newest first; never more than a thousand."""
-    return subs.orderBy(F.desc("upload_time"), "id").offset(skip).limit(min(limit, MAX_PAGE))
+    """A page of submissions, newest first."""
+    return subs.orderBy(F.desc("upload_time"), "id").offset(skip).limit(limit)
 
 
 def lookup(rows: DataFrame, newest_first: bool = True, **equals) -> DataFrame:

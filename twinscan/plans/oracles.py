@@ -109,7 +109,7 @@ def _operator_class(math, logic) -> str:
 
 
 PREPARED = f"""pre AS (SELECT *, {case_of('type', tokens.PLACEHOLDERS)} AS holder FROM tok WHERE type NOT IN ('comment', 'ERROR')),
-    sig AS (SELECT *, CASE WHEN holder IS NOT NULL THEN holder ELSE type || ':' || CASE WHEN length(rw) > 20 THEN left(rw, 20) || '...' ELSE rw END END AS part,
+    sig AS (SELECT *, CASE WHEN holder IS NOT NULL THEN holder ELSE type || ':' || rw END AS part,
         {case_of('type', tokens.STRUCTURAL, 'upper(type)')} AS struct_,
         CASE WHEN type IN {names(tokens.FLOW_TYPES)} THEN type END AS flow_,
         CASE WHEN type IN {names(tokens.WORD_OPERATOR_TYPES)} THEN {_operator_class(tokens.WORD_MATH, tokens.WORD_LOGIC)}
@@ -131,20 +131,36 @@ def jaccard(a: str, b: str) -> str:
 
 
 SCOPE = "project, language"
+# A class: all its groups, and its first and last row by (group, id). Of two classes, a is the one whose first
+# row comes first; it gives that row and b its last one, unless these are of one group: then the other way round.
+_RANGE = """list(DISTINCT group_id) AS gs, min(ROW(group_id, file_id)) AS lo, max(ROW(group_id, file_id)) AS hi"""
+_ONE_WAY = "a.lo < b.lo"
+_NOT_ONE_GROUP = "len(list_distinct(list_concat(a.gs, b.gs))) > 1"
+_A, _B = (f"CASE WHEN a.lo[1] <> b.hi[1] THEN {x} ELSE {y} END" for x, y in (("a.lo[2]", "a.hi[2]"), ("b.hi[2]", "b.lo[2]")))
+_NAMED_PAIR = (
+    f"least({_A}, {_B}) AS left_id, greatest({_A}, {_B}) AS right_id, "
+    + ", ".join(
+        f"CASE WHEN ({_A}) < ({_B}) THEN {x} ELSE {y} END AS {n}"
+        for x, y, n in (
+            ("a.copies", "b.copies", "left_copies"), ("b.copies", "a.copies", "right_copies"),
+            ("a.id", "b.id", "left_class"), ("b.id", "a.id", "right_class"),
+        )
+    )
+)
+_OWN_PAIR = "least(lo[2], hi[2]), greatest(lo[2], hi[2]), copies, copies, id, id"
 SOURCE_CLASSES = (
     features("project, language, group_id, file_id")
-    + """, cl AS (SELECT project, language, parts, types, structural, flow, ops, count(*) AS copies, min(file_id) AS id,
-        max(file_id) AS last_id, min(group_id) AS g0, max(group_id) AS g1 FROM ft GROUP BY ALL),
+    + f""", cl AS (SELECT project, language, parts, types, structural, flow, ops, count(*) AS copies, min(file_id) AS id,
+        {_RANGE} FROM ft GROUP BY ALL),
     cs AS (SELECT *, list_distinct(list_filter(parts, lambda x: trim(x) <> '')) AS pset FROM cl)"""
 )
-_NOT_ONE_GROUP = "NOT (a.g0 = a.g1 AND b.g0 = b.g1 AND a.g0 = b.g0)"
 SOURCE_PAIRS = (
     SOURCE_CLASSES
-    + f""", sp AS (SELECT a.project, a.language, a.id AS left_id, b.id AS right_id, a.copies AS left_copies, b.copies AS right_copies,
+    + f""", sp AS (SELECT a.project, a.language, {_NAMED_PAIR},
         {jaccard('a.pset', 'b.pset')} AS jaccard_similarity
-        FROM cs a JOIN cs b ON a.project = b.project AND a.language = b.language AND a.id < b.id AND {_NOT_ONE_GROUP}
+        FROM cs a JOIN cs b ON a.project = b.project AND a.language = b.language AND {_ONE_WAY} AND {_NOT_ONE_GROUP}
         WHERE {jaccard('a.pset', 'b.pset')} >= 0.9
-        UNION ALL SELECT project, language, id, last_id, copies, copies, 1.0 FROM cs WHERE copies > 1 AND g0 < g1)"""
+        UNION ALL SELECT project, language, {_OWN_PAIR}, 1.0 FROM cs WHERE len(gs) > 1)"""
 )
 
 
@@ -193,9 +209,9 @@ SCORED = f"""{lcs(_WANTED)},
 _JOINED = "list_reduce({p}, lambda x, y: x || ' | ' || y)"
 
 
-def _preview(p: str) -> str:
+def _signature(p: str) -> str:
     j = f"array_to_string({p}, ' | ')"
-    return f"CASE WHEN length({j}) > 100 THEN left({j}, 100) || '...' ELSE {j} END"
+    return f"sha256({j})"
 
 
 _OVERALL = "(jaccard_similarity * 0.25 + s_ * 0.30 + q_ * 0.20 + f_ * 0.15 + o_ * 0.05 + t_ * 0.05) * pen"
@@ -232,7 +248,7 @@ FUNCTIONS = f"""fl AS (SELECT file_id, language, unnest(l) AS line, unnest(range
 
 SHAPES = (
     "gt AS (SELECT fu.file_id, fu.idx, fu.name, fu.row AS r0, fu.last_row AS r1, t.row, t.k, t.part, t.type, t.struct_, t.flow_, t.op_ "
-    "FROM fu JOIN sig t ON t.file_id = fu.file_id AND t.row BETWEEN fu.row AND fu.last_row WHERE fu.last_row - fu.row + 1 >= 5), "
+    "FROM fu JOIN sig t ON t.file_id = fu.file_id AND t.row BETWEEN fu.row AND fu.last_row), "
     + features("file_id, idx, name, r0, r1", "gt", "gs")
 )
 _PAIRED = "FROM sp JOIN gs x ON x.file_id = sp.left_id JOIN gs y ON y.file_id = sp.right_id"
@@ -280,7 +296,7 @@ EDGES = f"""ce AS (SELECT left_id, right_id, 'call_edge_' || {node_id('prefix',
 TOKENISED = [SOURCE, SOURCE_TOKENS, PREPARED]
 PAIRED = [*TOKENISED, SOURCE_PAIRS]
 BLOCKED = [*PAIRED, FUNCTIONS, SHAPES, BLOCKS]
-IMPORTS = """im AS (SELECT file_id, array_to_string(list_slice(list_distinct_ordered, 1, 10), ',') AS imports, len(list_slice(list_distinct_ordered, 1, 10)) AS n FROM (
+IMPORTS = """im AS (SELECT file_id, array_to_string(list_distinct_ordered, ',') AS imports, len(list_distinct_ordered) AS n FROM (
         SELECT f.file_id, list(nm ORDER BY o) AS list_distinct_ordered FROM (
             SELECT file_id, nm, min(o) AS o FROM (
                 SELECT file_id, trim(string_split(trim(unnest(string_split(clause, ','))), ' as ')[1]) AS nm, ci * 1000 + unnest(range(len(string_split(clause, ',')))) AS o FROM (
@@ -415,19 +431,24 @@ _SAME = "(d.submission_id = w.submission_id AND d.compared_submission_id = w.com
 _MIRROR = "(least(d.submission_id, d.compared_submission_id), greatest(d.submission_id, d.compared_submission_id)) = (least(w.submission_id, w.compared_submission_id), greatest(w.submission_id, w.compared_submission_id))"
 ORACLES["exclude_existing"] = with_(COMPS, _WAITING, body=_EX + _SAME + ")")
 ORACLES["exclude_existing_symmetric"] = with_(COMPS, _WAITING, body=_EX + _MIRROR + ")")
-DOCUMENT_PAIRS = f"""pt AS (SELECT DISTINCT project, group_id, file_id, type || ':' || CASE WHEN length(text) > 20 THEN left(text, 20) || '...' ELSE text END AS part FROM (
+DOCUMENT_PAIRS = f"""pt AS (SELECT DISTINCT project, group_id, file_id, type || ':' || text AS part FROM (
         SELECT * FROM tok WHERE type NOT IN ('integer', 'float'))
         UNION SELECT DISTINCT project, group_id, file_id, '<NUMBER>' FROM tok WHERE type IN ('integer', 'float')),
     ds AS (SELECT project, group_id, file_id, list(part ORDER BY part) AS parts FROM pt GROUP BY ALL),
-    dc AS (SELECT project, parts, count(*) AS copies, min(file_id) AS id, max(file_id) AS last_id, min(group_id) AS g0, max(group_id) AS g1 FROM ds GROUP BY ALL),
-    dx AS (SELECT project, id, unnest(parts) AS part FROM dc),
-    dn AS (SELECT a.id AS left_id, b.id AS right_id, count(*) AS common FROM dx a JOIN dx b ON a.project = b.project AND a.part = b.part AND a.id < b.id GROUP BY ALL),
-    dr AS (SELECT a.project, dn.left_id, dn.right_id, a.copies AS left_copies, b.copies AS right_copies,
+    dc AS (SELECT project, parts, count(*) AS copies, min(file_id) AS id, {_RANGE} FROM ds GROUP BY ALL),
+    dx AS (SELECT project, id, lo, unnest(parts) AS part FROM dc),
+    dn AS (SELECT a.id AS a_id, b.id AS b_id, count(*) AS common FROM dx a JOIN dx b ON a.project = b.project AND a.part = b.part AND a.lo < b.lo GROUP BY ALL),
+    dr AS (SELECT a.project, {_NAMED_PAIR},
         common / CAST(len(a.parts) + len(b.parts) - common AS DOUBLE) AS jaccard_similarity
-        FROM dn JOIN dc a ON a.id = left_id JOIN dc b ON b.id = right_id
+        FROM dn JOIN dc a ON a.id = a_id JOIN dc b ON b.id = b_id
         WHERE {_NOT_ONE_GROUP} AND common / CAST(len(a.parts) + len(b.parts) - common AS DOUBLE) >= 0.7
-        UNION ALL SELECT project, id, last_id, copies, copies, 1.0 FROM dc WHERE copies > 1 AND g0 < g1)"""
+        UNION ALL SELECT project, {_OWN_PAIR}, 1.0 FROM dc WHERE len(gs) > 1)"""
 ORACLES["document_pairs"] = with_(PROSE, TEXT_TOKENS, DOCUMENT_PAIRS, body="SELECT * FROM dr")
+ORACLES["copy_class_members"] = with_(
+    PROSE, TEXT_TOKENS, DOCUMENT_PAIRS,
+    body="""SELECT p.project, p.file_id, p.group_id, min(p.file_id) OVER w AS class_id, count(*) OVER w AS copies
+        FROM p LEFT JOIN ds USING (file_id) WINDOW w AS (PARTITION BY p.project, ds.parts)""",
+)
 ORACLES["document_alerts"] = with_(
     PROSE, TEXT_TOKENS, DOCUMENT_PAIRS,
     body="""SELECT dr.*, a.path AS left_path, length(a.content) AS left_size, b.path AS right_path, length(b.content) AS right_size
@@ -435,13 +456,13 @@ ORACLES["document_alerts"] = with_(
 )
 ORACLES["file_similarity"] = with_(
     *PAIRED, SCORED,
-    body=f"""SELECT project, language, left_id, right_id, left_copies, right_copies, jaccard_similarity, t_ AS type_similarity,
+    body=f"""SELECT project, language, left_id, right_id, left_copies, right_copies, left_class, right_class, jaccard_similarity, t_ AS type_similarity,
         round_even(s_, 4) AS structural_similarity, round_even(q_, 4) AS type_sequence_similarity, round_even(f_, 4) AS flow_similarity,
         round_even(o_, 4) AS operation_similarity, round_even(ratio, 4) AS length_ratio, pen AS length_penalty,
         len(list_intersect(list_distinct(p1), list_distinct(p2))) AS common_elements, len(list_distinct(list_concat(p1, p2))) AS total_unique_elements,
         len(p1) AS signature1_length, len(p2) AS signature2_length, n1 AS tokens1_length, n2 AS tokens2_length,
         array_to_string(list_sort(list_intersect(list_distinct(string_split(ty1, ' ')), list_distinct(string_split(ty2, ' ')))), ',') AS common_types,
-        {_preview('p1')} AS signature1, {_preview('p2')} AS signature2, round_even({_OVERALL}, 4) AS overall_similarity FROM sf""",
+        {_signature('p1')} AS signature1, {_signature('p2')} AS signature2, round_even({_OVERALL}, 4) AS overall_similarity FROM sf""",
 )
 ORACLES["smart_file_pairs"] = with_(
     *PAIRED, FUNCTIONS, COUNTS,
@@ -598,7 +619,7 @@ ORACLES["dedupe_submissions"] = with_(
     SUBS,
     body="""SELECT id, project, group_id, step, upload_time FROM s QUALIFY row_number() OVER (PARTITION BY project, group_id, step ORDER BY upload_time, id) = 1""",
 )
-ORACLES["list_page"] = with_(SUBS, body="SELECT id, upload_time, link FROM s ORDER BY upload_time DESC, id LIMIT 1000 OFFSET 100")
+ORACLES["list_page"] = with_(SUBS, body="SELECT id, upload_time, link FROM s ORDER BY upload_time DESC, id LIMIT 5000 OFFSET 100")
 ORACLES["lookup_step"] = with_(
     SUBS, body="SELECT id, group_id, status, upload_time FROM s WHERE project = 'p1996' AND step = '1-URGENT'"
 )

@@ -304,6 +304,12 @@ def document_pairs(spark, d):
     return found.withColumnRenamed("similarity", "jaccard_similarity")
 
 
+@query
+def copy_class_members(spark, d):
+    """All documents with their class of equal part sets: the members that stand behind `document_pairs`."""
+    return pairs.copy_class_members(prose_sets(spark, d), ["project"]).withColumnRenamed("id", "file_id")
+
+
 @query
 def document_alerts(spark, d):
     """The flagship: similar documents of one language with what is known of both sides, highest first."""
