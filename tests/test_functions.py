@@ -148,3 +148,37 @@ def test_lcs_and_penalties(spark, values):
     r = length_ratio(F.lit(2), F.lit(5))
     got = values(a=length_penalty(r), b=length_penalty(r, "function"), c=length_ratio(F.lit(0), F.lit(0)), d=combined_score(F.lit(0.5), F.lit(1.0), F.lit(0.2)))
     assert got == {"a": 0.9, "b": 0.8, "c": 0.0, "d": 0.56}
+
+
+SHAPES = {
+    "python": ('def load(\n    path,\n    kind=(1, 2),\n):\n    """First\nline at column 0 {\n    """\n    rows = 1\n    return rows\n\n\nx = 1\n', [("load", 0, 8)]),
+    "c": ("/* int old(void)\n{ */\nint main(void)\n{\n    if (a)\n    {\n        b();\n    }\n    return 0;\n}\n", [("main", 2, 9)]),
+    "csharp": ("class A\n{\n    public static int Add(int a,\n        int b)\n    {\n        return a + b; // }\n    }\n}\n", [("Add", 2, 6)]),
+    "java": ("class A {\n  public int add(\n      int a, int b)\n      throws IOException {\n    return a;\n  }\n}\n", [("add", 1, 5)]),
+    "javascript": ("const t = `\nfunction no() {\n`;\nfunction yes(a,\n  b) {\n  return '}';\n}\n", [("yes", 3, 6)]),
+    "go": ("func área(\n\ta int,\n) int {\n\treturn a\n}\n", [("área", 0, 4)]),
+    "rust": ("pub fn total(\n    a: u8,\n) -> u8\n{\n    a\n}\n", [("total", 0, 5)]),
+    "php": ("<?php\nfunction go_on($a)\n{\n    return '{';\n}\n", [("go_on", 1, 4)]),
+}
+
+
+def test_functions_of_real_shapes(spark):
+    from twinscan.operators.functions import extract_functions
+
+    rows = [(i, language, source) for i, (language, (source, _)) in enumerate(SHAPES.items())]
+    found = extract_functions(spark.createDataFrame(rows, "file_id long, language string, content string")).collect()
+    for i, language, source in rows:
+        got = [(r.function_name, r.start_line, r.end_line) for r in found if r.file_id == i]
+        assert got == SHAPES[language][1], language
+        start, end = got[0][1:]
+        assert [r.code_block for r in found if r.file_id == i] == ["\n".join(source.split("\n")[start : end + 1])]
+
+
+def test_comments_of_several_lines_are_no_code(spark):
+    from twinscan.operators.tokenize import tokenize_files
+
+    rows = [("a.c", "/* one\n if two = three\n*/\nx = 1;"), ("a.py", 'def f():\n    """doc\n    if x = y\n    """\n    return 1'), ("b.c", 's = "/*"; y = 2; /* z */')]
+    found = {r.path: [(t.type, t.start) for t in r.tokens] for r in tokenize_files(spark.createDataFrame(rows, "path string, content string")).collect()}
+    assert found["a.c"] == [("comment", 0), ("identifier", 3), ("assignment", 3), ("integer", 3)]
+    assert [k for k, _ in found["a.py"]] == ["function_definition", "call", "string", "return_statement", "integer"] and found["a.py"][-1][1] == 4
+    assert [k for k, _ in found["b.c"]] == ["identifier", "assignment", "string", "identifier", "assignment", "integer", "comment"]

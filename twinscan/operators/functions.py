@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from twinscan.functions.languages import NO_FUNCTIONS, detect_language
 from twinscan.functions.text import code_block, literal_map, one_of
-from twinscan.operators.tokenize import HASH_LANGUAGES
+from twinscan.operators.tokenize import HASH_LANGUAGES, flat_source
 
-NAME = r"([A-Za-z_]\w*)"
+NAME = r"([\p{L}_][\p{L}\p{N}_]*)"
 _MODIFIERS = r"(?:(?:public|private|protected|internal|static|final|abstract|override|virtual|async|synchronized)\s+)*"
 _TYPED = r"^\s*" + _MODIFIERS + r"[A-Za-z_][\w<>\[\],.?:*& ]*[ *&>\]]" + NAME + r"\s*\([^;{}]*\)[^;(){}]*\{"
 _SCRIPT = r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*" + NAME + r"\s*\("
@@ -106,9 +106,34 @@ def _headers(lines: DataFrame, mode: str) -> DataFrame:
     return lines.withColumn("own", F.coalesce(*own) if own else none).withColumn("generic", generic)
 
 
+# A round bracket that goes on over several lines, with one inner level, and the rest of its last line.
+_OPEN_BRACKET = r"\([^()\n]*+(?:\([^()]*+\)[^()\n]*+)*+\n[^()]*+(?:\([^()]*+\)[^()]*+)*+\)[^\n]*+"
+# A brace that opens on the next filled line, maybe behind a clause.
+_NEXT_LINE_BRACE = r"\)[^;{}()\n]*+\n\s*+(?:(?:throws|where|requires)\b[^;{}()]*+)?\{"
+
+
+def _on_one_line(text: Column, pattern: str) -> Column:
+    """Join what matches into its first line; as many empty lines follow, so all line numbers stay."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+
+    def joined(m: Column) -> Column:
+        return F.concat(F.regexp_replace(m, r"\s*\n\s*", " "), F.repeat(F.lit("\n"), _count(m, "\n")))
+
+    between = F.split(text, pattern, -1)
+    pieces = F.zip_with(between, F.concat(F.transform(found, joined), F.array(F.lit(""))), lambda a, b: F.concat(a, b))
+    return F.when(text.rlike(pattern), F.array_join(pieces, "")).otherwise(text)
+
+
+def logical_lines(text: Column, language: Column) -> Column:
+    """Lines of a source text for finding headers: comments and strings of several lines are emptied,
+    headers of several lines and their braces stand in their first line. Line numbers stay."""
+    flat = F.when(one_of(language, HASH_LANGUAGES), flat_source(text, "hash")).otherwise(flat_source(text, "slash"))
+    return F.split(_on_one_line(_on_one_line(flat, _OPEN_BRACKET), _NEXT_LINE_BRACE), "\n")
+
+
 def _blanked(line: Column, language: Column) -> Column:
     """The line without strings and comments, so that braces inside them do not count."""
-    bare = F.regexp_replace(line, r'"(?:[^"\\]|\\.)*"|' + r"'(?:[^'\\]|\\.)*'", '""')
+    bare = F.regexp_replace(line, r'"(?:[^"\\]|\\.)*+"|' + r"'(?:[^'\\]|\\.)*+'", '""')
     return F.when(one_of(language, HASH_LANGUAGES), F.regexp_replace(bare, "#.*", "")).otherwise(
         F.regexp_replace(bare, r"//.*|/\*.*?\*/", "")
     )
@@ -121,7 +146,7 @@ def _count(text: Column, what: str) -> Column:
 def _spans(files: DataFrame, mode: str) -> DataFrame:
     """Rows (file_id, name, node_type, start_line, end_line)."""
     language = F.col("language")
-    lines = files.select("file_id", "language", F.posexplode(F.split("content", "\n")).alias("line", "text"))
+    lines = files.select("file_id", "language", F.posexplode(logical_lines(F.col("content"), language)).alias("line", "text"))
     bare = _blanked(F.col("text"), language)
     lines = _headers(lines, mode)
     small = lines.select(
@@ -180,7 +205,7 @@ def _spans(files: DataFrame, mode: str) -> DataFrame:
         ).alias("e"),
         one_line.alias("one_line"),
     ).select("file_id", "line", "file_end", "one_line", "e.*")
-    later = Window.partitionBy("file_id", "level").orderBy("line").rangeBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy("file_id", "level").orderBy(F.desc("line")).rangeBetween(Window.unboundedPreceding, -1)
     ends = events.withColumn("next_close", F.min("closes_at").over(later))
     return ends.filter(F.col("header").isNotNull()).select(
         "file_id",

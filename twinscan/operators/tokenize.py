@@ -55,6 +55,13 @@ WORD_TYPES = {**STATEMENT_WORDS, **OPERATOR_WORDS}
 WORD = r"[\p{L}_][\p{L}\p{N}_]*"
 NUMBER = r"[0-9]+[.][0-9]+|[0-9]+"
 STRING = r'"(?:[^"\\]|\\.)*"|' + r"'(?:[^'\\]|\\.)*'"
+# Strings on one line, for finding what is no comment; possessive, so long ones need no deep recursion.
+_STRING_LINE = r'"(?:[^"\\\n]|\\.)*+"|' + r"'(?:[^'\\\n]|\\.)*+'"
+# What may go on over several lines, by family, among what must not be taken for it.
+_SPANNING = {
+    "hash": '"""[\\s\\S]*?"""|' + "'''[\\s\\S]*?'''|" + _STRING_LINE + "|#[^\\n]*+",
+    "slash": r"/\*[\s\S]*?\*/|`(?:[^`\\]|\\[\s\S])*+`|" + _STRING_LINE + r"|//[^\n]*+",
+}
 OPERATOR = r"===|!==|==|!=|<=|>=|=>|->|&&|\|\||\+\+|--|\+=|-=|\*=|/=|%=|\*\*|//|[<>=!+\-*/%]"
 # Family -> regular expression of one lexeme. Alternatives are tried in order.
 LEXEMES = {
@@ -168,9 +175,29 @@ def _line_tokens(line: Column, row: Column, family: str) -> Column:
     return F.transform(found, lambda e: _code_token(e, line, row, family))
 
 
+def flat_source(text: Column, family: str) -> Column:
+    """The text with comments and strings of several lines emptied to one token in their first line, and
+    empty lines behind it, so that line numbers stay."""
+    pattern = _SPANNING[family]
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+
+    def emptied(m: Column) -> Column:
+        lines = F.length(m) - F.length(F.replace(m, F.lit("\n"), F.lit("")))
+        return F.when(lines == 0, m).otherwise(
+            F.concat(F.when(m.startswith("/*"), "/* */").otherwise('""'), F.repeat(F.lit("\n"), lines))
+        )
+
+    pieces = F.zip_with(
+        F.split(text, pattern, -1), F.concat(F.transform(found, emptied), F.array(F.lit(""))), lambda a, b: F.concat(a, b)
+    )
+    spans = {"hash": r"\"\"\"|'''", "slash": r"/\*|`"}[family]
+    return F.when(text.rlike(spans), F.array_join(pieces, "")).otherwise(text)
+
+
 def tokenize(text: Column, family: str) -> Column:
     """Token array of a text in one language family."""
-    lines = F.transform(F.split(text, "\n"), strip)
+    source = flat_source(text, family) if family in _SPANNING else text
+    lines = F.transform(F.split(source, "\n"), strip)
     return F.flatten(F.transform(lines, lambda line, row: _line_tokens(line, row, family)))
 
 
