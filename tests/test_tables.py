@@ -127,8 +127,8 @@ def test_stream_compares_once(spark, tmp_path):
 
     words = list("abcdefghij")
     arrive([("1", "p", "g1", "s", "2024-01-01 00:00:00", words), ("2", "p", "g2", "s", "2024-01-01 00:00:01", words[:9]), ("9", "q", "g1", "s", "2024-01-01 00:00:01", words)])
-    assert run() == [("1", "2", 0.9), ("2", "1", 0.9)]
+    assert run() == [("2", "1", 0.9)]
     arrive([("3", "p", "g3", "s", "2024-01-01 01:00:00", words), ("4", "p", "g3", "s", "2024-01-01 01:00:01", words)])
     got = run()
-    assert [g for g in got if g[0] in "34"] in ([("3", "1", 1.0), ("3", "2", 0.9)], [("4", "1", 1.0), ("4", "2", 0.9)])
+    assert [g for g in got if g[0] in "34"] == [("3", "1", 1.0), ("3", "2", 0.9)]
     assert run() == got and os.path.isdir(tmp_path / "h")

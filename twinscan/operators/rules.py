@@ -80,8 +80,8 @@ def rule_file_presence(manifest: DataFrame, subs: DataFrame, params: dict) -> Da
         judged,
         errors == 0,
         "fileValidationFailed",
-        F.lit("All required files are present and no forbidden files found"),
-        F.concat(F.lit("File validation failed with "), errors.cast("string"), F.lit(" error(s)")),
+        F.lit("files as asked for"),
+        F.concat(errors.cast("string"), F.lit(" kind(s) of file fault: something missing or not allowed")),
     )
 
 
@@ -99,13 +99,13 @@ def rule_max_archive_size(manifest: DataFrame, subs: DataFrame, params: dict) ->
         .withColumn("actual_size_mb", F.bround(size, 2))
         .withColumn("excess_mb", F.when(size > limit, F.bround(size - limit, 2)))
     )
-    shown = F.concat(F.lit("Repository size "), F.format_string("%.2f", size), F.lit("MB "))
+    shown = F.concat(F.format_string("%.2f", size), F.lit(" MB in all, "))
     return _result(
         judged,
         size <= limit,
         "repositorySizeExceeded",
-        F.concat(shown, F.lit(f"is within limit of {limit:g}MB")),
-        F.concat(shown, F.lit(f"exceeds maximum allowed size of {limit:g}MB")),
+        F.concat(shown, F.lit(f"at most {limit:g} MB allowed")),
+        F.concat(shown, F.lit(f"more than the {limit:g} MB allowed")),
     )
 
 
@@ -172,9 +172,9 @@ def rule_directory_structure(manifest: DataFrame, subs: DataFrame, params: dict)
         errors == 0,
         "directoryStructureValidationFailed",
         F.concat(
-            F.lit("Directory structure validation passed: "), F.col("total_directories").cast("string"), F.lit(" directories checked")
+            F.col("total_directories").cast("string"), F.lit(" directories, all as asked for")
         ),
-        F.concat(F.lit("Directory structure validation failed with "), errors.cast("string"), F.lit(" error(s)")),
+        F.concat(errors.cast("string"), F.lit(" kind(s) of directory fault")),
     )
 
 
@@ -245,8 +245,8 @@ def rule_file_content(manifest: DataFrame, subs: DataFrame, params: dict) -> Dat
         judged,
         errors == 0,
         "fileContentValidationFailed",
-        F.lit(f"All {len(checks)} file content checks passed successfully"),
-        F.concat(F.lit("File content validation failed with "), errors.cast("string"), F.lit(" error(s)")),
+        F.lit(f"contents pass all {len(checks)} checks"),
+        F.concat(errors.cast("string"), F.lit(" content check(s) not passed")),
     )
 
 

@@ -449,6 +449,14 @@ ORACLES["copy_class_members"] = with_(
     body="""SELECT p.project, p.file_id, p.group_id, min(p.file_id) OVER w AS class_id, count(*) OVER w AS copies
         FROM p LEFT JOIN ds USING (file_id) WINDOW w AS (PARTITION BY p.project, ds.parts)""",
 )
+ORACLES["incremental_compare_stream"] = with_(
+    PROSE, TEXT_TOKENS, DOCUMENT_PAIRS,
+    "st AS (SELECT a.id AS a_id, b.id AS b_id, count(*) AS common FROM dx a JOIN dx b ON a.project = b.project AND a.part = b.part GROUP BY ALL)",
+    "sj AS (SELECT a_id, b_id, b.copies, common / CAST(len(a.parts) + len(b.parts) - common AS DOUBLE) AS j FROM st JOIN dc a ON a.id = a_id JOIN dc b ON b.id = b_id)",
+    body="""SELECT CAST(ds.file_id AS VARCHAR) AS submission_id, CAST(b_id AS VARCHAR) AS compared_submission_id, j AS jaccard_similarity, sj.copies,
+        'completed' AS status, ds.project, 'documents' AS step
+        FROM ds JOIN dc ON dc.project = ds.project AND dc.parts = ds.parts JOIN sj ON a_id = dc.id WHERE j >= 0.7 AND b_id < ds.file_id""",
+)
 ORACLES["document_alerts"] = with_(
     PROSE, TEXT_TOKENS, DOCUMENT_PAIRS,
     body="""SELECT dr.*, a.path AS left_path, length(a.content) AS left_size, b.path AS right_path, length(b.content) AS right_size

@@ -22,7 +22,7 @@ def read_store(spark, path: str) -> DataFrame:
         return spark.createDataFrame([], f"content_hash string, tokens {TOKENS.simpleString()}, language string")
 
 
-def update_token_store(files: DataFrame, path: str) -> int | None:
+def update_token_store(files: DataFrame, path: str) -> None:
     """Tokenise contents not stored yet and append them, partitioned by language. Safe to run again."""
     spark = files.sparkSession
     language = F.col("language") if "language" in files.columns else detect_language(F.col("path"))
