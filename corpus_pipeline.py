@@ -23,8 +23,8 @@ from twinscan.llm.queries import tokenizer_path  # noqa: E402
 from twinscan.llm.simhash import near_duplicates  # noqa: E402
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Cosine below which a text resembles no language.
-MIN_SCORE = 0.02
+#: Cosine up to which a text resembles no language.
+NO_LIKENESS = 0.0
 #: Share of words of test items from which a document goes as a whole; below it only those words go.
 MAX_COVERAGE = 0.02
 
@@ -32,7 +32,7 @@ MAX_COVERAGE = 0.02
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text resembles a language; others (no letters, nothing like any language) go."""
     judged = predict(docs, train(training_part(docs)), keep=COLUMNS[1:])
-    return judged.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= MIN_SCORE)).select(*COLUMNS)
+    return judged.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") > NO_LIKENESS)).select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,10 +42,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates."""
+    """The document with the smallest id of each group of near duplicates. Documents without an id cannot be
+    named and stay."""
     groups = near_duplicates(docs, shingle=4, radius=4, seed=42)
     first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").select(*COLUMNS)
+    kept = docs.join(first, "doc_id", "left_semi").select(*COLUMNS)
+    return kept.unionByName(docs.where("doc_id is null").select(*COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
