@@ -381,6 +381,17 @@ ORACLES["token_profile"] = with_(
     body="""SELECT project, file_id, CAST(sum(n) AS BIGINT) AS tokens, CAST(sum(n) AS BIGINT) AS kept_tokens, CAST(sum(lines) AS BIGINT) AS lines,
         count(*) AS files FROM t GROUP BY GROUPING SETS ((project, file_id), (project))""",
 )
+ORACLES["decode_text"] = with_(PAGES, body="SELECT file_id, md5(replace(content, '<', chr(10) || '<')) AS text_md5 FROM g")
+ORACLES["stored_tokens"] = with_(
+    SOURCE, SOURCE_TOKENS, body="SELECT f.file_id, count(tok.type) AS n_tokens FROM f LEFT JOIN tok ON tok.file_id = f.file_id GROUP BY 1"
+)
+ORACLES["combined_score"] = with_(
+    COMPS, body="SELECT id, round_even(jaccard_similarity * 0.4 + type_similarity * 0.3 + structural_similarity * 0.3, 4) AS combined_score FROM c"
+)
+ORACLES["function_list_fallback"] = with_(
+    SOURCE, FUNCTIONS,
+    body="""SELECT file_id, idx AS function_index, name AS function_name, row AS start_line, last_row AS end_line FROM fu WHERE language = 'python'""",
+)
 ORACLES["prepare_similarity"] = with_(
     *TOKENISED,
     body="SELECT type, coalesce(holder, text) AS text, holder IS NOT NULL AS normalized, count(*) AS n FROM pre GROUP BY ALL",

@@ -8,12 +8,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinscan.functions import languages, links, text, tokens
+from twinscan.functions import languages, links, similarity, text, tokens
 from twinscan.operators import blocks, functions, graph, pairs, reports, rules, scoring, sequences, submissions
 from twinscan.operators.tokenize import token_rows, tokenize, tokenize_files
 from twinscan.plans.bindings import table, view
 from twinscan.sources import manifest as manifests
 from twinscan.sources.tables import materialize, scratch_folder
+from twinscan.sources.token_store import stored_tokens as read_tokens
+from twinscan.sources.token_store import update_token_store
 from twinscan.streaming.incremental import PAIRS, incremental_compare
 
 DOCUMENT_THRESHOLD = 0.7
@@ -174,6 +176,31 @@ def token_profile(spark, d):
     return reports.file_profile(prose_tokens(spark, d))
 
 
+@query
+def decode_text(spark, d):
+    """Pages as the bytes a manifest holds, some in Latin-1 and with carriage returns, decoded again."""
+    pages = view(spark, d, "page_files").withColumn("lines", F.replace("content", F.lit("<"), F.lit("\r\n<")))
+    stored = F.when(F.col("file_id") % 3 == 0, F.encode("lines", "ISO-8859-1")).otherwise(F.encode("lines", "UTF-8"))
+    return pages.select("file_id", F.md5(F.encode(text.decode_text(stored), "UTF-8")).alias("text_md5"))
+
+
+@query
+def stored_tokens(spark, d):
+    """Token counts of all source files, read back from the token store; filling it twice stores nothing twice."""
+    files = source_files(spark, d).select("file_id", "path", "language", "content")
+    place = f"{scratch_folder(spark)}/twinscan-tokens-{uuid.uuid4().hex}"
+    for _ in range(2):
+        update_token_store(files, place)
+    return read_tokens(files, place).select("file_id", F.size("tokens").cast("bigint").alias("n_tokens"))
+
+
+@query
+def combined_score(spark, d):
+    c = view(spark, d, "comparisons")
+    score = similarity.combined_score(F.col("jaccard_similarity"), F.col("type_similarity"), F.col("structural_similarity"))
+    return c.select("id", score.alias("combined_score"))
+
+
 @query
 def prepare_similarity(spark, d):
     prepared = source_tokens(spark, d).select(F.explode(tokens.prepare_for_similarity(F.col("tokens"))).alias("t"))
@@ -242,8 +269,10 @@ def function_list(spark, d):
 
 @query
 def function_list_fallback(spark, d):
-    files = view(spark, d, "source_files").withColumn("language", F.lit("graphql"))
-    return functions.extract_functions_fallback(files, files.limit(0)).select(
+    """Functions by generic headers in the source files in which the script headers alone find nothing."""
+    files = source_files(spark, d)
+    scripts = functions.extract_functions(files.filter(F.col("language") != "python"))
+    return functions.extract_functions_fallback(files, scripts).select(
         "file_id", "function_index", "function_name", "start_line", "end_line"
     )
 
