@@ -177,8 +177,10 @@ def test_functions_of_real_shapes(spark):
 def test_comments_of_several_lines_are_no_code(spark):
     from twinscan.operators.tokenize import tokenize_files
 
-    rows = [("a.c", "/* one\n if two = three\n*/\nx = 1;"), ("a.py", 'def f():\n    """doc\n    if x = y\n    """\n    return 1'), ("b.c", 's = "/*"; y = 2; /* z */')]
+    rows = [("a.c", "/* one\n if two = three\n*/\nx = 1;"), ("a.py", 'def f():\n    """doc\n    if x = y\n    """\n    return 1'), ("b.c", 's = "/*"; y = 2; /* z */'), ("q.sql", "-- all = 1\nselect 2"), ("f.f90", "! if a\nuntil = 1"), ("m.m", "% x = 1\n2")]
     found = {r.path: [(t.type, t.start) for t in r.tokens] for r in tokenize_files(spark.createDataFrame(rows, "path string, content string")).collect()}
     assert found["a.c"] == [("comment", 0), ("identifier", 3), ("assignment", 3), ("integer", 3)]
     assert [k for k, _ in found["a.py"]] == ["function_definition", "call", "string", "return_statement", "integer"] and found["a.py"][-1][1] == 4
     assert [k for k, _ in found["b.c"]] == ["identifier", "assignment", "string", "identifier", "assignment", "integer", "comment"]
+    assert [k for k, _ in found["q.sql"]] == ["comment", "identifier", "integer"] and [k for k, _ in found["m.m"]] == ["comment", "integer"]
+    assert [k for k, _ in found["f.f90"]] == ["comment", "while_statement", "assignment", "integer"]

@@ -6,6 +6,9 @@ statement's type and carry the logical line; calls, operators, literals and name
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,11 +19,18 @@ from twinscan.functions.text import literal_map, one_of, strip
 STATEMENT_WORDS = {
     "if": "if_statement",
     "elif": "elif_clause",
+    "elsif": "elif_clause",
+    "elseif": "elif_clause",
+    "unless": "if_statement",
     "else": "else_clause",
     "for": "for_statement",
+    "foreach": "for_statement",
     "while": "while_statement",
+    "until": "while_statement",
+    "repeat": "do_statement",
     "do": "do_statement",
     "switch": "switch_statement",
+    "match": "switch_statement",
     "case": "case_statement",
     "break": "break_statement",
     "continue": "continue_statement",
@@ -35,6 +45,10 @@ STATEMENT_WORDS = {
     "function": "function_definition",
     "func": "function_definition",
     "fn": "function_definition",
+    "fun": "function_definition",
+    "sub": "function_definition",
+    "procedure": "function_definition",
+    "subroutine": "function_definition",
     "class": "class_definition",
     "import": "import_statement",
     "from": "import_from_statement",
@@ -61,12 +75,18 @@ _STRING_LINE = r'"(?:[^"\\\n]|\\.)*+"|' + r"'(?:[^'\\\n]|\\.)*+'"
 _SPANNING = {
     "hash": '"""[\\s\\S]*?"""|' + "'''[\\s\\S]*?'''|" + _STRING_LINE + "|#[^\\n]*+",
     "slash": r"/\*[\s\S]*?\*/|`(?:[^`\\]|\\[\s\S])*+`|" + _STRING_LINE + r"|//[^\n]*+",
+    "dash": r"/\*[\s\S]*?\*/|" + _STRING_LINE + r"|--[^\n]*+",
 }
 OPERATOR = r"===|!==|==|!=|<=|>=|=>|->|&&|\|\||\+\+|--|\+=|-=|\*=|/=|%=|\*\*|//|[<>=!+\-*/%]"
 # Family -> regular expression of one lexeme. Alternatives are tried in order.
+_CODE = [STRING, NUMBER, WORD + r"[ ]*\(", WORD, OPERATOR]
 LEXEMES = {
-    "hash": "|".join(["#.*", STRING, NUMBER, WORD + r"[ ]*\(", WORD, OPERATOR]),
-    "slash": "|".join([r"//.*", r"/\*.*?\*/", STRING, NUMBER, WORD + r"[ ]*\(", WORD, OPERATOR]),
+    "hash": "|".join(["#.*", *_CODE]),
+    "slash": "|".join([r"//.*", r"/\*.*?\*/", *_CODE]),
+    "dash": "|".join(["--.*", r"/\*.*?\*/", *_CODE]),
+    "percent": "|".join(["%.*", *_CODE]),
+    "semicolon": "|".join([";.*", *_CODE]),
+    "bang": "|".join(["!.*", *_CODE]),
     "markup": "|".join(
         ["<!--.*?-->", "</[A-Za-z][A-Za-z0-9]*>", "<[A-Za-z][A-Za-z0-9]*", r"[A-Za-z\-]+=" + r'"[^"]*"', NUMBER, WORD]
     ),
@@ -76,6 +96,9 @@ LEXEMES = {
 HASH_LANGUAGES = [
     "python", "bash", "ruby", "perl", "r", "julia", "cmake", "make", "dockerfile", "yaml", "toml", "gomod",
 ]
+SIGN_LANGUAGES = {"dash": ["sql", "haskell", "lua", "ada"], "percent": ["matlab"], "semicolon": ["asm"], "bang": ["fortran"]}
+# What a comment starts with, by family.
+COMMENT_STARTS = {"hash": ["#"], "slash": ["//", "/*"], "dash": ["--", "/*"], "percent": ["%"], "semicolon": [";"], "bang": ["!"]}
 MARKUP_LANGUAGES = ["html", "xml", "vue", "svelte"]
 TEXT_LANGUAGES = ["text", "markdown"]
 
@@ -85,6 +108,10 @@ def language_family(language: Column) -> Column:
         F.when(one_of(language, HASH_LANGUAGES), "hash")
         .when(one_of(language, MARKUP_LANGUAGES), "markup")
         .when(one_of(language, TEXT_LANGUAGES), "text")
+        .when(one_of(language, SIGN_LANGUAGES["dash"]), "dash")
+        .when(one_of(language, SIGN_LANGUAGES["percent"]), "percent")
+        .when(one_of(language, SIGN_LANGUAGES["semicolon"]), "semicolon")
+        .when(one_of(language, SIGN_LANGUAGES["bang"]), "bang")
         .otherwise("slash")
     )
 
@@ -133,7 +160,7 @@ def _text_token(lexeme: Column, keyword: Column, row: Column) -> Column:
 def _code_token(e: Column, line: Column, row: Column, family: str) -> Column:
     """Token of a lexeme `e` = (lex, word, kw): statement words carry the line they open."""
     lexeme, word, keyword = e["lex"], e["word"], e["kw"]
-    comment = lexeme.startswith("#") if family == "hash" else lexeme.startswith("//") | lexeme.startswith("/*")
+    comment = reduce(or_, [lexeme.startswith(sign) for sign in COMMENT_STARTS[family]])
     opens = one_of(keyword, dict.fromkeys(STATEMENT_WORDS.values())) & line.startswith(word)
 
     def token(kind, text) -> Column:
@@ -190,7 +217,7 @@ def flat_source(text: Column, family: str) -> Column:
     pieces = F.zip_with(
         F.split(text, pattern, -1), F.concat(F.transform(found, emptied), F.array(F.lit(""))), lambda a, b: F.concat(a, b)
     )
-    spans = {"hash": r"\"\"\"|'''", "slash": r"/\*|`"}[family]
+    spans = {"hash": r"\"\"\"|'''", "slash": r"/\*|`", "dash": r"/\*"}[family]
     return F.when(text.rlike(spans), F.array_join(pieces, "")).otherwise(text)
 
 
@@ -204,7 +231,7 @@ def tokenize(text: Column, family: str) -> Column:
 def tokenize_by_language(text: Column, language: Column) -> Column:
     family = language_family(language)
     result = F.when(family == "hash", tokenize(text, "hash"))
-    for name in ("slash", "markup", "text"):
+    for name in ("slash", "markup", "text", *SIGN_LANGUAGES):
         result = result.when(family == name, tokenize(text, name))
     return result
 
