@@ -406,7 +406,9 @@ ORACLES["detokenize"] = with_(
     SOURCE, SOURCE_TOKENS, body="SELECT file_id, string_agg(text, ' ' ORDER BY row, k) AS text FROM tok WHERE text <> '' GROUP BY 1"
 )
 ORACLES["code_blocks"] = with_(
-    PROSE, body="SELECT file_id, coalesce(array_to_string(string_split(content, chr(10))[2:4], chr(10)), '') AS block FROM p"
+    PROSE,
+    body="""SELECT file_id, CAST(s AS INTEGER) AS start_line, array_to_string(l[s + 1:s + 3], chr(10)) AS block FROM (
+        SELECT file_id, l, unnest(range(0, len(l), 3)) AS s FROM (SELECT file_id, string_split(content, chr(10)) AS l FROM p))""",
 )
 ORACLES["import_extract"] = with_(SOURCE, IMPORTS, body="SELECT file_id, imports FROM im")
 
@@ -642,6 +644,12 @@ ORACLES["list_page"] = with_(SUBS, body="SELECT id, upload_time, link FROM s ORD
 ORACLES["lookup_step"] = with_(
     SUBS, body="SELECT id, group_id, status, upload_time FROM s WHERE project = 'p1996' AND step = '1-URGENT'"
 )
+ORACLES["lookup_group"] = with_(SUBS, body="SELECT id, step, status, upload_time FROM s WHERE project = 'p1996' AND group_id = '257'")
+ORACLES["lookup_id"] = with_(SUBS, body="SELECT id, project, step, group_id FROM s WHERE id = '7'")
+ORACLES["lookup_pair"] = with_(COMPS, body="SELECT id, overall_similarity, status FROM c WHERE submission_id = '7' AND compared_submission_id = '491'")
+ORACLES["lookup_comparisons_of_step"] = with_(
+    COMPS, body="SELECT id, submission_id, compared_submission_id, overall_similarity FROM c WHERE project = 'p1996' AND step = 'NO'"
+)
 ORACLES["upsert_submissions"] = with_(
     SUBS,
     "u AS (SELECT CAST(l_orderkey AS VARCHAR) AS id, CASE WHEN bool_or(l_returnflag = 'R') THEN 'rejected' END AS status, count(*) AS file_count FROM lineitem GROUP BY 1)",

@@ -247,9 +247,10 @@ def detokenize(spark, d):
 
 @query
 def code_blocks(spark, d):
-    return view(spark, d, "prose_files").select(
-        "file_id", text.code_block(F.col("content"), F.lit(1), F.lit(4)).alias("block")
-    )
+    """All blocks of three lines of each text."""
+    starts = F.sequence(F.lit(0), F.size(F.split("content", "\n")) - 1, F.lit(3))
+    begun = view(spark, d, "prose_files").select("file_id", "content", F.explode(starts).alias("start_line"))
+    return begun.select("file_id", "start_line", text.code_block(F.col("content"), F.col("start_line"), F.col("start_line") + 3).alias("block"))
 
 
 @query
@@ -596,6 +597,30 @@ def lookup_step(spark, d):
     return found.select("id", "group_id", "status", "upload_time")
 
 
+@query
+def lookup_group(spark, d):
+    found = submissions.lookup(view(spark, d, "submissions"), newest_first=False, project="p1996", group_id="257")
+    return found.select("id", "step", "status", "upload_time")
+
+
+@query
+def lookup_id(spark, d):
+    return submissions.lookup(view(spark, d, "submissions"), newest_first=False, id="7").select("id", "project", "step", "group_id")
+
+
+@query
+def lookup_pair(spark, d):
+    """Comparisons of one ordered pair: the other direction is another lookup."""
+    found = submissions.lookup(view(spark, d, "comparisons"), newest_first=False, submission_id="7", compared_submission_id="491")
+    return found.select("id", "overall_similarity", "status")
+
+
+@query
+def lookup_comparisons_of_step(spark, d):
+    found = submissions.lookup(view(spark, d, "comparisons"), project="p1996", step="NO")
+    return found.select("id", "submission_id", "compared_submission_id", "overall_similarity")
+
+
 @query
 def upsert_submissions(spark, d):
     base = view(spark, d, "submissions")
