@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -95,16 +96,27 @@ def _cuts(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-_ENTRY_NAMES = ["bucket", "h", "docs", "ties", "sizes", "pos"]
+_ENTRY_NAMES = ["bucket", "slice", "h", "docs", "ties", "sizes", "pos"]
+_FOUND = "slice long, docs array<long>, ties array<long>, sizes array<int>, pos array<int>"
+_FOUND_NAMES = ["slice", "docs", "ties", "sizes", "pos"]
 
 
 def _entry_schema(kind: str) -> str:
-    return f"bucket int, h array<{kind}>, docs array<long>, ties array<long>, sizes array<int>, pos array<int>"
+    return f"bucket int, slice long, h array<{kind}>, docs array<long>, ties array<long>, sizes array<int>, pos array<int>"
 
 
-def _entries(keys: np.ndarray, ties: np.ndarray, row: np.ndarray, pos: np.ndarray, h: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
-    """Rows for buckets: hashes, and the documents they stand in as runs of `sizes` entries. Rows without
-    hashes tell a document its places that repeat in this slice; any bucket passes them on."""
+def _by_document(group: np.ndarray, docs: np.ndarray, ties: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, list[pa.Array]]:
+    """For each group (ascending): its documents as runs of `sizes` places. The groups, and the four lists."""
+    runs = _cuts(group, docs, ties)
+    first = _cuts(group)
+    run_edges = np.append(_cuts(group[runs]), len(runs))
+    lists = [(docs[runs], run_edges, _LONG), (ties[runs], run_edges, _LONG), (np.diff(runs, append=len(group)), run_edges, _INT), (pos, np.append(first, len(group)), _INT)]
+    return group[first], [_ragged(*x) for x in lists]
+
+
+def _entries(number: int, keys: np.ndarray, ties: np.ndarray, row: np.ndarray, pos: np.ndarray, h: np.ndarray, bucket: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Rows for buckets: hashes, and the documents they stand in as runs of `sizes` entries. A row without
+    hashes tells the slice its own places that repeat in it; any bucket passes it on."""
     kind = pa.from_numpy_dtype(h.dtype)
     order = np.lexsort((h, bucket))
     first = _cuts(bucket[order], h[order])
@@ -116,62 +128,72 @@ def _entries(keys: np.ndarray, ties: np.ndarray, row: np.ndarray, pos: np.ndarra
     sent = order[first]
     again = np.lexsort((pos_sent, row[sent], bucket[sent]))
     sent, pos_sent = sent[again], pos_sent[again]
-    b, r = bucket[sent], row[sent]
-    runs = _cuts(b, r)
-    sizes = np.diff(runs, append=len(b))
-    edges = np.append(_cuts(b), len(b))
-    run_edges = np.append(_cuts(b[runs]), len(runs))
-    told_cuts = _cuts(row[told])
-    n, k = len(edges) - 1, len(told_cuts)
-    told_rows, one = row[told][told_cuts], np.arange(k + 1)
-    of_bucket = [
-        pa.array(b[edges[:-1]], _INT),
-        _ragged(h[sent], edges, kind),
-        _ragged(keys[r[runs]], run_edges, _LONG),
-        _ragged(ties[r[runs]], run_edges, _LONG),
-        _ragged(sizes, run_edges, _INT),
-        _ragged(pos_sent, edges, _INT),
+    b, lists = _by_document(bucket[sent], keys[row[sent]], ties[row[sent]], pos_sent)
+    hashes = _ragged(h[sent], lists[3].offsets.to_numpy(), kind)
+    own, told_lists = _by_document(np.full(len(told), number % buckets), keys[row[told]], ties[row[told]], pos[told])
+    parts = [
+        (pa.array(b, _INT), pa.array(own, _INT)),
+        (pa.array([number] * len(b), _LONG), pa.array([number] * len(own), _LONG)),
+        (hashes, pa.array([None] * len(own), pa.list_(kind))),
+        *zip(lists, told_lists),
     ]
-    of_told = [
-        pa.array(bucket[told][told_cuts], _INT),
-        pa.array([None] * k, pa.list_(kind)),
-        _ragged(keys[told_rows], one, _LONG),
-        _ragged(ties[told_rows], one, _LONG),
-        _ragged(np.diff(told_cuts, append=len(told)), one, _INT),
-        _ragged(pos[told], np.append(told_cuts, len(told)), _INT),
-    ]
-    return pa.RecordBatch.from_arrays([pa.concat_arrays([x, y]) for x, y in zip(of_bucket, of_told)], _ENTRY_NAMES) if n + k else pa.RecordBatch.from_arrays(of_told, _ENTRY_NAMES)
+    return pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in parts], _ENTRY_NAMES)
 
 
 def _flat(column: pa.ChunkedArray) -> np.ndarray:
     return np.concatenate([np.zeros(0, np.int64), *(x.flatten().to_numpy(zero_copy_only=False) for x in column.chunks)]).astype(np.int64)
 
 
+def _expanded(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Slice, document, tie and place of each entry."""
+    sizes = _flat(rows.column("sizes"))
+    lengths = pc.list_value_length(rows.column("pos")).to_numpy().astype(np.int64)
+    of = np.repeat(rows.column("slice").to_numpy(), lengths)
+    return of, np.repeat(_flat(rows.column("docs")), sizes), np.repeat(_flat(rows.column("ties")), sizes), _flat(rows.column("pos"))
+
+
 def _repeated_in_bucket(group: pa.Table) -> pa.Table:
-    """(key, tie, pos) of the entries of a bucket whose hash occurs more than once, and of those told."""
+    """For each slice, the places of the entries of a bucket whose hash occurs more than once, and those told."""
     own = group.filter(pc.is_valid(group.column("h")))
-    told = group.filter(pc.is_null(group.column("h")))
-    h, sizes, pos = _flat(own.column("h")), _flat(own.column("sizes")), _flat(own.column("pos"))
-    docs, ties = np.repeat(_flat(own.column("docs")), sizes), np.repeat(_flat(own.column("ties")), sizes)
+    h = _flat(own.column("h"))
     order = np.argsort(h, kind="stable")
     same = np.zeros(len(order) + 1, bool)
     same[1:-1] = h[order][1:] == h[order][:-1]
     keep = order[same[:-1] | same[1:]] if len(order) else order
-    keep = keep[pos[keep] >= 0]
-    sizes = _flat(told.column("sizes"))
-    docs = np.concatenate([docs[keep], np.repeat(_flat(told.column("docs")), sizes)])
-    ties = np.concatenate([ties[keep], np.repeat(_flat(told.column("ties")), sizes)])
-    pos = np.concatenate([pos[keep], _flat(told.column("pos"))])
+    entries = [x[keep] for x in _expanded(own)]
+    entries = [x[entries[3] >= 0] for x in entries]
+    told = _expanded(group.filter(pc.is_null(group.column("h"))))
+    return _found(*(np.concatenate(x) for x in zip(entries, told)))
+
+
+def _found(of: np.ndarray, docs: np.ndarray, ties: np.ndarray, pos: np.ndarray) -> pa.Table:
+    order = np.lexsort((pos, ties, docs, of))
+    slices, lists = _by_document(of[order], docs[order], ties[order], pos[order])
+    return pa.table([pa.array(slices, _LONG), *lists], _FOUND_NAMES)
+
+
+def _documents_of_slice(group: pa.Table) -> pa.Table:
+    """(k, t, pos): all places that the buckets found in the documents of a slice."""
+    _, docs, ties, pos = _expanded(group)
     order = np.lexsort((pos, ties, docs))
     docs, ties, pos = docs[order], ties[order], pos[order]
     cuts = _cuts(docs, ties)
-    return pa.table([pa.array(docs[cuts]), pa.array(ties[cuts]), _ragged(pos, np.append(cuts, len(docs)), _INT)], ["key", "tie", "pos"])
+    return pa.table([pa.array(docs[cuts], _LONG), pa.array(ties[cuts], _LONG), _ragged(pos, np.append(cuts, len(docs)), _INT)], ["k", "t", "pos"])
 
 
 def _repeated_places(entries: DataFrame) -> DataFrame:
-    """(k, t, pos): for each row of the documents, all its places that slices and buckets found."""
-    found = entries.groupBy("bucket").applyInArrow(_repeated_in_bucket, "key long, tie long, pos array<int>")
-    return found.groupBy(F.col("key").alias("k"), F.col("tie").alias("t")).agg(F.flatten(F.collect_list("pos")).alias("pos"))
+    """(k, t, pos): for each row of the documents that has any, its places that slices and buckets found.
+    A slice gets at most the entries it sent, so both groupings stay small."""
+    found = entries.groupBy("bucket").applyInArrow(_repeated_in_bucket, _FOUND)
+    by_slice = found.groupBy("slice").applyInArrow(_documents_of_slice, "k long, t long, pos array<int>")
+    # Rows that are equal in everything may stand in two slices.
+    return by_slice.groupBy("k", "t").agg(F.flatten(F.collect_list("pos")).alias("pos"))
+
+
+def _numbered(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Slices with a number each: the partition and their place in it."""
+    first = TaskContext.get().partitionId() << 32
+    return enumerate(text_slices(batches, limit=SLICE), first)
 
 
 def _kept(words: list[bytes], gone: list[bool] | None, digest: bool) -> str:
@@ -211,14 +233,14 @@ def remove_repeats(
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // bucket_bytes))
 
     def anchors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches, limit=SLICE):
+        for number, part in _numbered(batches):
             words = Words([x.encode() for x in part.column("text").to_pylist()])
             size = words.sizes[words.row]
             at = np.flatnonzero(in_cover[words.pos % period] & (size - words.pos >= anchor) & (size >= window))
             h = words.window_hashes(at, anchor, 0)
             low = (h & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)  # a false match only costs time
             bucket = (h >> np.uint64(32)) % np.uint64(buckets)
-            yield _entries(part.column("key").to_numpy(), part.column("tie").to_numpy(), words.row[at], words.pos[at], low, bucket.astype(np.int64))
+            yield _entries(number, part.column("key").to_numpy(), part.column("tie").to_numpy(), words.row[at], words.pos[at], low, bucket.astype(np.int64), buckets)
 
     places = _repeated_places(rows.select("key", "tie", "text").mapInArrow(anchors, _entry_schema("int")))
     same = (F.col("key") == F.col("k")) & (F.col("tie") == F.col("t"))
@@ -245,7 +267,7 @@ def remove_repeats(
 
     def extend(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Full hashes of all passages over a repeated anchor."""
-        for part in text_slices(batches, limit=SLICE):
+        for number, part in _numbered(batches):
             words = Words([x.encode() for x in part.column("text").to_pylist()])
             lists = part.column("pos")
             sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
@@ -258,7 +280,7 @@ def remove_repeats(
             at = np.flatnonzero(np.cumsum(over)[: len(words.hashes)] > 0)
             bucket = (words.window_hashes(at, window, 1) % np.uint64(buckets)).astype(np.int64)
             h = words.window_hashes(at, window, 0).view(np.int64)
-            yield _entries(part.column("key").to_numpy(), part.column("tie").to_numpy(), words.row[at], words.pos[at], h, bucket)
+            yield _entries(number, part.column("key").to_numpy(), part.column("tie").to_numpy(), words.row[at], words.pos[at], h, bucket, buckets)
 
     found = _repeated_places(unfinished.select("key", "tie", "text", "pos").mapInArrow(extend, _entry_schema("long")))
 
