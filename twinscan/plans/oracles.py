@@ -159,7 +159,7 @@ SOURCE_PAIRS = (
     + f""", sp AS (SELECT a.project, a.language, {_NAMED_PAIR},
         {jaccard('a.pset', 'b.pset')} AS jaccard_similarity
         FROM cs a JOIN cs b ON a.project = b.project AND a.language = b.language AND {_ONE_WAY} AND {_NOT_ONE_GROUP}
-        WHERE {jaccard('a.pset', 'b.pset')} >= 0.9
+        WHERE {jaccard('a.pset', 'b.pset')} >= 0.8
         UNION ALL SELECT project, language, {_OWN_PAIR}, 1.0 FROM cs WHERE len(gs) > 1)"""
 )
 
@@ -571,9 +571,7 @@ ORACLES["combined_graph"] = with_(
     body=f"""SELECT {_PAIR_NAME} || '_' || id AS id, {_PAIR_NAME} || '_' || source AS source, {_PAIR_NAME} || '_' || target AS target, type, line, similarity_score,
         {_PAIR_NAME} AS pair FROM ce WHERE (left_id, right_id) IN (SELECT (left_id, right_id) FROM se)""",
 )
-ORACLES["graph_nodes"] = with_(
-    *MATCHED, BEST, SIDES, COUNTS, IMPORTS,
-    body=f"""SELECT left_id, right_id, prefix || '_root' AS id, 'file_subflow' AS type, '📁 ' || string_split(f.path, '/')[-1] AS label, NULL AS parent,
+_NODES = f"""SELECT left_id, right_id, prefix || '_root' AS id, 'file_subflow' AS type, '📁 ' || string_split(f.path, '/')[-1] AS label, NULL AS parent,
             fk.nf AS functions_count, im.n AS imports_count, CAST(NULL AS DOUBLE) AS similarity_score, NULL AS similarity_target
             FROM sd JOIN f USING (file_id) JOIN fk USING (file_id) JOIN im USING (file_id)
         UNION ALL SELECT left_id, right_id, prefix || '_imports_group', 'import_group', '📦 Imports (' || CAST(im.n AS VARCHAR) || ')', prefix || '_root', fk.nf, im.n, NULL, NULL
@@ -581,7 +579,13 @@ ORACLES["graph_nodes"] = with_(
         UNION ALL SELECT sd.left_id, sd.right_id, {node_id('prefix', 'fu.idx', 'fu.name')}, 'function',
             CASE WHEN bm.score IS NULL THEN '⚙️ ' || fu.name ELSE '⚡ ' || fu.name || ' (' || format('{{:.1f}}', bm.score * 100) || '%)' END,
             prefix || '_root', NULL, NULL, coalesce(bm.score, 0.0), bm.target
-            FROM sd JOIN fu USING (file_id) LEFT JOIN bm ON bm.left_id = sd.left_id AND bm.right_id = sd.right_id AND bm.side = sd.side AND bm.idx = fu.idx""",
+            FROM sd JOIN fu USING (file_id) LEFT JOIN bm ON bm.left_id = sd.left_id AND bm.right_id = sd.right_id AND bm.side = sd.side AND bm.idx = fu.idx"""
+ORACLES["graph_nodes"] = with_(*MATCHED, BEST, SIDES, COUNTS, IMPORTS, body=_NODES)
+ORACLES["combined_graph_nodes"] = with_(
+    *GRAPHED, BEST, COUNTS, IMPORTS,
+    body=f"""SELECT {_PAIR_NAME} || '_' || id AS id, type, label, CASE WHEN parent IS NOT NULL THEN {_PAIR_NAME} || '_' || parent END AS parent,
+        functions_count, imports_count, similarity_score, similarity_target, {_PAIR_NAME} AS pair
+        FROM ({_NODES}) n WHERE (left_id, right_id) IN (SELECT (left_id, right_id) FROM se)""",
 )
 
 # ---- reports ---------------------------------------------------------------------------------------

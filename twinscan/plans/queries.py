@@ -19,7 +19,7 @@ from twinscan.sources.token_store import update_token_store
 from twinscan.streaming.incremental import PAIRS, incremental_compare
 
 DOCUMENT_THRESHOLD = 0.7
-SOURCE_THRESHOLD = 0.9
+SOURCE_THRESHOLD = 0.8
 SOURCE_SCOPE = ["project", "language"]
 
 # The rule set every site of the pages table is checked with.
@@ -488,12 +488,21 @@ def graph_summary(spark, d):
     return graph.graph_summary(file_pairs, graph.graph_edges(file_pairs, found, shared), files)
 
 
-@query
-def combined_graph(spark, d):
+def _combined_graph(spark, d):
     file_pairs, found, shared = source_blocks(spark, d)
     nodes = graph.graph_nodes(file_pairs, view(spark, d, "source_files"), found, shared)
     edges = graph.graph_edges(file_pairs, found, shared)
-    return graph.combined_graph(file_pairs, nodes, edges)[1]
+    return graph.combined_graph(file_pairs, nodes, edges)
+
+
+@query
+def combined_graph(spark, d):
+    return _combined_graph(spark, d)[1]
+
+
+@query
+def combined_graph_nodes(spark, d):
+    return _combined_graph(spark, d)[0]
 
 
 @query
