@@ -30,7 +30,8 @@ def copy_classes(rows: DataFrame, scope: list[str], key: Column | None = None) -
     They stand in different groups unless all rows of the class stand in one. Only the first row's parts
     are fetched, by a join, so no array is aggregated.
     """
-    keyed = rows.withColumn("class_key", content_key(F.array_sort("parts")) if key is None else key)
+    # Read twice below, and costly to make.
+    keyed = materialize(rows.withColumn("class_key", content_key(F.array_sort("parts")) if key is None else key))
     member = F.struct("group_id", "id")
     classes = (
         keyed.groupBy(*scope, "class_key")
