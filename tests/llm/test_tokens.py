@@ -88,6 +88,18 @@ def test_packing(spark, fan_in, carried):
     assert pack(token_pieces(table(spark, []), BYTE, 64, 2), 64).count() == 0
 
 
+def test_packing_of_lengths_clustered_by_partition(spark):
+    """Long pieces in some partitions and the short ones that fit them in others meet, however many there are."""
+    lengths = [600] * 6000 + [400] * 6000
+    schema = "doc_id long, piece int, start long, length int, ids_crc32 long"
+    pieces = spark.createDataFrame([(i, 0, 0, n, 0) for i, n in enumerate(lengths)], schema).coalesce(2)
+    for carried in (4096, 100):
+        found = pack(pieces, 1000, carried=carried).toPandas()
+        assert sorted(found["doc_id"]) == list(range(len(lengths)))
+        assert found.groupby("sequence_id")["length"].sum().max() <= 1000
+        assert found["sequence_id"].nunique() <= 6000 * 1.02
+
+
 def test_assembled_sequences(spark):
     texts = [prose(i, 8) for i in range(9)]
     tokenizer = load(BYTE)

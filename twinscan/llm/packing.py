@@ -1,10 +1,10 @@
 """Packing of token pieces into sequences of fixed capacity by hierarchical best fit.
 
-Each partition packs its own pieces, longest first, each into the fullest bin that still holds it. Bins
-that are nearly full leave; what is left travels up a tree: bins of `FAN_IN` groups meet in one, where each
-bin is an item and is packed by best fit again. Sizes and places travel, not tokens. A bin of more
-than half the capacity cannot join another such bin, so of these only the `CARRIED` emptiest of each group
-go on, the others stay as they are; a group therefore never grows with the input.
+Each partition packs its own pieces, longest first, each into the fullest bin that still holds it. Only bins
+that are nearly full leave. The pieces of all others are dealt anew over tasks by a hash of their bin, as many
+tasks as their number asks for, and packed again; rounds go on as long as the number of bins falls. Then
+bins travel whole in the same way, which never makes more of them, until their number stops falling too. Sizes
+and places travel, not tokens; a task's share is bounded, and the number of bins that go on is not.
 """
 
 from __future__ import annotations
@@ -22,12 +22,13 @@ from pyspark.sql import functions as F
 from twinscan.llm.common import chosen, materialize, text_slices
 from twinscan.llm.encoding import ByteEncoder, encoder
 
+#: A task packs about FAN_IN * CARRIED pieces at once after the first packing.
 FAN_IN = 16
 CARRIED = 4_096
 #: Bins with at most this share of the capacity free are nearly full.
 NEARLY = 1 / 128
 
-_BIN = "level int, grp long, bin long, done boolean, items array<struct<doc_id:long,piece:int,start:long,length:int,ids_crc32:long,offset:long>>"
+_BIN = "grp long, bin long, done boolean, items array<struct<doc_id:long,piece:int,start:long,length:int,ids_crc32:long,offset:long>>"
 _ITEM = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("ids_crc32", pa.int64()), ("offset", pa.int64())])
 
 
@@ -85,14 +86,12 @@ def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def _packed(level: int, group: int, first: int, items: list[list[dict]], capacity: int, nearly: float, carried: int) -> pa.Table:
+def _packed(group: int, first: int, items: list[list[dict]], capacity: int, nearly: float) -> pa.Table:
     """Bins of these items (lists of pieces that stay together). `done` bins travel no further."""
     sizes = np.array([sum(x["length"] for x in item) for item in items], np.int64)
     bins = best_fit(sizes, capacity)
     used = np.array([sizes[b].sum() for b in bins], np.int64)
     done = used >= capacity - int(capacity * nearly)
-    large = np.flatnonzero(~done & (used * 2 > capacity))
-    done[large[np.argsort(used[large], kind="stable")[carried:]]] = True
     placed = []
     for b in bins:
         pieces, at = [x for i in b for x in items[i]], 0
@@ -103,13 +102,12 @@ def _packed(level: int, group: int, first: int, items: list[list[dict]], capacit
     n = len(bins)
     return pa.table(
         [
-            pa.array([level] * n, pa.int32()),
             pa.array([group] * n, pa.int64()),
             pa.array(range(first, first + n), pa.int64()),
             pa.array(done, pa.bool_()),
             pa.array(placed, pa.list_(_ITEM)),
         ],
-        ["level", "grp", "bin", "done", "items"],
+        ["grp", "bin", "done", "items"],
     )
 
 
@@ -123,28 +121,39 @@ def pack(pieces: DataFrame, capacity: int, nearly: float = NEARLY, fan_in: int =
     def local(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, first = TaskContext.get().partitionId(), 0
         for batch in batches:  # a batch of rows (10 000 by default) is packed at once
-            out = _packed(0, group, first, [[x] for x in batch.to_pylist()], capacity, nearly, carried)
+            out = _packed(group, first, [[x] for x in batch.to_pylist()], capacity, nearly)
             first += len(out)
             yield from out.to_batches()
 
-    def merging(level: int):
-        def merge(group: pa.Table) -> pa.Table:
+    def packing(whole: bool):
+        def again(key: tuple, group: pa.Table) -> pa.Table:
             rows = sorted(group.select(["grp", "bin", "items"]).to_pylist(), key=lambda x: (x["grp"], x["bin"]))
-            return _packed(level, rows[0]["grp"] // fan_in, 0, [x["items"] for x in rows], capacity, nearly, carried)
+            items = [x["items"] for x in rows] if whole else [[y] for x in rows for y in x["items"]]
+            return _packed(key[0].as_py(), 0, items, capacity, nearly)
 
-        return merge
+        return again
+
+    def counted(bins: DataFrame) -> tuple[int, int, int, int]:
+        """Bins, open bins and their pieces, highest group."""
+        still = F.when(~F.col("done"), F.size("items"))
+        return tuple(x or 0 for x in bins.agg(F.count("*"), F.count(still), F.sum(still), F.max("grp")).first())
 
     bins = materialize(pieces.mapInArrow(local, _BIN))
-    groups = (bins.agg(F.max("grp")).first()[0] or 0) + 1
-    finished, level = [], 0
-    while not level or groups > 1:
-        finished.append(bins.where("done"))
-        level += 1
-        groups = -(-groups // fan_in)
-        above = F.floor(F.col("grp") / fan_in)
-        bins = materialize(bins.where("not done").groupBy(above.alias("above")).applyInArrow(merging(level), _BIN))
+    _, left, n_pieces, last = counted(bins)
+    finished, groups, dealt = [bins.where("done")], last + 1, 0
+    bins = bins.where("not done")
+    for whole in (False, True):
+        while left > 1:
+            tasks, dealt = -(-n_pieces // (fan_in * carried)), dealt + 1
+            place = F.lit(groups) + F.pmod(F.xxhash64(F.lit(dealt), "grp", "bin"), F.lit(tasks))
+            packed = materialize(bins.groupBy(place.alias("place")).applyInArrow(packing(whole), _BIN))
+            made, still, pieces_left, _ = counted(packed)
+            if made >= left:
+                break
+            finished.append(packed.where("done"))
+            bins, left, n_pieces, groups = packed.where("not done"), still, pieces_left, groups + tasks
     result = reduce(DataFrame.unionByName, [*finished, bins])
-    sequence = F.shiftleft(F.col("level").cast("long"), 58) + F.shiftleft(F.col("grp"), 32) + F.col("bin")
+    sequence = F.shiftleft(F.col("grp"), 32) + F.col("bin")  # a group number is never given twice
     return result.select(sequence.alias("sequence_id"), F.explode("items").alias("x")).select(
         "x.doc_id", "x.piece", "x.start", F.col("x.length").cast("long").alias("length"), "x.ids_crc32", "sequence_id", "x.offset"
     )
