@@ -33,6 +33,17 @@ def test_vectors(spark):
     assert near_duplicate_vectors(frame.limit(0)).count() == 0
 
 
+def test_vectors_of_a_length_the_sample_missed(spark):
+    rnd = np.random.default_rng(9)
+    vectors = [rnd.normal(size=n) for n in (8, 5) for _ in range(30)]
+    vectors += [v * 2 for v in vectors] + [v + 0.001 for v in vectors[::10]]
+    frame = spark.createDataFrame([(i, [float(x) for x in v], 0) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, label int")
+    wanted = sorted(map(tuple, near_duplicate_vectors(frame).collect()))
+    assert sum(r[1] > 0 for r in wanted) >= 120
+    for sample in (0, 1):
+        assert sorted(map(tuple, near_duplicate_vectors(frame, sample=sample, tile=16).collect())) == wanted
+
+
 def test_early_stops_lose_no_pair():
     rnd = np.random.default_rng(7)
     centre = rnd.normal(size=(20, 40))

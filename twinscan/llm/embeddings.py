@@ -52,7 +52,7 @@ def principal_axes(vectors: np.ndarray) -> np.ndarray:
 
 
 def _fit(classes: DataFrame, sample: int) -> dict[int, np.ndarray]:
-    """Axes for each vector length, from about `sample` vectors taken by a hash."""
+    """Axes for each vector length met among about `sample` vectors taken by a hash; others keep their own."""
     share = sample / max(1, classes.count())
     taken = classes if share >= 1 else classes.where(F.pmod(F.xxhash64("vector"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
     by_size: dict[int, list[np.ndarray]] = {}
@@ -106,7 +106,7 @@ def _tiles(classes: DataFrame, axes: dict[int, np.ndarray], tile: int) -> DataFr
             out = []
             for v in vectors:
                 x = v.values.to_numpy()
-                out.append(float(x @ lead[len(x)] / np.linalg.norm(x)) if len(x) in lead else 0.0)
+                out.append(float((x @ lead[len(x)] if len(x) in lead else x[0]) / np.linalg.norm(x)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*batch.schema.names, "lead"])
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +181,7 @@ def near_duplicate_vectors(
                 forest = Forest(len(a) if same else len(a) + len(b))
                 links = np.zeros(len(forest.label), np.int64)
                 base = 0 if same else len(a)
-                for p, q in compare_tiles(a, b, axes[a.shape[1]], same, threshold):
+                for p, q in compare_tiles(a, b, axes.get(a.shape[1], np.eye(a.shape[1])), same, threshold):
                     links += np.bincount(p, size_b[q], len(links)).astype(np.int64) + np.bincount(q + base, size_a[p], len(links)).astype(np.int64)
                     forest.add(p, q + base)
                 nodes = np.arange(len(a)) + one["tile"].as_py() * tile
