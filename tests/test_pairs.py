@@ -61,6 +61,22 @@ def test_pairs_name_different_groups(spark):
     assert members == {(1, 1, 3), (2, 1, 3), (3, 1, 3), (4, 4, 1)}
 
 
+def test_all_members_of_source_classes_are_counted(spark):
+    from twinscan.operators import blocks, scoring
+
+    parts = ["a", "b", "c", "d", "e"]
+    rows = [(i, f"g{i}", parts) for i in range(1, 6)] + [(6, "g6", [*parts, "f"]), (7, "g7", ["z"])]
+    files = [("p", "python", i, g, x, ["t"], ["o"]) for i, g, x in rows]
+    features = spark.createDataFrame(files, "project string, language string, file_id long, group_id string, parts array<string>, types array<string>, ops array<string>")
+    scope = ["project", "language"]
+    members = scoring.file_class_members(features, scope)
+    assert {(r.file_id, r.class_id, r.copies) for r in members.collect()} == {(i, 1, 5) for i in range(1, 6)} | {(6, 6, 1), (7, 7, 1)}
+    found = scoring.file_pairs(features, scope, 0.8)
+    owned = members.withColumn("submission_id", members["file_id"] * 10)
+    summed = blocks.class_summary(found.select("left_id", "right_id"), found, owned).collect()
+    assert sorted((r.left_class, r.left_submissions, r.left_groups, r.right_class, r.right_submissions, r.right_files) for r in summed) == [(1, 5, 5, 1, 5, 5), (1, 5, 5, 6, 1, 1)]
+
+
 def test_hot_parts_are_cut_into_a_grid(spark, monkeypatch):
     monkeypatch.setattr("twinscan.operators.pairs.HOT_PART", 3)
     rows = [("s", i, f"g{i}", ["all", "same", f"x{i}"]) for i in range(20)]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from twinscan.functions import similarity as sim
 from twinscan.functions import tokens as tok
 from twinscan.functions.kernels import lcs_similarity
-from twinscan.operators.pairs import content_key, threshold_pairs
+from twinscan.operators.pairs import content_key, copy_class_members, threshold_pairs
 from twinscan.sources.tables import materialize
 
 FEATURES = ["parts", "types", "structural", "flow", "ops", "n_tokens"]
@@ -112,17 +112,26 @@ def function_similarity(pairs: DataFrame) -> DataFrame:
     ).drop("f1", "f2", "_penalty", "_score")
 
 
-def file_pairs(features: DataFrame, scope: list[str], threshold: float) -> DataFrame:
-    """Pairs of distinct files (features with file_id, group_id) whose signature Jaccard reaches the
-    threshold; files equal in every feature are one class."""
-    rows = features.select(
+def file_rows(features: DataFrame, scope: list[str]) -> DataFrame:
+    """Rows of files for pairs and classes; files equal in every feature have one `_key`."""
+    return features.select(
         *scope,
         F.col("file_id").alias("id"),
         "group_id",
         tok.part_set(F.col("parts")).alias("parts"),
         shape_key().alias("_key"),
     )
-    return threshold_pairs(rows, scope, threshold, key=F.col("_key"))
+
+
+def file_pairs(features: DataFrame, scope: list[str], threshold: float) -> DataFrame:
+    """Pairs of distinct files (features with file_id, group_id) whose signature Jaccard reaches the
+    threshold; files equal in every feature are one class."""
+    return threshold_pairs(file_rows(features, scope), scope, threshold, key=F.col("_key"))
+
+
+def file_class_members(features: DataFrame, scope: list[str]) -> DataFrame:
+    """All files with their class, as `file_pairs` makes them: who stands behind its pairs."""
+    return copy_class_members(file_rows(features, scope), scope, key=F.col("_key")).withColumnRenamed("id", "file_id")
 
 
 def compare_files(files: DataFrame, scope: list[str], threshold: float, fuzzy: bool = True) -> DataFrame:

@@ -74,9 +74,16 @@ def source_tokens(spark: SparkSession, d: str) -> DataFrame:
     return tokenize_files(source_files(spark, d))
 
 
+def source_features(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.similarity_features(source_tokens(spark, d).select(*SOURCE_SCOPE, "file_id", "group_id", "tokens"))
+
+
+def source_class_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.file_pairs(source_features(spark, d), SOURCE_SCOPE, SOURCE_THRESHOLD)
+
+
 def source_pairs(spark: SparkSession, d: str) -> DataFrame:
-    features = scoring.similarity_features(source_tokens(spark, d).select(*SOURCE_SCOPE, "file_id", "group_id", "tokens"))
-    return scoring.file_pairs(features, SOURCE_SCOPE, SOURCE_THRESHOLD).select("left_id", "right_id")
+    return source_class_pairs(spark, d).select("left_id", "right_id")
 
 
 def site_manifest(spark: SparkSession, d: str) -> DataFrame:
@@ -340,6 +347,13 @@ def copy_class_members(spark, d):
     return pairs.copy_class_members(prose_sets(spark, d), ["project"]).withColumnRenamed("id", "file_id")
 
 
+@query
+def source_class_members(spark, d):
+    """All source files with their class and submission: the members that stand behind every pair of source files."""
+    members = scoring.file_class_members(source_features(spark, d), SOURCE_SCOPE)
+    return members.join(view(spark, d, "source_files").select("file_id", "submission_id"), "file_id")
+
+
 @query
 def document_alerts(spark, d):
     """The flagship: similar documents of one language with what is known of both sides, highest first."""
@@ -440,6 +454,17 @@ def shared_block_summary(spark, d):
     return reports.summary_flags(_summaries(spark, d))
 
 
+@query
+def class_block_summary(spark, d):
+    """`shared_block_summary` with the files, submissions and groups of the class behind either file."""
+    class_pairs = materialize(source_class_pairs(spark, d))
+    found = materialize(functions.all_functions(source_files(spark, d)))
+    shared = graph.number_blocks(blocks.shared_blocks(class_pairs.select("left_id", "right_id"), found))
+    files = functions.preprocess_files(source_files(spark, d), found)
+    summaries = blocks.shared_block_summary(class_pairs.select("left_id", "right_id"), shared, files)
+    return blocks.class_summary(summaries, class_pairs, source_class_members(spark, d))
+
+
 @query
 def rank_file_pairs(spark, d):
     return reports.rank_file_pairs(_summaries(spark, d))
