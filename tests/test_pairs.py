@@ -77,6 +77,19 @@ def test_all_members_of_source_classes_are_counted(spark):
     assert sorted((r.left_class, r.left_submissions, r.left_groups, r.right_class, r.right_submissions, r.right_files) for r in summed) == [(1, 5, 5, 1, 5, 5), (1, 5, 5, 6, 1, 1)]
 
 
+def test_smaller_submissions_are_compared_too(spark):
+    from twinscan.operators import sequences
+
+    parts = {"big": [f"b{i}" for i in range(40)], "x": [*"abcdefghi"], "y": [*"abcdefghij"], "z": [*"abcdefghi"]}
+    rows = [("p", s, "f", i, v, v, v, v, v, len(v)) for i, (s, v) in enumerate(parts.items())]
+    names = "parts types structural flow ops".split()
+    features = spark.createDataFrame(rows, "project string, submission_id string, path string, file_id long, " + ", ".join(f"{n} array<string>" for n in names) + ", n_tokens long")
+    found = sequences.submission_pairs(sequences.submission_sets(features), 0.8)
+    assert {(r.submission_id, r.compared_submission_id, r.left_copies, r.right_copies) for r in found.collect()} == {("x", "y", 2, 1), ("x", "z", 2, 2)}
+    scored = sequences.compare_submissions(found, features).collect()
+    assert sorted(r.jaccard_similarity for r in scored) == [0.9, 1.0]
+
+
 def test_hot_parts_are_cut_into_a_grid(spark, monkeypatch):
     monkeypatch.setattr("twinscan.operators.pairs.HOT_PART", 3)
     rows = [("s", i, f"g{i}", ["all", "same", f"x{i}"]) for i in range(20)]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from twinscan.functions import similarity as sim
 from twinscan.functions.kernels import lcs_similarity
+from twinscan.operators.pairs import content_key, threshold_pairs
 
 SEQUENCES = ["types", "structural", "flow", "ops"]
 
@@ -28,6 +29,27 @@ def submission_sequences(features: DataFrame) -> DataFrame:
     )
 
 
+def submission_sets(features: DataFrame) -> DataFrame:
+    """Rows of submissions (project, id, group_id, parts) for pairs and classes. Submissions of one `_key`
+    have equal values of every metric against any third; their groups play no part."""
+    usable = F.filter(F.array_distinct(F.flatten(F.collect_list("parts"))), lambda p: F.length(F.trim(p)) > 0)
+    sets = features.groupBy("project", "submission_id").agg(F.array_sort(usable).alias("parts"))
+    sizes = F.array(F.col("n_tokens").cast("string"), F.col("files_count").cast("string"))
+    return sets.join(submission_sequences(features), "submission_id").select(
+        "project",
+        F.col("submission_id").alias("id"),
+        F.lit("").alias("group_id"),
+        "parts",
+        content_key(F.col("parts"), *[F.col(s) for s in SEQUENCES], sizes).alias("_key"),
+    )
+
+
+def submission_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+    """Similar pairs of all submissions of a project, one row a pair of classes of equal submissions."""
+    found = threshold_pairs(sets, ["project"], threshold, key=F.col("_key"), across_groups=False)
+    return found.withColumnsRenamed({"left_id": "submission_id", "right_id": "compared_submission_id"}).drop("similarity")
+
+
 def submission_parts(features: DataFrame) -> DataFrame:
     """Distinct signature parts of each submission as rows, so that no submission's set is held in one row."""
     return features.select("submission_id", F.explode("parts").alias("part")).distinct()

@@ -416,11 +416,33 @@ def submission_overlap(spark, d):
     return sequences.part_overlap(wanted, sequences.submission_parts(features))
 
 
+@query
+def similar_submissions(spark, d):
+    """Part overlap of all similar pairs of submissions, whichever their sizes: one row a pair of classes."""
+    _, features = _largest_with_others(spark, d)
+    found = materialize(sequences.submission_pairs(sequences.submission_sets(features), SOURCE_THRESHOLD))
+    return sequences.part_overlap(found, sequences.submission_parts(features))
+
+
+@query
+def submission_class_members(spark, d):
+    """All submissions with their class of equal ones: the members that stand behind `similar_submissions`."""
+    _, features = _largest_with_others(spark, d)
+    sets = sequences.submission_sets(features)
+    return pairs.copy_class_members(sets, ["project"], key=F.col("_key")).drop("group_id").withColumnRenamed("id", "submission_id")
+
+
 @query
 def submission_similarity(spark, d):
-    """All metrics of whole submissions; their long sequences make SQL too slow."""
+    """All metrics of whole submissions, of each project's largest with all others and of all similar pairs
+    (one a pair of classes); their long sequences make SQL too slow."""
     wanted, features = _largest_with_others(spark, d)
-    return sequences.compare_submissions(wanted, features)
+    ids = ["submission_id", "compared_submission_id"]
+    similar = sequences.submission_pairs(sequences.submission_sets(features), SOURCE_THRESHOLD).select(*ids)
+    known = wanted.select(*ids)
+    turned = known.select(F.col(ids[1]).alias(ids[0]), F.col(ids[0]).alias(ids[1]))
+    more = similar.join(known.unionByName(turned), ids, "left_anti")
+    return sequences.compare_submissions(materialize(known.unionByName(more)), features)
 
 
 # ---- shared blocks and graph -----------------------------------------------------------------------
