@@ -98,6 +98,21 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    from twinscan.llm.conversations import Repair, damaged, given
+
+    turns = damaged(given(spark.read.parquet(f"{folder}/conversations.parquet")))
+    return Repair(turns, texts=False).summaries()
+
+
+def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    from twinscan.llm.infill import infill, write_frames
+
+    place = f"{scratch_folder(spark)}/twinscan-frames-{uuid.uuid4().hex}"
+    write_frames(read_documents(spark, folder), place)
+    return infill(spark, place, texts=False)
+
+
 LLM_QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_secret_scan": op2_secret_scan,
@@ -109,6 +124,8 @@ LLM_QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_decontamination": op10_decontamination,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 _SPACE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
