@@ -105,9 +105,9 @@ def some_turns(seed, convs, most):
 NAMES = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
 
 
-def check_repair(spark, data):
+def check_repair(spark, data, **options):
     made = spark.createDataFrame([(*x, "c", "p", "d") for x in data], TURNS)
-    repair = conversations.Repair(conversations.damaged(conversations.given(made)))
+    repair = conversations.Repair(conversations.damaged(conversations.given(made)), **options)
     got = {r["conv_id"]: tuple(r[n] for n in NAMES) for r in repair.summaries().collect()}
     expected = brute_repair(data)
     assert got == expected
@@ -122,19 +122,17 @@ def test_repair_equals_a_search_of_all_edits(spark, seed):
     check_repair(spark, some_turns(seed, [None, -3, *range(60)], 4))
 
 
-def test_repair_in_pieces(spark, monkeypatch):
+def test_repair_in_pieces(spark):
     """One conversation over many partitions and pieces; duplicates and audits cross their edges."""
-    monkeypatch.setattr(conversations, "PIECE_TURNS", 2)
     rnd = random.Random(5)
     data = [(7, i, rnd.choice(["user", "assistant", "system", "tool"]), rnd.choice(["One.", "Two!", f"{i}.", "cut", ""])) for i in range(10)]
-    check_repair(spark, data + some_turns(9, [6, 8], 3))
+    check_repair(spark, data + some_turns(9, [6, 8], 3), piece_turns=2)
     # Longer ones, against one piece.
     many = [(7, i // 2, rnd.choice(["user", "assistant", "user", "assistant", "tool"]), rnd.choice([f"{i % 40}.", f"{i}!", "cut", " "])) for i in range(300)]
     many += [(8, None, "user", "Same.")] * 100
     made = spark.createDataFrame([(*x, "c", "p", "d") for x in many], TURNS)
     turns = conversations.damaged(conversations.given(made))
-    pieces = sorted(map(tuple, conversations.Repair(turns, texts=False).summaries().collect()))
-    monkeypatch.setattr(conversations, "PIECE_TURNS", 1 << 13)
+    pieces = sorted(map(tuple, conversations.Repair(turns, texts=False, piece_turns=3).summaries().collect()))
     again = sorted(map(tuple, conversations.Repair(turns.coalesce(1), texts=False).summaries().collect()))
     assert pieces == again and len(pieces) == 2 and len(pieces[0][7]) >= 300
 

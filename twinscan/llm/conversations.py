@@ -96,9 +96,6 @@ class _Piece:
         self.texts.append(text)
         self.chars += len(text)
 
-    def full(self) -> bool:
-        return len(self.roles) >= PIECE_TURNS or self.chars >= PIECE_CHARS
-
 
 def _judged(roles: list[str], texts: list[str], seen: set[bytes]) -> tuple[str, str, list[int]]:
     """(initials, codes, [blank, duplicate, truncated]) of consecutive turns; `seen` holds the keys of earlier ones."""
@@ -189,7 +186,7 @@ def _finished(piece: _Piece) -> dict[str, Any]:
     }
 
 
-def _pieces(turns: DataFrame, texts: bool) -> DataFrame:
+def _pieces(turns: DataFrame, texts: bool, piece_turns: int) -> DataFrame:
     """One row for each conversation that is finished, and the pieces of the others. A conversation is finished
     where it lies inside a partition, neither first nor last there, in one piece."""
 
@@ -212,7 +209,7 @@ def _pieces(turns: DataFrame, texts: bool) -> DataFrame:
                     elif conv != piece.conv:
                         yield opened(piece) if is_first or piece.seq else result(piece)
                         piece, is_first = _Piece(conv, 0), False
-                    elif piece.full():
+                    elif len(piece.roles) >= piece_turns or piece.chars >= PIECE_CHARS:
                         yield opened(piece)
                         piece = _Piece(conv, piece.seq + 1)
                     piece.add(turn, role, text)
@@ -344,8 +341,8 @@ class Repair:
     empty role has no legal place; equal rows are duplicates of each other; an empty table gives an empty result.
     """
 
-    def __init__(self, turns: DataFrame, texts: bool = True) -> None:
-        stored = materialize(_pieces(turns, texts))
+    def __init__(self, turns: DataFrame, texts: bool = True, piece_turns: int = PIECE_TURNS) -> None:
+        stored = materialize(_pieces(turns, texts, piece_turns))
         self._done = stored.where("done")
         pieces = stored.where("not done").select("conv_id", "part", "seq", "turns", "roles", "texts")
         links = materialize(_mapped(_joined(pieces, _earlier(pieces)), _link, _LINK))
@@ -359,7 +356,7 @@ class Repair:
         return self._done.select(*names).unionByName(dealt.mapInArrow(_digests, _SUMMARY))
 
     def turns(self) -> DataFrame:
-        """(conv_id, part, seq, place, role, text): the repaired turns, in the order of the three numbers."""
+        """(conv_id, part, seq, place, role, text): the repaired turns, in the order of the three numbers; made with `texts`."""
         one = self._done.select("conv_id", F.lit(0).alias("part"), F.lit(0).alias("seq"), "repaired")
         every = one.unionByName(self._open.select("conv_id", "part", "seq", "repaired"))
         placed = every.select("conv_id", "part", "seq", F.posexplode("repaired").alias("place", "turn"))

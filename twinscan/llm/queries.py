@@ -105,6 +105,13 @@ def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     return Repair(turns, texts=False).summaries()
 
 
+def op12_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from twinscan.llm.byte_passages import remove_repeated_bytes
+
+    cleaned = remove_repeated_bytes(read_documents(spark, folder), depth=200, digest=True)
+    return cleaned.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.col("kept").alias("kept_sha256"))
+
+
 def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
     from twinscan.llm.infill import infill, write_frames
 
@@ -125,6 +132,7 @@ LLM_QUERIES = {
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_decontamination": op10_decontamination,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_suffix_array_dedup": op12_suffix_array_dedup,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 

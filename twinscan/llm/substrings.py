@@ -6,11 +6,7 @@ are short windows (anchors, `window - v + 1` words) hashed, and any repeated pas
 anchor that both occurrences share. Anchors that occur once end there. The others are extended: each passage
 of `window` words that contains a repeated anchor is hashed in full and counted; what occurs twice is removed.
 
-Hashes travel in arrays, one row for each slice of documents and bucket of hashes; a bucket is small however
-large the input, as their number follows the input. Buckets are chosen by one hash and compared by another,
-so the chance of a false match in a bucket does not grow either. A hash that repeats within a slice is told
-there and sends a single witness, so a passage that a third of all documents share costs a bucket one entry
-a slice.
+How repeated hashes are found among all documents is told in `repeats`.
 """
 
 from __future__ import annotations
@@ -22,11 +18,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinscan.llm.common import chosen, materialize, text_slices
+from twinscan.llm.common import text_slices
+from twinscan.llm.repeats import LONG, Told, bucket_count, directory, distinguished, entries, entry_schema, mixed, numbered, of_row, powers, repeated_places, settled
 
 WINDOW = 35
 # A perfect difference set modulo 21.
@@ -40,22 +36,6 @@ SLICE = 8 << 20
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    powers = np.empty(n + 1, np.uint64)
-    powers[0] = 1
-    with np.errstate(over="ignore"):
-        powers[1:] = np.cumprod(np.full(n, base | 1, np.uint64))
-    return powers
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """Spread all bits, so that any of them may choose a bucket."""
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-        x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
-
-
 class Words:
     """Word hashes of the texts of a slice in a row, with polynomial hashes of any window."""
 
@@ -72,128 +52,12 @@ class Words:
     def window_hashes(self, at: np.ndarray, length: int, which: int) -> np.ndarray:
         """Hashes of the windows of `length` words that begin at these places (of one text each)."""
         base = _BASES[which]
-        values = self.hashes if which == 0 else _mixed(self.hashes + np.uint64(which))
-        powers = _powers(base, len(values))
-        inverse = _powers(pow(base | 1, -1, 1 << 64), len(values))
+        values = self.hashes if which == 0 else mixed(self.hashes + np.uint64(which))
+        factors = powers(base, len(values))
+        inverse = powers(pow(base, -1, 1 << 64), len(values))
         with np.errstate(over="ignore"):
-            prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * powers[:-1], dtype=np.uint64)])
-            return _mixed((prefix[at + length] - prefix[at]) * inverse[at])
-
-
-_LONG, _INT = pa.int64(), pa.int32()
-
-
-def _ragged(values: np.ndarray, edges: np.ndarray, kind: pa.DataType) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(edges, _INT), pa.array(values, kind))
-
-
-def _cuts(*columns: np.ndarray) -> np.ndarray:
-    """Where runs of equal rows begin."""
-    if not len(columns[0]):
-        return np.zeros(0, np.int64)
-    new = np.ones(len(columns[0]), bool)
-    new[1:] = np.any([x[1:] != x[:-1] for x in columns], axis=0)
-    return np.flatnonzero(new)
-
-
-_ENTRY_NAMES = ["bucket", "slice", "h", "docs", "ties", "sizes", "pos"]
-_FOUND = "slice long, docs array<long>, ties array<long>, sizes array<int>, pos array<int>"
-_FOUND_NAMES = ["slice", "docs", "ties", "sizes", "pos"]
-
-
-def _entry_schema(kind: str) -> str:
-    return f"bucket int, slice long, h array<{kind}>, docs array<long>, ties array<long>, sizes array<int>, pos array<int>"
-
-
-def _by_document(group: np.ndarray, docs: np.ndarray, ties: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, list[pa.Array]]:
-    """For each group (ascending): its documents as runs of `sizes` places. The groups, and the four lists."""
-    runs = _cuts(group, docs, ties)
-    first = _cuts(group)
-    run_edges = np.append(_cuts(group[runs]), len(runs))
-    lists = [(docs[runs], run_edges, _LONG), (ties[runs], run_edges, _LONG), (np.diff(runs, append=len(group)), run_edges, _INT), (pos, np.append(first, len(group)), _INT)]
-    return group[first], [_ragged(*x) for x in lists]
-
-
-def _entries(number: int, keys: np.ndarray, ties: np.ndarray, row: np.ndarray, pos: np.ndarray, h: np.ndarray, bucket: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """Rows for buckets: hashes, and the documents they stand in as runs of `sizes` entries. A row without
-    hashes tells the slice its own places that repeat in it; any bucket passes it on."""
-    kind = pa.from_numpy_dtype(h.dtype)
-    order = np.lexsort((h, bucket))
-    first = _cuts(bucket[order], h[order])
-    many = np.diff(first, append=len(order))
-    told = order[np.repeat(many > 1, many)]
-    told = told[np.lexsort((pos[told], row[told]))]
-    # One entry for each hash; one that is told already is a witness, with place -1.
-    pos_sent = np.where(many > 1, -1, pos[order[first]])
-    sent = order[first]
-    again = np.lexsort((pos_sent, row[sent], bucket[sent]))
-    sent, pos_sent = sent[again], pos_sent[again]
-    b, lists = _by_document(bucket[sent], keys[row[sent]], ties[row[sent]], pos_sent)
-    hashes = _ragged(h[sent], lists[3].offsets.to_numpy(), kind)
-    own, told_lists = _by_document(np.full(len(told), number % buckets), keys[row[told]], ties[row[told]], pos[told])
-    parts = [
-        (pa.array(b, _INT), pa.array(own, _INT)),
-        (pa.array([number] * len(b), _LONG), pa.array([number] * len(own), _LONG)),
-        (hashes, pa.array([None] * len(own), pa.list_(kind))),
-        *zip(lists, told_lists),
-    ]
-    return pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in parts], _ENTRY_NAMES)
-
-
-def _flat(column: pa.ChunkedArray) -> np.ndarray:
-    return np.concatenate([np.zeros(0, np.int64), *(x.flatten().to_numpy(zero_copy_only=False) for x in column.chunks)]).astype(np.int64)
-
-
-def _expanded(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Slice, document, tie and place of each entry."""
-    sizes = _flat(rows.column("sizes"))
-    lengths = pc.list_value_length(rows.column("pos")).to_numpy().astype(np.int64)
-    of = np.repeat(rows.column("slice").to_numpy(), lengths)
-    return of, np.repeat(_flat(rows.column("docs")), sizes), np.repeat(_flat(rows.column("ties")), sizes), _flat(rows.column("pos"))
-
-
-def _repeated_in_bucket(group: pa.Table) -> pa.Table:
-    """For each slice, the places of the entries of a bucket whose hash occurs more than once, and those told."""
-    own = group.filter(pc.is_valid(group.column("h")))
-    h = _flat(own.column("h"))
-    order = np.argsort(h, kind="stable")
-    same = np.zeros(len(order) + 1, bool)
-    same[1:-1] = h[order][1:] == h[order][:-1]
-    keep = order[same[:-1] | same[1:]] if len(order) else order
-    entries = [x[keep] for x in _expanded(own)]
-    entries = [x[entries[3] >= 0] for x in entries]
-    told = _expanded(group.filter(pc.is_null(group.column("h"))))
-    return _found(*(np.concatenate(x) for x in zip(entries, told)))
-
-
-def _found(of: np.ndarray, docs: np.ndarray, ties: np.ndarray, pos: np.ndarray) -> pa.Table:
-    order = np.lexsort((pos, ties, docs, of))
-    slices, lists = _by_document(of[order], docs[order], ties[order], pos[order])
-    return pa.table([pa.array(slices, _LONG), *lists], _FOUND_NAMES)
-
-
-def _documents_of_slice(group: pa.Table) -> pa.Table:
-    """(k, t, pos): all places that the buckets found in the documents of a slice."""
-    _, docs, ties, pos = _expanded(group)
-    order = np.lexsort((pos, ties, docs))
-    docs, ties, pos = docs[order], ties[order], pos[order]
-    cuts = _cuts(docs, ties)
-    return pa.table([pa.array(docs[cuts], _LONG), pa.array(ties[cuts], _LONG), _ragged(pos, np.append(cuts, len(docs)), _INT)], ["k", "t", "pos"])
-
-
-def _repeated_places(entries: DataFrame) -> DataFrame:
-    """(k, t, pos): for each row of the documents that has any, its places that slices and buckets found.
-    A slice gets at most the entries it sent, so both groupings stay small."""
-    found = entries.groupBy("bucket").applyInArrow(_repeated_in_bucket, _FOUND)
-    by_slice = found.groupBy("slice").applyInArrow(_documents_of_slice, "k long, t long, pos array<int>")
-    # Rows that are equal in everything may stand in two slices.
-    return by_slice.groupBy("k", "t").agg(F.flatten(F.collect_list("pos")).alias("pos"))
-
-
-def _numbered(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
-    """Slices with a number each: the partition and their place in it."""
-    first = TaskContext.get().partitionId() << 32
-    return enumerate(text_slices(batches, limit=SLICE), first)
+            prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * factors[:-1], dtype=np.uint64)])
+            return mixed((prefix[at + length] - prefix[at]) * inverse[at])
 
 
 def _kept(words: list[bytes], gone: list[bool] | None, digest: bool) -> str:
@@ -219,31 +83,28 @@ def remove_repeats(
     has no words; a null id stays null; rows with the same id (or none) are different rows, and equal rows
     repeat each other; an empty table gives an empty one. Other columns are left out.
     """
-    spark = docs.sparkSession
     anchor = window - period + 1
     members = {d % period for d in cover}
     if anchor < 1 or {(a - b) % period for a in members for b in members} != set(range(period)):
         raise ValueError("cover is no difference cover, or the period is too long for the window")
     in_cover = np.isin(np.arange(period), list(members))
-    # key and tie tell rows apart, also those without an id.
-    rows = chosen(docs, doc_id, text).select(
-        F.coalesce("doc_id", F.lit(0)).alias("key"), F.xxhash64("text", F.isnull("doc_id")).alias("tie"), "doc_id", "text"
-    )
-    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // bucket_bytes))
+    rows = distinguished(docs, doc_id, text)
+    buckets = bucket_count(docs, text, bucket_bytes)
 
     def anchors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, part in _numbered(batches):
+        told = Told()
+        for number, part in numbered(batches, SLICE):
             words = Words([x.encode() for x in part.column("text").to_pylist()])
             size = words.sizes[words.row]
             at = np.flatnonzero(in_cover[words.pos % period] & (size - words.pos >= anchor) & (size >= window))
             h = words.window_hashes(at, anchor, 0)
-            low = (h & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)  # a false match only costs time
+            low = (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)  # a false match only costs time
             bucket = (h >> np.uint64(32)) % np.uint64(buckets)
-            yield _entries(number, part.column("key").to_numpy(), part.column("tie").to_numpy(), words.row[at], words.pos[at], low, bucket.astype(np.int64), buckets)
+            yield entries(number, directory(part, words.sizes), at, low, bucket.astype(np.int64), buckets, told)
 
-    places = _repeated_places(rows.select("key", "tie", "text").mapInArrow(anchors, _entry_schema("int")))
-    same = (F.col("key") == F.col("k")) & (F.col("tie") == F.col("t"))
+    # The shortest texts have too few words, whatever they are; they need neither hashes nor a join.
+    long = F.octet_length("text") >= 2 * window - 1
+    places = repeated_places(rows.where(long).select("key", "tie", "text").mapInArrow(anchors, entry_schema("int")))
 
     def split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows without a repeated anchor are finished; the others take their text along."""
@@ -255,19 +116,21 @@ def remove_repeats(
                     *(part.column(c) for c in ("key", "tie", "doc_id")),
                     pa.array([None if f else x for x, f in zip(part.column("text").to_pylist(), finished)], pa.string()),
                     part.column("pos"),
-                    pa.array([len(w) for w in words], _LONG),
+                    pa.array([len(w) for w in words], LONG),
                     pa.array([_kept(w, None, digest) if f else None for w, f in zip(words, finished)], pa.string()),
                 ],
                 ["key", "tie", "doc_id", "text", "pos", "n_words", "kept"],
             )
 
-    joined = rows.join(places, same, "left").select("key", "tie", "doc_id", "text", "pos")
-    step = materialize(joined.mapInArrow(split, "key long, tie long, doc_id long, text string, pos array<int>, n_words long, kept string"))
+    joined = rows.where(long).join(places, of_row(), "left").select("key", "tie", "doc_id", "text", "pos")
+    short = rows.where(~long).select("key", "tie", "doc_id", "text", F.lit(None).cast("array<int>").alias("pos"))
+    step = settled(joined.unionByName(short).mapInArrow(split, "key long, tie long, doc_id long, text string, pos array<int>, n_words long, kept string"))
     unfinished = step.where("pos is not null")
 
     def extend(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Full hashes of all passages over a repeated anchor."""
-        for number, part in _numbered(batches):
+        told = Told()
+        for number, part in numbered(batches, SLICE):
             words = Words([x.encode() for x in part.column("text").to_pylist()])
             lists = part.column("pos")
             sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
@@ -279,10 +142,9 @@ def remove_repeats(
             np.add.at(over, end[begin <= end] + 1, -1)
             at = np.flatnonzero(np.cumsum(over)[: len(words.hashes)] > 0)
             bucket = (words.window_hashes(at, window, 1) % np.uint64(buckets)).astype(np.int64)
-            h = words.window_hashes(at, window, 0).view(np.int64)
-            yield _entries(number, part.column("key").to_numpy(), part.column("tie").to_numpy(), words.row[at], words.pos[at], h, bucket, buckets)
+            yield entries(number, directory(part, words.sizes), at, words.window_hashes(at, window, 0), bucket, buckets, told)
 
-    found = _repeated_places(unfinished.select("key", "tie", "text", "pos").mapInArrow(extend, _entry_schema("long")))
+    found = repeated_places(unfinished.select("key", "tie", "text", "pos").mapInArrow(extend, entry_schema("long")))
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, limit=SLICE):
@@ -297,8 +159,8 @@ def remove_repeats(
                 gone = (np.cumsum(over)[:-1] > 0).tolist()
                 out.append((len(words), sum(gone), _kept(words, gone, digest)))
             n, lost, kept = zip(*out) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, _LONG), pa.array(lost, _LONG), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, LONG), pa.array(lost, LONG), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
-    last = unfinished.select("key", "tie", "doc_id", "text").join(found, same, "left").select("doc_id", "text", "pos")
+    last = unfinished.select("key", "tie", "doc_id", "text").join(found, of_row(), "left").select("doc_id", "text", "pos")
     done = step.where("pos is null").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept")
     return done.unionByName(last.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string"))
