@@ -1,14 +1,17 @@
 """Sources, rules, table updates and the stream."""
 
+import datetime
 import io
 import os
+import random
 import zipfile
 
 from pyspark.sql import functions as F
 
 from twinscan.operators import reports, rules, submissions
 from twinscan.sources import manifest, tables, token_store
-from twinscan.streaming.incremental import PAIRS, incremental_compare
+from twinscan.streaming.arrival_index import ArrivalIndex, compact
+from twinscan.streaming.incremental import compare_batch, incremental_compare, read_pairs
 
 MANIFEST_ROWS = "submission_id string, path string, is_dir boolean, size_bytes long, content string"
 
@@ -123,7 +126,7 @@ def test_stream_compares_once(spark, tmp_path):
     def run():
         stream = spark.readStream.schema(schema).parquet(inbox)
         incremental_compare(stream, str(tmp_path / "h"), str(tmp_path / "p"), str(tmp_path / "c")).awaitTermination()
-        return sorted((r.submission_id, r.compared_submission_id, r.jaccard_similarity) for r in spark.read.schema(PAIRS).parquet(str(tmp_path / "p")).collect())
+        return sorted((r.submission_id, r.compared_submission_id, r.jaccard_similarity) for r in read_pairs(spark, str(tmp_path / "p")).collect())
 
     words = list("abcdefghij")
     arrive([("1", "p", "g1", "s", "2024-01-01 00:00:00", words), ("2", "p", "g2", "s", "2024-01-01 00:00:01", words[:9]), ("9", "q", "g1", "s", "2024-01-01 00:00:01", words)])
@@ -132,3 +135,86 @@ def test_stream_compares_once(spark, tmp_path):
     got = run()
     assert [g for g in got if g[0] in "34"] == [("3", "1", 1.0), ("3", "2", 0.9)]
     assert run() == got and os.path.isdir(tmp_path / "h")
+
+
+ARRIVALS = "id string, project string, group_id string, step string, upload_time timestamp, parts array<string>"
+
+
+def arrivals(n, seed):
+    """Rows in time order: near copies, equal contents, second submissions of a group, nulls and empty sets."""
+    rnd = random.Random(seed)
+    stems = [[f"w{k}_{i}" for i in range(20)] for k in range(4)]
+    out = []
+    for i in range(n):
+        parts = list(rnd.choice(stems))
+        for _ in range(rnd.randint(0, 3)):
+            parts[rnd.randrange(20)] = f"x{rnd.randrange(60)}"
+        parts = sorted(set(parts)) if rnd.random() > 0.1 else []
+        project = rnd.choice(["p", "p", "q", None])
+        out.append((f"{i:04}", project, f"g{rnd.randrange(n)}", "s", datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=i), parts))
+    return out
+
+
+def brute_pairs(rows, threshold):
+    """First earlier row of another group with each distinct similar content."""
+    kept, seen = [], set()
+    for r in rows:
+        if (r[1], r[3], r[2]) not in seen:
+            seen.add((r[1], r[3], r[2]))
+            kept.append(r)
+    out = []
+    for i, a in enumerate(kept):
+        met = set()
+        for b in kept[:i]:
+            if (b[1], b[3]) != (a[1], a[3]) or b[2] == a[2] or frozenset(b[5]) in met or not a[5]:
+                continue
+            j = len(set(a[5]) & set(b[5])) / len(set(a[5]) | set(b[5]))
+            if j >= threshold:
+                met.add(frozenset(b[5]))
+                out.append((a[0], b[0], round(j, 9)))
+    return sorted(out)
+
+
+def test_batches_by_index(spark, tmp_path):
+    rows = arrivals(120, 3)
+
+    def written(name):
+        return sorted((r.submission_id, r.compared_submission_id, round(r.jaccard_similarity, 9)) for r in read_pairs(spark, str(tmp_path / name / "p")).collect())
+
+    def run(name, sizes, again=()):
+        at = 0
+        for number, size in enumerate(sizes):
+            frame = spark.createDataFrame(rows[at : at + size], ARRIVALS)
+            for _ in range(2 if number in again else 1):
+                compare_batch(frame, ArrivalIndex(spark, str(tmp_path / name / "i"), "r", number, 8), str(tmp_path / name / "p"), 0.7)
+            at += size
+        return written(name)
+
+    expected = brute_pairs(rows, 0.7)
+    assert len(expected) > 100
+    assert run("one", [120]) == expected
+    assert run("many", [1, 19, 20, 40, 40], again=(0, 3)) == expected
+    # The index goes on from a compacted copy, and rows that were seen stay out under another run.
+    compact(spark, str(tmp_path / "many" / "i"), str(tmp_path / "small"), 8)
+    index = ArrivalIndex(spark, str(tmp_path / "small"), "next", 0, 8)
+    compare_batch(spark.createDataFrame(rows[50:80], ARRIVALS), index, str(tmp_path / "again"), 0.7)
+    assert read_pairs(spark, str(tmp_path / "again")).count() == 0
+    late = ("new", "p", "other", "s", datetime.datetime(2025, 1, 1), next(r[5] for r in rows if r[1] == "p" and r[5]))
+    compare_batch(spark.createDataFrame([late], ARRIVALS), ArrivalIndex(spark, str(tmp_path / "small"), "next", 1, 8), str(tmp_path / "again"), 0.7)
+    got = [(r.submission_id, r.compared_submission_id, round(r.jaccard_similarity, 9)) for r in read_pairs(spark, str(tmp_path / "again")).collect()]
+    assert sorted(got) == [x for x in brute_pairs([*rows, late], 0.7) if x[0] == "new"]
+
+
+def test_a_batch_reads_only_the_slots_it_hits(spark, tmp_path):
+    path = str(tmp_path / "i")
+    for number in range(3):
+        rows = [(f"{number}_{i}", "p", f"g{number}_{i}", "s", datetime.datetime(2024, 1, 1), [f"{number}_{i}_{k}" for k in range(10)]) for i in range(30)]
+        compare_batch(spark.createDataFrame(rows, ARRIVALS), ArrivalIndex(spark, path, "r", number, 64), str(tmp_path / "p"), 0.7)
+    index = ArrivalIndex(spark, path, "r", 3, 64)
+    size = lambda df: sum(os.path.getsize(f.removeprefix("file://")) for f in df.inputFiles())
+    whole = size(index.read("postings"))
+    one = spark.createDataFrame([("p", "s", 1), ("p", "s", 2)], "project string, step string, part long")
+    hit = index.read("postings", one.select(index.slot("project", "step", "part")))
+    assert 0 < size(hit) <= whole * 4 / 64 + 2000
+    none = spark.createDataFrame([], "slot int")
+    assert index.read("contents", none).count() == 0 and not index.read("contents", none).inputFiles()

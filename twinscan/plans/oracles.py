@@ -465,8 +465,8 @@ ORACLES["copy_class_members"] = with_(
 ORACLES["incremental_compare_stream"] = with_(
     PROSE, TEXT_TOKENS, DOCUMENT_PAIRS,
     "st AS (SELECT a.id AS a_id, b.id AS b_id, count(*) AS common FROM dx a JOIN dx b ON a.project = b.project AND a.part = b.part GROUP BY ALL)",
-    "sj AS (SELECT a_id, b_id, b.copies, common / CAST(len(a.parts) + len(b.parts) - common AS DOUBLE) AS j FROM st JOIN dc a ON a.id = a_id JOIN dc b ON b.id = b_id)",
-    body="""SELECT CAST(ds.file_id AS VARCHAR) AS submission_id, CAST(b_id AS VARCHAR) AS compared_submission_id, j AS jaccard_similarity, sj.copies,
+    "sj AS (SELECT a_id, b_id, common / CAST(len(a.parts) + len(b.parts) - common AS DOUBLE) AS j FROM st JOIN dc a ON a.id = a_id JOIN dc b ON b.id = b_id)",
+    body="""SELECT CAST(ds.file_id AS VARCHAR) AS submission_id, CAST(b_id AS VARCHAR) AS compared_submission_id, j AS jaccard_similarity,
         'completed' AS status, ds.project, 'documents' AS step
         FROM ds JOIN dc ON dc.project = ds.project AND dc.parts = ds.parts JOIN sj ON a_id = dc.id WHERE j >= 0.7 AND b_id < ds.file_id""",
 )
@@ -698,8 +698,7 @@ PRESENCE = f"""pr AS (SELECT submission_id, {_list([(g, f'NOT {_has(r)}') for g,
     pj AS (SELECT *, CAST(missing_files <> '' AS INT) + CAST(forbidden_files <> '' AS INT) AS e FROM pr)"""
 ORACLES["rule_file_presence"] = with_(
     PAGES, ENTRIES, PRESENCE,
-    body="""SELECT submission_id, missing_files, forbidden_files, e = 0 AS passed, CASE WHEN e > 0 THEN 'fileValidationFailed' END AS code,
-        CASE WHEN e = 0 THEN 'All required files are present and no forbidden files found' ELSE 'File validation failed with ' || CAST(e AS VARCHAR) || ' error(s)' END AS message FROM pj""",
+    body="""SELECT submission_id, missing_files, forbidden_files, e = 0 AS passed, CASE WHEN e > 0 THEN 'fileValidationFailed' END AS code FROM pj""",
 )
 SIZES = """sz AS (SELECT submission_id, CAST(sum(octet_length(encode(content))) AS BIGINT) AS actual_size_bytes, count(*) AS file_count FROM g GROUP BY 1),
     sy AS (SELECT *, actual_size_bytes / 1048576.0 AS mb FROM sz)"""
@@ -721,9 +720,7 @@ STRUCTURE = f"""ds_ AS (SELECT submission_id, {_list([
 ORACLES["rule_directory_structure"] = with_(
     PAGES, ENTRIES, VIOLATIONS, STRUCTURE,
     body="""SELECT submission_id, missing_directories, v1 AS "forbiddenDirectoriesFound", v2 AS "directoryDepthExceeded", CAST(0 AS BIGINT) AS "emptyDirectoriesFound",
-        coalesce(n, 0) AS total_directories, e = 0 AS passed, CASE WHEN e > 0 THEN 'directoryStructureValidationFailed' END AS code,
-        CASE WHEN e = 0 THEN 'Directory structure validation passed: ' || CAST(coalesce(n, 0) AS VARCHAR) || ' directories checked'
-            ELSE 'Directory structure validation failed with ' || CAST(e AS VARCHAR) || ' error(s)' END AS message FROM dt""",
+        coalesce(n, 0) AS total_directories, e = 0 AS passed, CASE WHEN e > 0 THEN 'directoryStructureValidationFailed' END AS code FROM dt""",
 )
 _CHECKS = [
     ("^en/[^/]*$", "contains(lower(content), 'the ')"),
@@ -740,8 +737,7 @@ CONTENT = "cv AS (" + " UNION ALL ".join(
 ORACLES["rule_content_violations"] = with_(PAGES, SITES, CONTENT, body="SELECT submission_id, check_index, path FROM cv WHERE failed")
 ORACLES["rule_file_content"] = with_(
     PAGES, SITES, CONTENT,
-    body="""SELECT submission_id, checks, e = 0 AS passed, CASE WHEN e > 0 THEN 'fileContentValidationFailed' END AS code,
-        CASE WHEN e = 0 THEN 'All 3 file content checks passed successfully' ELSE 'File content validation failed with ' || CAST(e AS VARCHAR) || ' error(s)' END AS message FROM cr""",
+    body="""SELECT submission_id, checks, e = 0 AS passed, CASE WHEN e > 0 THEN 'fileContentValidationFailed' END AS code FROM cr""",
 )
 ORACLES["rule_report"] = with_(
     PAGES, SITES, ENTRIES, PRESENCE, SIZES, VIOLATIONS, STRUCTURE, CONTENT,

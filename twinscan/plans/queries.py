@@ -16,7 +16,7 @@ from twinscan.sources import manifest as manifests
 from twinscan.sources.tables import materialize, scratch_folder
 from twinscan.sources.token_store import stored_tokens as read_tokens
 from twinscan.sources.token_store import update_token_store
-from twinscan.streaming.incremental import PAIRS, incremental_compare
+from twinscan.streaming.incremental import incremental_compare, read_pairs
 
 DOCUMENT_THRESHOLD = 0.7
 SOURCE_THRESHOLD = 0.8
@@ -720,7 +720,7 @@ def _rule(spark, d, i):
 
 @query
 def rule_file_presence(spark, d):
-    out = _rule(spark, d, 0)
+    out = _rule(spark, d, 0).drop("message")
     return out.withColumn("missing_files", F.array_join("missing_files", ",")).withColumn(
         "forbidden_files", F.array_join("forbidden_files", ",")
     )
@@ -733,7 +733,7 @@ def rule_archive_size(spark, d):
 
 @query
 def rule_directory_structure(spark, d):
-    return _rule(spark, d, 2).withColumn("missing_directories", F.array_join("missing_directories", ","))
+    return _rule(spark, d, 2).drop("message").withColumn("missing_directories", F.array_join("missing_directories", ","))
 
 
 @query
@@ -743,7 +743,7 @@ def rule_directory_violations(spark, d):
 
 @query
 def rule_file_content(spark, d):
-    out = _rule(spark, d, 3)
+    out = _rule(spark, d, 3).drop("message")
     shown = F.transform(
         "checks", lambda c: F.concat_ws(":", c["files"].cast("string"), c["failed"].cast("string"), F.coalesce(c["code"], F.lit("ok")))
     )
@@ -779,5 +779,5 @@ def incremental_compare_stream(spark, d):
         F.timestamp_seconds(F.col("doc_id")).alias("upload_time"),
         tokens.part_set(tokens.signature_parts(tokenize(F.col("text"), "text"))).alias("parts"),
     )
-    incremental_compare(rows, f"{base}/history", f"{base}/pairs", f"{base}/checkpoint", DOCUMENT_THRESHOLD).awaitTermination()
-    return spark.read.schema(PAIRS).parquet(f"{base}/pairs")
+    incremental_compare(rows, f"{base}/index", f"{base}/pairs", f"{base}/checkpoint", DOCUMENT_THRESHOLD).awaitTermination()
+    return read_pairs(spark, f"{base}/pairs")

@@ -26,6 +26,24 @@ def scratch_folder(spark: SparkSession) -> str:
     return _LOCAL_FOLDER[0]
 
 
+def _file_system(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def is_written(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to this folder as a whole and committed."""
+    files, target = _file_system(spark, f"{path}/_SUCCESS")
+    return files.exists(target)
+
+
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, none if it is not there. Unlike a failed read, this does not take a damaged or foreign table
+    for none. For the few folders of one level."""
+    files, target = _file_system(spark, path)
+    return sorted(x.getPath().getName() for x in files.listStatus(target)) if files.exists(target) else []
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write `df` once and read it back. Used where several branches of a plan share costly rows:
     each branch then reads just its columns, and a lost executor re-reads files instead of lineage."""

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinscan.functions.languages import detect_language
 from twinscan.operators.tokenize import tokenize_by_language
 from twinscan.schema import TOKENS
+from twinscan.sources.tables import child_names
 
 
 def content_hash(content) -> "F.Column":
@@ -16,10 +16,9 @@ def content_hash(content) -> "F.Column":
 
 
 def read_store(spark, path: str) -> DataFrame:
-    try:
+    if child_names(spark, path):
         return spark.read.parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], f"content_hash string, tokens {TOKENS.simpleString()}, language string")
+    return spark.createDataFrame([], f"content_hash string, tokens {TOKENS.simpleString()}, language string")
 
 
 def update_token_store(files: DataFrame, path: str) -> None:
