@@ -748,3 +748,40 @@ ORACLES["rule_report"] = with_(
     body="""SELECT submission_id, count(*) FILTER (bad) AS failed_rule_count, count(*) AS total_rule_count, count(*) FILTER (bad) = 0 AS passed,
         coalesce(string_agg(t, ',' ORDER BY o) FILTER (bad), '') AS errors FROM al GROUP BY 1""",
 )
+
+_FAULTS_A = [(f"missing:{g}", f"NOT {_has(r)}") for g, r in _MUST] + [(f"forbidden:{g}", _has(r)) for g, r in _NEVER]
+_FAULTS_B = [("missing:*/*", f"NOT {_has('^[^/]*/[^/]*$')}"), ("missing:fr/**", f"NOT {_has('^fr/.*$')}"), ("forbidden:de/?", _has("^de/[^/]$"))]
+_ROOM = "length(submission_id) % 3"
+SITE_LISTS = f"""dd AS (SELECT submission_id, _list_a.missing, count(directory) FILTER (list_contains(string_split(directory, '/'), 'es') OR (starts_with(directory, 'd') AND ends_with(directory, 'e'))) AS never,
+        count(directory) FILTER (len(string_split(directory, '/')) > 1) AS deep1, count(directory) FILTER (len(string_split(directory, '/')) > 2) AS deep2
+        FROM (SELECT submission_id, CASE WHEN {_ROOM} = 0 THEN {_list([
+            ('missing:en', f"NOT bool_or({_NM} = 'en')"), ('missing:fr/*', 'false'), ('missing:blog', f"NOT bool_or({_NM} = 'blog')")])}
+            ELSE {_list([('missing:en', f"NOT bool_or({_NM} = 'en')"), ('missing:fr', f"NOT bool_or({_NM} = 'fr')")])} END AS missing FROM en GROUP BY 1) _list_a
+        LEFT JOIN di USING (submission_id) GROUP BY ALL),
+    ch AS (SELECT submission_id, CASE WHEN {_ROOM} = 0 THEN check_index ELSE 1 - check_index END AS i, files, failed FROM ck
+        WHERE {_ROOM} = 0 OR ({_ROOM} = 1 AND check_index < 2)),
+    cf AS (SELECT submission_id, coalesce(string_agg(CAST(i AS VARCHAR) || CASE WHEN files = 0 THEN ':noMatchingFiles' ELSE ':contentCheckFailed:' || CAST(failed AS VARCHAR) END, ',' ORDER BY i)
+        FILTER (files = 0 OR failed > 0), '') AS faults FROM ch GROUP BY 1),
+    rt AS (SELECT submission_id, 0 AS ord, 'file_presence' AS name, {_list(_FAULTS_A)} AS faults, 'fileValidationFailed' AS code FROM en WHERE {_ROOM} = 0 GROUP BY 1
+        UNION ALL SELECT submission_id, 1, 'max_archive_size', CASE WHEN mb > 0.05 THEN 'bytes:' || CAST(actual_size_bytes AS VARCHAR) ELSE '' END, 'repositorySizeExceeded' FROM sy WHERE {_ROOM} = 0
+        UNION ALL SELECT submission_id, 2, 'directory_structure', array_to_string(list_filter([nullif(missing, ''), CASE WHEN never > 0 AND {_ROOM} = 0 THEN 'forbidden:' || CAST(never AS VARCHAR) END,
+            CASE WHEN {_ROOM} = 0 AND deep1 > 0 THEN 'deep:' || CAST(deep1 AS VARCHAR) WHEN {_ROOM} = 1 AND deep2 > 0 THEN 'deep:' || CAST(deep2 AS VARCHAR) END], lambda x: x IS NOT NULL), ','),
+            'directoryStructureValidationFailed' FROM dd WHERE {_ROOM} < 2
+        UNION ALL SELECT submission_id, CASE WHEN {_ROOM} = 0 THEN 3 ELSE 0 END, 'file_content', faults, 'fileContentValidationFailed' FROM cf
+        UNION ALL SELECT submission_id, 1, 'file_presence', {_list(_FAULTS_B)}, 'fileValidationFailed' FROM en WHERE {_ROOM} = 1 GROUP BY 1
+        UNION ALL SELECT submission_id, 0, 'max_archive_size', 'max_size_mb', 'invalidParameterValue' FROM hs WHERE {_ROOM} = 2
+        UNION ALL SELECT submission_id, 1, 'file_presence', 'must_exist', 'invalidParameterType' FROM hs WHERE {_ROOM} = 2
+        UNION ALL SELECT submission_id, 2, 'file_content', 'check 0', 'invalidRegexPattern' FROM hs WHERE {_ROOM} = 2
+        UNION ALL SELECT submission_id, 3, 'max_archive_size', CASE WHEN mb > 0.01 THEN 'bytes:' || CAST(actual_size_bytes AS VARCHAR) ELSE '' END, 'repositorySizeExceeded' FROM sy WHERE {_ROOM} = 2
+        UNION ALL SELECT submission_id, 4, 'nope', 'name', 'unknownRule' FROM hs WHERE {_ROOM} = 2 AND ends_with(submission_id, '.com'))"""
+ORACLES["rule_table_results"] = with_(
+    PAGES, SITES, ENTRIES, SIZES, CONTENT, SITE_LISTS,
+    body="SELECT submission_id, ord, name, faults = '' AS passed, CASE WHEN faults <> '' THEN code END AS code, faults FROM rt",
+)
+ORACLES["rule_table_report"] = with_(
+    PAGES, SITES, ENTRIES, SIZES, CONTENT, SITE_LISTS,
+    body="""SELECT submission_id, count(*) FILTER (faults <> '') AS failed_rule_count, count(*) AS total_rule_count,
+        coalesce(string_agg(CAST(ord AS VARCHAR) || ':' || name || ':' || code, ',' ORDER BY ord) FILTER (faults <> ''), '') AS errors,
+        count(*) FILTER (faults <> '') = 0 AS passed,
+        count(*) FILTER (faults <> '') = 0 OR (starts_with(submission_id, 'blog') AND count(*) FILTER (code = 'unknownRule') = 0) AS accepted FROM rt GROUP BY 1""",
+)

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinscan.functions import languages, links, similarity, text, tokens
-from twinscan.operators import blocks, functions, graph, pairs, reports, rules, scoring, sequences, submissions
+from twinscan.operators import blocks, functions, graph, pairs, reports, rule_tables, rules, scoring, sequences, submissions
 from twinscan.operators.tokenize import token_rows, tokenize, tokenize_files
 from twinscan.plans.bindings import table, view
 from twinscan.sources import manifest as manifests
@@ -762,6 +763,43 @@ def rule_report(spark, d):
     return out.select("submission_id", "failed_rule_count", "total_rule_count", "passed", F.array_join(shown, ",").alias("errors"))
 
 
+def _site_lists() -> Column:
+    """Each site's own list of rules as JSON, chosen by its name: the site rules, some others, or faulty ones."""
+    html, english = SITE_RULES[3]["params"]["checks"][1], SITE_RULES[3]["params"]["checks"][0]
+    other = [
+        {"name": "file_content", "params": {"checks": [html, english]}},
+        {"name": "file_presence", "params": {"must_exist": ["*/*", "fr/**"], "forbidden": ["de/?"]}},
+        {"name": "directory_structure", "params": {"required_directories": ["en", "fr"], "max_depth": 2}},
+    ]
+    faulty = [
+        {"name": "max_archive_size", "params": {"max_size_mb": -1}},
+        {"name": "file_presence", "params": {"must_exist": "x"}},
+        {"name": "file_content", "params": {"checks": [{"file_pattern": "en/*", "regex": "("}]}},
+        {"name": "max_archive_size", "params": {"max_size_mb": 0.01}},
+    ]
+    site, rest = F.col("submission_id"), F.length("submission_id") % 3
+    text = [F.lit(json.dumps(x)) for x in (SITE_RULES, other, faulty, [*faulty, {"name": "nope"}])]
+    return F.when(rest == 0, text[0]).when(rest == 1, text[1]).when(site.endswith(".com"), text[3]).otherwise(text[2])
+
+
+def _site_results(spark, d):
+    lists = sites(spark, d).select("submission_id", _site_lists().alias("rules"))
+    return rule_tables.judge(site_manifest(spark, d), rule_tables.rules_from_json(lists))
+
+
+@query
+def rule_table_results(spark, d):
+    return _site_results(spark, d).withColumn("faults", F.array_join("faults", ","))
+
+
+@query
+def rule_table_report(spark, d):
+    subs = sites(spark, d).withColumn("force_rules", F.col("submission_id").startswith("blog"))
+    out = rule_tables.report(_site_results(spark, d), subs)
+    shown = F.transform("errors", lambda e: F.concat_ws(":", e["ord"].cast("string"), e["name"], e["code"]))
+    return out.withColumn("errors", F.array_join(shown, ","))
+
+
 # ---- streaming -------------------------------------------------------------------------------------
 
 
@@ -770,7 +808,8 @@ def incremental_compare_stream(spark, d):
     """Documents arrive as a stream of submissions and are compared with the earlier ones of their language."""
     base = f"{scratch_folder(spark)}/stream-{uuid.uuid4().hex}"
     schema = table(spark, d, "documents").schema
-    arriving = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(d)
+    # As a pattern the path may be one file or a folder of files.
+    arriving = spark.readStream.schema(schema).parquet(f"{d}/documents.parque[t]")
     rows = arriving.select(
         F.col("doc_id").cast("string").alias("id"),
         F.col("lang").alias("project"),
