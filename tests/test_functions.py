@@ -161,16 +161,237 @@ SHAPES = {
     "php": ("<?php\nfunction go_on($a)\n{\n    return '{';\n}\n", [("go_on", 1, 4)]),
 }
 
+# Blocks that end by a word, with indentation that says nothing or the wrong thing.
+WORDED = {
+    "ruby": (
+        """class A
+def first(x)
+if x then 1 else 2 end
+  [1].each do |y|
+puts "end" if y # end
+      while y > 1 do
+y -= 1
+end
+end
+x.class.begin(if: 1)
+    end
+  def self.second = 5
+def third
+case x
+when 1 then 2
+end
+begin
+1
+rescue
+2
+end unless x
+z = if x
+1
+else
+2
+end
+end
+end
+def last; 1; end
+=begin
+def no
+=end
+""",
+        [("first", 1, 10), ("second", 11, 11), ("third", 12, 26), ("last", 28, 28)],
+    ),
+    "lua": (
+        """local function outer(a)
+  local function inner(b)
+for i = 1, 3 do print(i) end
+if a then
+return b
+elseif b then return 1 else
+while true do break end
+end
+end
+    repeat
+a = a - 1
+until a == 0 -- end
+--[[ end
+end ]]
+return function() return "end" end
+end
+function M.sub.run() return 1 end
+function t:last()
+end
+""",
+        [("outer", 0, 15), ("inner", 1, 8), ("run", 16, 16), ("last", 17, 18)],
+    ),
+    "julia": (
+        """module M
+function outer(x)
+y = x[end] + sum(z for z in x)
+@inbounds for i in 1:3
+if i > 1
+println("end")
+end
+end
+function inner(a) return a[begin:end] end
+map(x) do v
+begin
+v
+end
+end
+#= end
+end =#
+end
+f(x) = 1
+function last(x)
+let a = 1
+while a < 3; a += 1; end
+end
+  end
+end
+""",
+        [("outer", 1, 16), ("inner", 8, 8), ("last", 18, 22)],
+    ),
+    "matlab": (
+        """function r = outer(a)
+if a(end) > 1, r = 1; end
+for i = 1:3
+switch i
+case 1
+r = b{end};
+end
+end
+% end
+end
+function helper()
+while true
+break
+end
+end
+""",
+        [("outer", 0, 9), ("helper", 10, 14)],
+    ),
+    "fortran": (
+        """module m
+contains
+subroutine first(a)
+integer :: a
+if (a > (1)) then
+do i = 1, 3
+if (a == i) a = 2
+end do
+else if (a < 0) then
+a = 1
+endif
+select case (a)
+case (1)
+end select
+end subroutine first
+recursive integer function second(n) result(r)
+type(t) :: x
+where (n > 1)
+n = 2
+end where
+end function
+end module m
+""",
+        [("first", 2, 14), ("second", 15, 20)],
+    ),
+    "pascal": (
+        """unit U;
+interface
+procedure Outer(a: integer);
+type T = class
+procedure M;
+end;
+implementation
+procedure Outer(a: integer);
+var r: record x: integer; end;
+  function Inner(b: integer): integer;
+function Deep: integer; begin Deep := 1; end;
+begin
+if b > 1 then begin
+{ end }
+Inner := 1 // end
+end;
+case b of 1: begin end; end;
+end;
+procedure Later; forward;
+begin
+try
+a := Inner(1);
+finally
+write('end');
+end;
+end;
+procedure T.M;
+begin
+end;
+begin
+Outer(1);
+end.
+""",
+        [("Outer", 7, 25), ("Inner", 9, 17), ("Deep", 10, 10), ("M", 26, 28)],
+    ),
+    "ada": (
+        """package body P is
+procedure Spec (X : Integer);
+function Sum (X : Integer) return Integer is
+   procedure Inner is
+begin
+if X > 1 then
+loop
+exit when X > 3;
+end loop;
+elsif X = 0 then
+null; -- end
+end if;
+end Inner;
+Y : Integer;
+begin
+for I in 1 .. 3 loop
+begin
+Inner;
+exception
+when others => null;
+end;
+end loop;
+return Y;
+end Sum;
+procedure Copy is new Generic_Copy (Integer);
+function Other return Integer
+is
+begin
+return 1;
+end Other;
+end P;
+""",
+        [("Sum", 2, 23), ("Inner", 3, 12), ("Other", 25, 29)],
+    ),
+    "bash": ("run() {\nif true; then\necho \"}\"\nfi\n  inner() { echo; }\nfor i in 1 2; do echo ${i}; done\n}\nfunction other()\n{\necho # }\n}\n", [("run", 0, 6), ("inner", 4, 4), ("other", 7, 10)]),
+}
+# Functions without an end of their own: they go on to the next one.
+OPEN_ENDED = "function a(x)\nif x\ny = 1;\nend\n\nfunction b()\nfor i = 1:2\nend\n"
 
-def test_functions_of_real_shapes(spark):
+
+def spans(spark, sources):
     from twinscan.operators.functions import extract_functions
 
-    rows = [(i, language, source) for i, (language, (source, _)) in enumerate(SHAPES.items())]
+    rows = [(i, language, source) for i, (language, source) in enumerate(sources)]
     found = extract_functions(spark.createDataFrame(rows, "file_id long, language string, content string")).collect()
-    for i, language, source in rows:
-        got = [(r.function_name, r.start_line, r.end_line) for r in found if r.file_id == i]
-        assert got == SHAPES[language][1], language
-        start, end = got[0][1:]
+    return [sorted(((r.function_name, r.start_line, r.end_line) for r in found if r.file_id == i), key=lambda x: x[1]) for i, _, _ in rows], found
+
+
+def test_blocks_that_end_by_a_word(spark):
+    got, _ = spans(spark, [(language, source) for language, (source, _) in WORDED.items()] + [("matlab", OPEN_ENDED)])
+    for (language, (_, expected)), found in zip(WORDED.items(), got):
+        assert found == expected, language
+    assert got[-1] == [("a", 0, 4), ("b", 5, 7)]
+
+
+def test_functions_of_real_shapes(spark):
+    got, found = spans(spark, [(language, source) for language, (source, _) in SHAPES.items()])
+    for i, (language, (source, expected)) in enumerate(SHAPES.items()):
+        assert got[i] == expected, language
+        start, end = got[i][0][1:]
         assert [r.code_block for r in found if r.file_id == i] == ["\n".join(source.split("\n")[start : end + 1])]
 
 

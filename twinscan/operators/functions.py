@@ -1,8 +1,9 @@
 """Functions of source files, from a table of lines.
 
-Each line yields its indentation, brace balance and, where a header is recognised, a function name.
-Block ends come from two windows over (file, line) and (file, level); both run on one shuffle of these
-few small columns. The source text itself is only joined back at the end.
+Each line yields its indentation, the blocks it opens and closes (by braces, or by words such as `do` and `end`, see
+`block_words`) and, where a header is recognised, a function name. Block ends come from windows over (file, line) and
+(file, level), which run on one shuffle of these few small columns: a block ends where the depth falls back to what it
+was before. The source text itself is only joined back at the end.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from twinscan.functions.languages import NO_FUNCTIONS, detect_language
 from twinscan.functions.text import code_block, literal_map, one_of
+from twinscan.operators.block_words import BODIED, ENDLESS, WORDED, begins_body, closed, only_declares, opened, plain_line, without_block_comments
 from twinscan.operators.tokenize import HASH_LANGUAGES, flat_source
 
 NAME = r"([\p{L}_][\p{L}\p{N}_]*)"
@@ -41,15 +43,15 @@ HEADERS = {
     "kotlin": (r"^\s*(?:\w+\s+)*fun\s+(?:<[^>]*>\s*)?(?:\w+\.)?" + NAME + r"\s*\(", "function_declaration"),
     "swift": (r"^\s*(?:\w+\s+)*func\s+" + NAME, "function_declaration"),
     "scala": (r"^\s*(?:\w+\s+)*def\s+" + NAME, "function_definition"),
-    "ruby": (r"^\s*def\s+" + NAME, "method"),
-    "lua": (r"^\s*(?:local\s+)?function\s+(?:\w+[.:])?" + NAME, "function_declaration"),
+    "ruby": (r"^\s*(?:(?:private|protected|public|private_class_method)\s+)?def\s+(?:self\.)?" + NAME, "method"),
+    "lua": (r"^\s*(?:local\s+)?function\s+(?:\w+[.:])*" + NAME, "function_declaration"),
     "perl": (r"^\s*sub\s+" + NAME, "subroutine_declaration"),
     "r": (r"^\s*" + NAME + r"\s*<-\s*function\b", "binary_operator"),
     "julia": (r"^\s*function\s+" + NAME, "function_definition"),
     "matlab": (r"^\s*function\s+(?:[^=(]*=\s*)?" + NAME, "function_definition"),
-    "fortran": (r"(?i)^\s*(?:\w+\s+)*(?:subroutine|function)\s+" + NAME, "subroutine_subprogram"),
+    "fortran": (r"(?i)^\s*(?!end)(?:\w+(?:\s*\([^()]*\))?\s+)*(?:subroutine|function)\s+" + NAME, "subroutine_subprogram"),
     "ada": (r"(?i)^\s*(?:function|procedure)\s+" + NAME, "subprogram_declaration"),
-    "pascal": (r"(?i)^\s*(?:function|procedure)\s+(?:\w+\.)?" + NAME, "function_declaration"),
+    "pascal": (r"(?i)^\s*(?:class\s+)?(?:function|procedure)\s+(?:\w+\.)?" + NAME, "function_declaration"),
     "haskell": (r"^" + NAME + r"\s+[^=:|]*=", "function"),
     "ocaml": (r"^\s*let\s+(?:rec\s+)?" + NAME + r"\s+[^=]*=", "value_definition"),
     "bash": (r"^\s*(?:function\s+)?" + NAME + r"\s*\(\s*\)", "function_definition"),
@@ -61,7 +63,6 @@ MORE_HEADERS = {
 }
 GENERIC_HEADER = (r"^\s*(?:\w+\s+)*(?:def|func|fn|fun|function|sub|procedure|lambda)\s+" + NAME, "function_definition")
 INDENTED = ["python", "haskell", "ocaml"]
-ENDED = ["ruby", "lua", "julia", "matlab", "fortran", "ada", "pascal"]
 # Names that are not taken as functions.
 CONSTRUCTORS = ["__init__", "__construct", "constructor", "init", "initialize", "ctor"]
 ANNOTATIONS = ["Test", "DisplayName", "Override", "Deprecated", "SuppressWarnings"]
@@ -127,6 +128,7 @@ def _on_one_line(text: Column, pattern: str) -> Column:
 def logical_lines(text: Column, language: Column) -> Column:
     """Lines of a source text for finding headers: comments and strings of several lines are emptied,
     headers of several lines and their braces stand in their first line. Line numbers stay."""
+    text = without_block_comments(text, language)
     flat = F.when(one_of(language, HASH_LANGUAGES), flat_source(text, "hash")).otherwise(flat_source(text, "slash"))
     return F.split(_on_one_line(_on_one_line(flat, _OPEN_BRACKET), _NEXT_LINE_BRACE), "\n")
 
@@ -147,75 +149,104 @@ def _spans(files: DataFrame, mode: str) -> DataFrame:
     """Rows (file_id, name, node_type, start_line, end_line)."""
     language = F.col("language")
     lines = files.select("file_id", "language", F.posexplode(logical_lines(F.col("content"), language)).alias("line", "text"))
-    bare = _blanked(F.col("text"), language)
+    worded = one_of(language, [*WORDED, *BODIED])
+    lines = lines.withColumn("bare", F.when(worded, plain_line(F.col("text"), language)).otherwise(_blanked(F.col("text"), language)))
     lines = _headers(lines, mode)
     small = lines.select(
         "file_id",
         "line",
-        F.when(one_of(language, INDENTED), "indent").when(one_of(language, ENDED), "end").otherwise("brace").alias("style"),
+        F.when(one_of(language, INDENTED), "indent").otherwise("depth").alias("style"),
+        one_of(language, BODIED).alias("bodied"),
+        one_of(language, WORDED).alias("worded"),
+        one_of(language, ENDLESS).alias("endless"),
         F.length(F.regexp_extract("text", r"^([ \t]*)", 1)).alias("indent"),
         F.col("text").rlike(r"\S").alias("filled"),
-        _count(bare, "{").alias("opens"),
-        _count(bare, "}").alias("closes"),
-        "own",
+        F.when(worded, opened(F.col("bare"), language)).otherwise(_count(F.col("bare"), "{")).alias("opens"),
+        F.when(worded, closed(F.col("bare"), language)).otherwise(_count(F.col("bare"), "}")).alias("closes"),
+        begins_body(F.col("bare"), language).alias("body"),
+        (one_of(language, BODIED) & F.col("bare").rlike(r"(?i)^\s*implementation\b")).alias("implementation"),
+        F.when(~only_declares(F.col("bare"), language), F.col("own")).alias("own"),
         "generic",
     ).filter("filled")
     by_line = Window.partitionBy("file_id").orderBy("line")
     so_far = by_line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy("file_id")
-    placed = small.select(
+    judged = small.select(
         "*",
-        F.sum(F.col("opens") - F.col("closes")).over(so_far).alias("depth"),
         F.lag("indent").over(by_line).alias("last_indent"),
         F.lag("line").over(by_line).alias("last_line"),
         F.max("line").over(whole).alias("file_end"),
-        F.when(F.max(F.col("own").isNotNull()).over(whole), F.col("own")).otherwise(F.col("generic")).alias("header"),
+        F.max(F.when(F.col("implementation"), F.col("line"))).over(whole).alias("from_line"),
+        F.when(F.max(F.col("own").isNotNull()).over(whole), F.col("own")).otherwise(F.col("generic")).alias("any_header"),
+    ).withColumn("header", F.when(F.coalesce(F.col("line") > F.col("from_line"), F.lit(True)), F.col("any_header")))
+    # Files that leave out the ends of functions: their headers open no block, and a function goes on to the next one.
+    surplus = F.sum(F.col("opens") - F.col("closes")).over(whole)
+    headers = F.count("header").over(whole)
+    open_ended = judged.withColumn("no_ends", F.col("endless") & (headers > 0) & (surplus >= headers))
+    counted = open_ended.withColumn("opens", F.col("opens") - (F.col("no_ends") & F.col("header").isNotNull()).cast("int"))
+    placed = counted.select(
+        "*",
+        F.sum(F.col("opens") - F.col("closes")).over(so_far).alias("depth"),
+        F.min(F.when(F.col("header").isNotNull(), F.col("line"))).over(by_line.rowsBetween(1, Window.unboundedFollowing)).alias("next_header"),
     )
-    brace = F.col("style") == "brace"
+    by_depth = F.col("style") == "depth"
     before = F.col("depth") - F.col("opens") + F.col("closes")
-    level = F.when(brace, before).otherwise(F.col("indent")).cast("int")
-    closed_from = F.when(brace, F.col("depth")).otherwise(F.col("indent")).cast("int")
-    closed_to = F.when(brace, before - 1).otherwise(F.col("last_indent")).cast("int")
+    level = F.when(by_depth, before).otherwise(F.col("indent")).cast("int")
+    closed_from = F.when(by_depth, F.col("depth")).otherwise(F.col("indent")).cast("int")
+    closed_to = F.when(by_depth, before - 1).otherwise(F.col("last_indent")).cast("int")
     closing_line = F.when(F.col("style") == "indent", F.col("last_line")).otherwise(F.col("line"))
     nothing = F.array().cast("array<int>")
-    closed = F.when(closed_to >= closed_from, F.sequence(closed_from, F.greatest(closed_to, closed_from))).otherwise(nothing)
-    one_line = brace & (F.col("opens") > 0) & (F.col("opens") == F.col("closes"))
+    falls = F.when(closed_to >= closed_from, F.sequence(closed_from, F.greatest(closed_to, closed_from))).otherwise(nothing)
+    # A header whose words open no block is a function of one expression.
+    one_line = by_depth & (F.col("opens") == F.col("closes")) & ((F.col("opens") > 0) | (F.col("worded") & ~F.col("no_ends")))
+    header = "struct<name:string,node_type:string>"
+    event = f"array<struct<level:int,header:{header},body:boolean,closes_at:int>>"
+
+    def event_of(at: Column, head: Column, body: Column, closes_at: Column) -> Column:
+        return F.struct(at.alias("level"), head.alias("header"), body.alias("body"), closes_at.alias("closes_at"))
+
+    none, no_line, empty = F.lit(None).cast(header), F.lit(None).cast("int"), F.array().cast(event)
     events = placed.select(
         "file_id",
         "line",
         "file_end",
+        "bodied",
+        F.when(F.col("no_ends"), F.coalesce(F.col("next_header") - 1, F.col("file_end"))).alias("known_end"),
         F.explode(
             F.concat(
-                F.when(
-                    F.col("header").isNotNull(),
-                    F.array(F.struct(level.alias("level"), F.col("header").alias("header"), F.lit(None).cast("int").alias("closes_at"))),
-                ).otherwise(F.array().cast("array<struct<level:int,header:struct<name:string,node_type:string>,closes_at:int>>")),
-                F.transform(
-                    closed,
-                    lambda v: F.named_struct(
-                        F.lit("level"),
-                        v,
-                        F.lit("header"),
-                        F.lit(None).cast("struct<name:string,node_type:string>"),
-                        F.lit("closes_at"),
-                        closing_line,
-                    ),
-                ),
+                F.when(F.col("header").isNotNull(), F.array(event_of(level, F.col("header"), F.lit(False), no_line))).otherwise(empty),
+                F.when(F.col("body"), F.array(event_of(level, none, F.lit(True), no_line))).otherwise(empty),
+                F.transform(falls, lambda v: event_of(v, none, F.lit(False), closing_line)),
             )
         ).alias("e"),
         one_line.alias("one_line"),
-    ).select("file_id", "line", "file_end", "one_line", "e.*")
+    ).select("file_id", "line", "file_end", "bodied", "known_end", "one_line", "e.*")
     later = Window.partitionBy("file_id", "level").orderBy(F.desc("line")).rangeBetween(Window.unboundedPreceding, -1)
-    ends = events.withColumn("next_close", F.min("closes_at").over(later))
-    return ends.filter(F.col("header").isNotNull()).select(
+    ends = events.withColumn("next_close", F.min("closes_at").over(later)).filter(F.col("header").isNotNull() | F.col("body"))
+    block_end = F.when(F.col("one_line"), F.col("line")).otherwise(F.coalesce("known_end", "next_close", "file_end"))
+    return _to_bodies(ends.withColumn("block_end", block_end)).select(
         "file_id",
         F.col("header.name").alias("function_name"),
         F.col("header.node_type").alias("node_type"),
         F.col("line").alias("start_line"),
-        F.when(F.col("one_line"), F.col("line")).otherwise(F.coalesce("next_close", "file_end")).alias("end_line"),
+        "end_line",
     )
 
 
+def _to_bodies(found: DataFrame) -> DataFrame:
+    """Headers with their `end_line`: that of their own block, or in bodied languages that of the body that belongs to
+    them. Headers and bodies of one level are pairs like brackets: a body belongs to the last header without one."""
+    step = F.when(F.col("header").isNotNull(), 1).otherwise(-1)
+    at_level = Window.partitionBy("file_id", "level").orderBy("line", "body")
+    paired = found.withColumn("balance", F.sum(step).over(at_level.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    # A body brings the balance back to what it was before its header.
+    pair = Window.partitionBy("file_id", "level", F.when(F.col("body"), F.col("balance")).otherwise(F.col("balance") - 1))
+    following = pair.orderBy("line", "body").rowsBetween(1, Window.unboundedFollowing)
+    body = F.min(F.when(F.col("body"), F.struct("line", "block_end"))).over(following)
+    with_body = paired.withColumn("its_body", body).filter(F.col("header").isNotNull())
+    return with_body.withColumn("end_line", F.when(F.col("bodied"), F.coalesce("its_body.block_end", "block_end")).otherwise(F.col("block_end")))
+
+
 def _with_blocks(spans: DataFrame, files: DataFrame) -> DataFrame:
     function_id = F.concat_ws("_", "function_name", F.col("start_line").cast("string"))
     unique = spans.withColumn("function_id", function_id).dropDuplicates(["file_id", "function_id"])
