@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -216,3 +217,35 @@ def test_test_items(spark):
     assert "wort" not in found[len(texts) - 1]["cleaned"].lower()
     assert find_test_items(table(spark, []), bench).count() == 0
     assert rows(find_test_items(table(spark, ["a b"]), bench.limit(0)), "n_hit") == [(0,)]
+
+
+def _seconds(df):
+    start = time.perf_counter()
+    df.write.format("noop").mode("overwrite").save()
+    return time.perf_counter() - start
+
+
+def test_long_texts_take_time_in_proportion(spark):
+    """One text with as many runs as two others takes about as long as both."""
+    rnd = random.Random(7)
+    runs = lambda n: " ".join("".join(rnd.choice("0123456789") for _ in range(20)) for _ in range(n))
+    lines = lambda n: "\n".join(f"this line is shared by many documents {i:08}" if i % 2 else f"own {i}" for i in range(n))
+    ratios = [0.0] * 80**2
+    scanned = lambda texts: secrets.find_secrets(table(spark, texts), ratios)
+    deduped = lambda texts: line_dedup.deduplicate_lines(table(spark, texts * 5))
+    for made, one, two in ((scanned, [runs(20_000)], [runs(10_000)] * 2), (deduped, [lines(20_000)], [lines(10_000)] * 2)):
+        _seconds(made(two))
+        assert _seconds(made(one)) <= 2 * _seconds(made(two)) + 5
+
+
+def test_places_of_many_matches(spark):
+    rnd = random.Random(8)
+    texts = ["".join(rnd.choice(["é", " ", "x" * rnd.randrange(9), "a" * 40, "AKIA" + "Q" * 12, "token=abcdefgh", "0a" * 20]) for _ in range(n)) for n in (0, 1, 16, 17, 300, 1200)]
+    found = secrets.find_secrets(table(spark, texts), [0.0] * 80**2, threshold=-1.0).orderBy("doc_id").collect()
+    for r, text in zip(found, texts):
+        base = {k: [(m.start(), m.end()) for m in re.finditer(p, text)] for k, p in (("access", secrets.ACCESS), ("hex", secrets.HEX))}
+        base["assign"] = [(m.start(), m.end()) for m in re.finditer(secrets.ASSIGN, text) if len(m[1]) >= 8]
+        assert {k: [(x.start, x.end) for x in r[k]] for k in base} == base
+        spans = [s for x in base.values() for s in x]
+        tried = [(m.start(), m.end()) for m in re.finditer(secrets.CANDIDATE, text)]
+        assert [(x.start, x.end) for x in r["random"]] == [t for t in tried if not any(a < t[1] and t[0] < b for a, b in spans)]

@@ -50,6 +50,21 @@ def test_long_texts_are_spliced_exactly(chunk, overlap, guard):
         assert encode_long(tokenizer, text, chunk, overlap, guard).tolist() == plain(tokenizer, text)
 
 
+@pytest.mark.parametrize("breaks", [True, False])
+def test_long_texts_of_any_script_are_encoded_about_once(monkeypatch, breaks):
+    from twinscan.llm import token_counts
+
+    rnd = random.Random(4)
+    text = "".join(chr(rnd.randrange(0x4E00, 0x9000)) + ("\n" if breaks and rnd.random() < 0.02 else "") for _ in range(60_000))
+    tokenizer = load(WORD)
+    expected = tokenizer.encode(text, add_special_tokens=False).ids
+    read = []
+    plain = token_counts._Chunk.__init__
+    monkeypatch.setattr(token_counts._Chunk, "__init__", lambda self, t, x, a, b: (read.append(b - a), plain(self, t, x, a, b))[1])
+    assert token_counts.encode_long(tokenizer, text, 4096, 256, 64).tolist() == expected
+    assert sum(read) <= (2 if breaks else 5) * len(text)
+
+
 def test_counts(spark):
     texts = awkward()
     tokenizer = load(WORD)

@@ -60,8 +60,11 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_documents: in
     # Starts of runs of dropped lines, then of the kept lines behind them; differences are the run lengths.
     starts = "filter(gone, (p, i) -> i = 0 or gone[i - 1] < p - 1)"
     ends = "transform(filter(gone, (p, i) -> i = size(gone) - 1 or gone[i + 1] > p + 1), p -> p + 1)"
-    edges = by_row.select("doc_id", "row_hash", F.expr(f"flatten(transform(arrays_zip({starts}, {ends}), x -> array(x['0'], x['1'])))").alias("edges"))
-    return edges.select("doc_id", "row_hash", F.expr("transform(edges, (e, i) -> e - IF(i = 0, 0, edges[i - 1]))").alias("runs"))
+    # Each stage is a column of its own: what a lambda takes from outside is read there, not computed.
+    paired = by_row.select("doc_id", "row_hash", F.expr(f"arrays_zip({starts}, {ends})").alias("pairs"))
+    edges = paired.select("doc_id", "row_hash", F.expr("flatten(transform(pairs, x -> array(x['0'], x['1'])))").alias("edges"))
+    runs = "zip_with(edges, slice(concat(array(0), edges), 1, size(edges)), (e, before) -> e - before)"
+    return edges.select("doc_id", "row_hash", F.expr(runs).alias("runs"))
 
 
 def keep_bitmaps(
@@ -81,19 +84,12 @@ def n_dropped(runs: Column) -> Column:
 
 
 def kept_text(text: Column, runs: Column) -> Column:
-    """The lines that a keep bitmap keeps, joined again."""
-    lines = lines_of(text)
-    edges = F.aggregate(runs, F.array().cast("array<int>"), lambda a, x: F.concat(a, F.array(x + F.when(F.size(a) == 0, 0).otherwise(F.element_at(a, -1)))))
-    last = F.when(F.size(edges) == 0, 0).otherwise(F.element_at(edges, -1))
-    kept_runs = F.transform(
-        F.filter(F.sequence(F.lit(0), F.size(edges)), lambda i: i % 2 == 0),
-        lambda i: F.slice(
-            lines,
-            F.when(i == 0, 1).otherwise(F.get(edges, i - 1) + 1),
-            F.when(i == F.size(edges), F.size(lines) - last).otherwise(F.get(edges, i) - F.when(i == 0, 0).otherwise(F.get(edges, i - 1))),
-        ),
-    )
-    return F.when(F.size(runs) == 0, text).otherwise(F.array_join(F.flatten(kept_runs), "\n"))
+    """The lines that a keep bitmap keeps, joined again. Each line meets its flag by place, so the work follows the
+    number of lines; nothing outside a lambda is used inside, which would be made anew for each element."""
+    flags = F.flatten(F.transform(runs, lambda n, i: F.array_repeat(i % 2 == 0, n)))
+    marked = F.zip_with(lines_of(text), flags, lambda line, keep: F.struct(line.alias("line"), F.coalesce(keep, F.lit(True)).alias("keep")))
+    kept = F.transform(F.filter(marked, lambda x: x["keep"]), lambda x: x["line"])
+    return F.when(F.size(runs) == 0, text).otherwise(F.array_join(kept, "\n"))
 
 
 def deduplicate_lines(

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,23 +51,50 @@ def _steps(token: Column) -> Column:
     return F.zip_with(F.slice(codes, 1, n), F.slice(codes, 2, n), lambda a, b: a * _LETTERS + b)
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once: what a lambda takes from outside would be made anew for each element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _sums_before(sizes: Column) -> Column:
+    """For each number of an array, the sum of those before it; in blocks of about the root of their number, as no
+    function keeps a running sum."""
+
+    def total(x: Column) -> Column:
+        return F.aggregate(x, F.lit(0), lambda a, v: a + v)
+
+    def in_blocks(x: Column, width: Column) -> Column:
+        count = F.ceil(F.size(x) / width).cast("int")
+        return F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.slice(x, k * width + 1, width))
+
+    def placed(blocks: Column, totals: Column) -> Column:
+        starts = F.transform(totals, lambda _, k: total(F.slice(totals, F.lit(1), k)))
+        return F.flatten(F.zip_with(blocks, starts, lambda b, s: F.transform(b, lambda _, i: s + total(F.slice(b, F.lit(1), i)))))
+
+    def summed(x: Column) -> Column:
+        width = F.greatest(F.lit(16), F.ceil(F.sqrt(F.size(x))).cast("int"))
+        blocks = _let(width, lambda w: in_blocks(x, w))
+        return _let(blocks, lambda b: _let(F.transform(b, total), lambda t: placed(b, t)))
+
+    return _let(sizes, lambda x: F.when(F.size(x) == 0, F.array().cast("array<int>")).otherwise(summed(x)))
+
+
 def _matches(text: Column, pattern: str, group: int = 0) -> Column:
     """(start, end, value) of all matches, in code points; value is a group of the match."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    value = found if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    lengths = F.zip_with(F.transform(F.slice(F.split(text, pattern, -1), 1, F.size(found)), F.length), F.transform(found, F.length), lambda g, m: F.struct(g.alias("gap"), m.alias("len")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-    placed = F.aggregate(
-        lengths,
-        start,
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + x["len"]).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["len"]).alias("end")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    listed = F.zip_with(placed, value, lambda p, v: F.struct(p["start"].alias("start"), p["end"].alias("end"), v.alias("value")))
-    return F.when(F.rlike(text, F.lit(pattern)), listed).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
+    values = found if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+
+    def sized(matches: Column) -> Column:
+        gaps = F.transform(F.slice(F.split(text, pattern, -1), 1, F.size(matches)), F.length)
+        return F.zip_with(gaps, matches, lambda g, m: F.struct(g.alias("gap"), F.length(m).alias("len")))
+
+    def listed(sizes: Column) -> Column:
+        before = _sums_before(F.transform(sizes, lambda x: x["gap"] + x["len"]))
+        spans = F.zip_with(sizes, before, lambda x, b: F.struct((b + x["gap"]).alias("start"), (b + x["gap"] + x["len"]).alias("end")))
+        return F.zip_with(spans, values, lambda p, v: F.struct(p["start"].alias("start"), p["end"].alias("end"), v.alias("value")))
+
+    placed = _let(found, lambda matches: _let(sized(matches), listed))
+    return F.when(F.rlike(text, F.lit(pattern)), placed).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
 
 
 def base_matches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -103,6 +131,21 @@ def _log_probabilities(steps: list[float]) -> list[float]:
     return out
 
 
+def _in_groups(spans: Column) -> Column:
+    """(start, end, spans) of 64 neighbouring spans each, so that most of them are passed over at once."""
+
+    def group(x: Column) -> Column:
+        ends = F.array_max(F.transform(x, lambda b: b["end"]))
+        return F.struct(F.element_at(x, 1)["start"].alias("start"), ends.alias("end"), x.alias("spans"))
+
+    def cut(x: Column) -> Column:
+        slices = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / 64).cast("int")), lambda k: F.slice(x, k * 64 + 1, 64))
+        return F.transform(slices, group)
+
+    none = F.array().cast("array<struct<start:int,end:int,spans:array<struct<start:int,end:int,value:string>>>>")
+    return _let(spans, lambda x: F.when(F.size(x) == 0, none).otherwise(cut(x)))
+
+
 def find_secrets(docs: DataFrame, ratios: list[float], doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, assign, access, hex, random) of each row of `docs`: arrays of (start, end, value) in code
     points, end exclusive, each in order and without overlap; `random` spans overlap none of the others.
@@ -112,13 +155,17 @@ def find_secrets(docs: DataFrame, ratios: list[float], doc_id: str = "doc_id", t
     """
     table = F.from_json(F.lit(json.dumps(ratios)), "array<double>")
     rows = base_matches(docs, doc_id, text).withColumn("tried", _matches(F.col("text"), CANDIDATE))
+    rows = rows.withColumn("known", _in_groups(F.sort_array(F.concat("assign", "access", "hex"))))
 
     def ratio(token: Column) -> Column:
         total = F.aggregate(_steps(token), F.lit(0.0), lambda a, s: a + F.get(table, s))
         return total / (F.length(token) - 1)
 
+    def meets(span: Column, m: Column) -> Column:
+        return (span["start"] < m["end"]) & (m["start"] < span["end"])
+
     def clear(m: Column) -> Column:
-        return ~F.exists(F.concat("assign", "access", "hex"), lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
+        return ~F.exists("known", lambda g: meets(g, m) & F.exists(g["spans"], lambda b: meets(b, m)))
 
     random = F.filter("tried", lambda m: clear(m) & (ratio(m["value"]) > threshold))
     return rows.select("doc_id", "assign", "access", "hex", random.alias("random"))

@@ -2,11 +2,11 @@
 
 Method: a text longer than `chunk` characters is cut at fixed places into chunks that overlap. Each is
 encoded with offsets. Two neighbours are spliced at a place where both start a pre-token and that lies
-further than `guard` from both cuts. Such a place is proven stable if its character is ASCII: ASCII never
-joins the text before it in normalisation, pre-tokens are matched left to right without looking back, so
-the left chunk is right up to that place, and the right chunk is right from it on. Where no such place
-exists (one run of letters fills the overlap), the overlap is widened, twice as much each time, until one
-does or the right chunk is used up.
+further than `guard` from both cuts. Such a place is proven stable if its character is ASCII or stands behind ASCII
+white space: neither joins the text before it in normalisation, pre-tokens are matched left to right without looking
+back, so the left chunk is right up to that place, and the right chunk is right from it on. Where the overlap holds no
+such place, it is widened to the left, twice as much each time; where the whole left chunk holds none, that chunk is
+made anew, twice as long. So what is encoded again is in proportion to the text, whatever its script.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ CHUNK = 32_768
 OVERLAP = 2_048
 #: Longer than any special string, so none is cut in two beyond it.
 GUARD = 64
+_SPACE = " \t\n\x0b\x0c\r"
 
 
 class _Chunk:
@@ -44,25 +45,21 @@ class _Chunk:
 def _common(text: str, left: _Chunk, right: _Chunk, guard: int) -> int | None:
     both = np.intersect1d(left.edges, right.edges)
     both = both[(both >= right.start + guard) & (both <= left.stop - guard)]
-    return next((int(p) for p in both[::-1] if text[p].isascii()), None)
+    return next((int(p) for p in both[::-1] if text[p].isascii() or p and text[p - 1] in _SPACE), None)
 
 
 def encode_long(tokenizer, text: str, chunk: int = CHUNK, overlap: int = OVERLAP, guard: int = GUARD) -> np.ndarray:
     """Ids of a text of any length, as encoding it in one piece would give them."""
     n = len(text)
-    step = max(1, chunk - overlap)
     left = _Chunk(tokenizer, text, 0, min(n, chunk))
     done: list[np.ndarray] = []
-    begin = step
     while left.stop < n:
-        right = _Chunk(tokenizer, text, begin, min(n, begin + chunk))
-        at, wider = _common(text, left, right, guard), overlap
-        while at is None and left.stop < right.stop:
-            wider *= 2
-            left = _Chunk(tokenizer, text, left.start, min(right.stop, left.stop + wider))
-            at = _common(text, left, right, guard)
-        begin += step
-        if at is None:
+        wide, at = overlap, None
+        while at is None and wide < left.stop - left.start:
+            right = _Chunk(tokenizer, text, left.stop - wide, min(n, left.stop + chunk))
+            at, wide = _common(text, left, right, guard), wide * 2
+        if at is None:  # its beginning is stable, nothing behind it
+            left = _Chunk(tokenizer, text, left.start, min(n, 2 * left.stop - left.start))
             continue
         done.append(left.ids[left.starts < at])
         keep = right.starts >= at
