@@ -48,13 +48,13 @@ def planted(seed):
     return texts
 
 
-@pytest.mark.parametrize(("depth", "leader", "seed"), [(50, 16, 1), (50, 50, 2), (23, 7, 3), (8, 8, 4), (3, 1, 5)])
-def test_equals_a_count_of_windows(spark, monkeypatch, depth, leader, seed):
+@pytest.mark.parametrize(("depth", "leader", "seed", "often"), [(50, 16, 1, 1024), (50, 50, 2, 1024), (23, 7, 3, 4), (8, 8, 4, 1024), (3, 1, 5, 30), (50, 16, 6, 2)])
+def test_equals_a_count_of_windows(spark, monkeypatch, depth, leader, seed, often):
     monkeypatch.setattr(byte_passages, "SLICE", 3000)
     monkeypatch.setattr(byte_passages, "BLOCK", 700)
     texts = [*planted(seed), *awkward()[:16], "ab" * 400, "b" + "ab" * 300, "é" * 300, "x" * 20 + "é" * 100]
     ids = [None, None, *range(len(texts) - 4), 5, 5]
-    made = remove_repeated_bytes(table(spark, texts, ids), depth=depth, leader=leader, leader_bucket=5000, strip_bucket=5000)
+    made = remove_repeated_bytes(table(spark, texts, ids), depth=depth, leader=leader, leader_bucket=5000, strip_bucket=5000, frequent_from=often)
     expected = [(i, *x) for i, x in zip(ids, brute(texts, depth))]
     assert Counter(result(made)) == Counter(expected)
     assert any(0 < x[2] < x[1] for x in expected)
@@ -71,6 +71,15 @@ def test_contract_depth_and_copies(spark):
     assert sorted(rows(digests, "doc_id", "kept")) == sorted((i, hashlib.sha256(x[3]).hexdigest()) for i, x in enumerate(brute(texts, 200)))
 
 
+def test_a_passage_in_many_texts(spark):
+    """The edges of the passage have one leader in all texts; their windows are dealt further."""
+    passage = prose(42, 60)
+    texts = [prose(2000 + i, 25) + passage + prose(4000 + i, 25) for i in range(300)]
+    expected = Counter((i, *x) for i, x in enumerate(brute(texts, 200)))
+    for often in (50, 1 << 30):
+        assert Counter(result(remove_repeated_bytes(table(spark, texts), frequent_from=often))) == expected
+
+
 def test_null_ids_with_one_text(spark):
     texts = [prose(9, 60)] * 30 + [prose(8, 60)]
     made = remove_repeated_bytes(table(spark, texts, [None] * 31))

@@ -6,6 +6,10 @@ inside the window, its leader. Equal windows have equal leaders at equal places,
 consecutive windows mostly share a leader, so that a bucket gets them as one strip of text. A leader that occurs once
 ends there: first only hashes of leaders meet, and only strips over repeated leaders travel.
 
+A leader may be frequent: the edges of a passage that many documents share have one leader, but other neighbours in each
+of them. Suffixes over frequent leaders are dealt further by a second digit, a hash of the whole window, which is all
+that travels of them; a bucket gets a few entries of each such window from a task, and the windows of one leader spread.
+
 In a bucket the suffixes are sorted by most-significant-digit passes of eight bytes. A pass reorders only groups whose
 digits differ and drops groups of one; after the last pass every group left is a repeated window.
 """
@@ -22,7 +26,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinscan.llm.common import text_slices
-from twinscan.llm.repeats import INT, LONG, Told, bucket_count, by_document, cuts, directory, distinguished, entries, entry_schema, flat, mixed, numbered, of_row, powers, ragged, repeated_places, settled, slice_directory
+from twinscan.llm.repeats import (
+    INT,
+    LONG,
+    Told,
+    bucket_count,
+    by_document,
+    counted_again,
+    cuts,
+    directory,
+    distinguished,
+    entries,
+    entry_schema,
+    flat,
+    identity,
+    mixed,
+    numbered,
+    of_row,
+    places_and_frequent,
+    powers,
+    ragged,
+    repeated_in_bucket,
+    settled,
+    slice_directory,
+)
 
 DEPTH = 200
 #: Bytes that lead a window; shorter ones repeat by chance, longer ones change more often.
@@ -35,7 +62,17 @@ LEADER_BUCKET, STRIP_BUCKET = 64 << 20, 2 << 20
 SLICE, BLOCK = 4 << 20, 1 << 20
 #: Strips that a task remembers; forgetting one only sends it again.
 REMEMBERED = 1 << 15
-_BASE = 0x9E3779B97F4A7C15
+#: Occurrences from which a leader is frequent, and the most leaders that are (of those that occur most).
+FREQUENT_FROM, MOST_FREQUENT = 1024, 1 << 20
+_BASE, _OTHER_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+
+
+def _window_hashes(part: np.ndarray, width: int, base: int) -> np.ndarray:
+    """Polynomial hashes of all windows of this many bytes."""
+    values = part.astype(np.uint64) + np.uint64(1)
+    with np.errstate(over="ignore"):
+        prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * powers(base, len(part))[:-1], dtype=np.uint64)])
+        return mixed((prefix[width:] - prefix[:-width]) * powers(pow(base, -1, 1 << 64), len(part))[: len(part) - width + 1])
 
 
 def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -72,10 +109,7 @@ class Strips:
     @staticmethod
     def _block(data: np.ndarray, start: int, stop: int, depth: int, leader: int) -> tuple[np.ndarray, ...]:
         """(first window, last window, leader's place, leader's hash) of the runs of the windows from `start`."""
-        part = data[start : stop + depth - 1].astype(np.uint64) + np.uint64(1)
-        with np.errstate(over="ignore"):
-            prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(part * powers(_BASE, len(part))[:-1], dtype=np.uint64)])
-            h = mixed((prefix[leader:] - prefix[:-leader]) * powers(pow(_BASE, -1, 1 << 64), len(part))[: len(part) - leader + 1])
+        h = _window_hashes(data[start : stop + depth - 1], leader, _BASE)
         # The least hash leads; of equal ones, the first. Places fit the lower bits.
         bits = np.uint64(int(len(h)).bit_length())
         ranked = (h >> bits << bits) | np.arange(len(h), dtype=np.uint64)
@@ -85,6 +119,28 @@ class Strips:
         return first + start, last + start, place[first] + start, h[place[first]]
 
 
+    def windows(self, chosen: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The windows of these strips: their places, and two hashes of each."""
+        counts = self.last[chosen] - self.first[chosen] + 1
+        at = np.repeat(self.first[chosen] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        data = np.frombuffer(self.text, np.uint8)
+        h = np.zeros((2, len(at)), np.uint64)
+        for start in range(0, len(data), BLOCK) if len(at) else ():
+            low, high = np.searchsorted(at, [start, start + BLOCK])
+            if low < high:
+                part = data[start : start + BLOCK + depth - 1]
+                for i, base in enumerate((_BASE, _OTHER_BASE)):
+                    h[i, low:high] = _window_hashes(part, depth, base)[at[low:high] - start]
+        return at, h[0], h[1]
+
+    def low(self) -> np.ndarray:
+        """Short hashes of the leaders; a false match only costs time."""
+        return (self.h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+
+    def bucket(self, buckets: int) -> np.ndarray:
+        return ((self.h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+
+
 def repeated_suffixes(text: bytes, starts: np.ndarray, depth: int = DEPTH) -> np.ndarray:
     """For each of these places of a text, whether its `depth` bytes also begin at another of them: a radix sort by
     most significant digits, through `depth` bytes and no further."""
@@ -123,7 +179,7 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2] - edges[::2]
 
 
-_STRIP = "bucket int, slice long, at array<int>, n array<int>, lead int, data binary, keys array<long>, ties array<long>, sizes array<int>"
+_STRIP = "bucket int, slice long, at array<int>, n array<int>, lead int, data binary, h array<long>, keys array<long>, ties array<long>, sizes array<int>"
 _STRIP_NAMES = [x.split()[0] for x in _STRIP.split(", ")]
 _FOUND = "slice long, at array<int>, n array<int>, keys array<long>, ties array<long>, sizes array<int>"
 _FOUND_NAMES = [x.split()[0] for x in _FOUND.split(", ")]
@@ -161,14 +217,28 @@ def _ship(number: int, documents: tuple[pa.Array, ...], strips: Strips, chosen:
         (pa.array(size, ints), pa.array([own[1].tolist()], ints)),
         (pa.array(lead, INT), pa.array([None], INT)),
         (pa.array(data, pa.binary()), pa.array([None], pa.binary())),
+        (pa.nulls(n, pa.list_(LONG)), pa.nulls(1, pa.list_(LONG))),
         *((pa.nulls(n, pa.list_(x.type)), pa.ListArray.from_arrays(pa.array([0, len(x)], INT), x)) for x in documents),
     ]
     return pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in columns], _STRIP_NAMES)
 
 
+def _ones(lists: pa.Array) -> pa.Array:
+    """Lists of ones, as long as these."""
+    return pa.ListArray.from_arrays(lists.offsets, pa.array(np.ones(len(lists.values), np.int32)))
+
+
+def _as_strips(rows: pa.RecordBatch) -> pa.RecordBatch:
+    """Hashes of windows in the form of strips; each place is one window."""
+    held = {x: rows.column(x) for x in rows.schema.names} | {"lead": pa.nulls(len(rows), INT), "data": pa.nulls(len(rows), pa.binary()), "n": _ones(rows.column("at"))}
+    return pa.RecordBatch.from_arrays([held[x] for x in _STRIP_NAMES], _STRIP_NAMES)
+
+
 def _sorted_bucket(group: pa.Table, depth: int, leader: int) -> pa.Table:
     """For each slice, the runs of windows of its strips that repeat anywhere; what slices know passes on."""
     own = group.filter(pc.is_valid(group.column("data")))
+    hashed = repeated_in_bucket(group.filter(pc.is_valid(group.column("h")))).combine_chunks()
+    by_hash = hashed.append_column("n", _ones(hashed.column("at").combine_chunks()) if len(hashed) else pa.nulls(0, pa.list_(INT)))
     leads, slices, places = own.column("lead").to_pylist(), own.column("slice").to_pylist(), own.column("at").to_pylist()
     number: dict[bytes, int] = {}
     times: list[int] = []
@@ -198,7 +268,9 @@ def _sorted_bucket(group: pa.Table, depth: int, leader: int) -> pa.Table:
     of, at, n = zip(*found) if found else ((), (), ())
     ints = pa.list_(INT)
     none = [pa.nulls(len(found), pa.list_(x)) for x in (LONG, LONG, INT)]
-    return pa.concat_tables([pa.table([pa.array(of, LONG), pa.array(at, ints), pa.array(n, ints), *none], _FOUND_NAMES), group.filter(pc.is_null(group.column("data"))).select(_FOUND_NAMES)])
+    own_knowledge = group.filter(pc.and_(pc.is_null(group.column("data")), pc.is_null(group.column("h"))))
+    by_sort = pa.table([pa.array(of, LONG), pa.array(at, ints), pa.array(n, ints), *none], _FOUND_NAMES)
+    return pa.concat_tables([x.select(_FOUND_NAMES) for x in (by_sort, by_hash, own_knowledge)])
 
 
 def _spans_of_slice(group: pa.Table) -> pa.Table:
@@ -221,6 +293,7 @@ def _spans(n: int, at: np.ndarray, counts: np.ndarray, depth: int) -> tuple[np.n
     return begin, begin + size
 
 
+_NO_DOCUMENTS = pa.array([], LONG), pa.array([], LONG), pa.array([], INT)
 _RESULT = "doc_id long, n_bytes long, n_removed long, spans array<struct<begin: long, end: long>>, kept "
 
 
@@ -232,6 +305,7 @@ def remove_repeated_bytes(
     text: str = "text",
     leader_bucket: int = LEADER_BUCKET,
     strip_bucket: int = STRIP_BUCKET,
+    frequent_from: int = FREQUENT_FROM,
     digest: bool = False,
 ) -> DataFrame:
     """(doc_id, n_bytes, n_removed, spans, kept) of each row of `docs`. `spans` are the maximal runs of bytes removed from
@@ -253,11 +327,11 @@ def remove_repeated_bytes(
         told = Told()
         for number, part in numbered(batches, SLICE):
             strips = Strips([x.encode() for x in part.column("text").to_pylist()], depth, leader)
-            low = (strips.h & np.uint64(0xFFFFFFFF)).astype(np.uint32)  # a false match only costs time
-            bucket = (strips.h >> np.uint64(32)) % np.uint64(leader_buckets)
-            yield entries(number, directory(part, strips.sizes), strips.at, low, bucket.astype(np.int64), leader_buckets, told)
+            yield entries(number, directory(part, strips.sizes), strips.at, strips.low(), strips.bucket(leader_buckets), leader_buckets, told)
+        yield counted_again(told, np.uint32)
 
-    places = repeated_places(rows.where(long).select("key", "tie", "text").mapInArrow(leaders, entry_schema("int")))
+    sent = rows.where(long).select("key", "tie", "text").mapInArrow(leaders, entry_schema("int"))
+    places, frequent = places_and_frequent(sent, frequent_from, MOST_FREQUENT)
 
     def result(part: pa.RecordBatch, texts: list[bytes], spans: list[tuple[np.ndarray, np.ndarray]]) -> list[pa.Array]:
         kept = [b"".join(x[a:b] for a, b in zip([0, *ends.tolist()], [*begins.tolist(), len(x)])) for x, (begins, ends) in zip(texts, spans)]
@@ -298,13 +372,20 @@ def remove_repeated_bytes(
 
     def ship(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: dict[bytes, int] = {}
+        told = Told()
         for number, part in numbered(batches, SLICE):
             strips = Strips([x.encode() for x in part.column("text").to_pylist()], depth, leader)
             lists = part.column("pos")
             counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
             begins = np.repeat(np.cumsum(strips.sizes) - strips.sizes, counts)
             chosen = np.flatnonzero(np.isin(strips.at, begins + lists.flatten().to_numpy()))
-            yield _ship(number, directory(part, strips.sizes), strips, chosen, depth, strip_buckets, sent)
+            leaders = identity(strips.low()[chosen], strips.bucket(leader_buckets)[chosen])
+            often = np.isin(leaders, frequent)
+            yield _ship(number, directory(part, strips.sizes), strips, chosen[~often], depth, strip_buckets, sent)
+            if often.any():
+                at, h, other = strips.windows(chosen[often], depth)
+                bucket = (other % np.uint64(strip_buckets)).astype(np.int64)
+                yield _as_strips(entries(number, _NO_DOCUMENTS, at, h, bucket, strip_buckets, told))
 
     def sort(group: pa.Table) -> pa.Table:
         return _sorted_bucket(group, depth, leader)
