@@ -292,9 +292,11 @@ def directory_structure(manifest: DataFrame, rules: Rules) -> DataFrame:
         "directory_structure", _strings("required_directories").alias("required"), _strings("forbidden_directories").alias("never"),
         _number("max_depth").alias("deepest"), allowed.alias("allowed"),
     )
-    dirs = directories(manifest)
+    mine, dirs = materialize(mine), materialize(directories(manifest))
     required = _patterns(mine, "required", 0)
-    names = entries(manifest).select("submission_id", _last(F.col("path")).alias("path")).distinct()
+    # Directories are few next to files; names of files are read from the manifest itself.
+    paths = manifest.select("submission_id", "path").unionByName(dirs.select("submission_id", F.col("directory").alias("path")))
+    names = paths.select("submission_id", _last(F.col("path")).alias("path")).distinct()
     by_name = _meet(required, names, _last(F.col("pattern")), lambda c: c).filter(glob_match(F.col("path"), _last(F.col("pattern"))))
     by_path = required.join(dirs, "submission_id").filter(dir_pattern_match(F.col("directory"), F.col("pattern")))
     hit = by_name.select(*KEY, "i").unionByName(by_path.select(*KEY, "i")).distinct()
@@ -322,7 +324,7 @@ def file_content(manifest: DataFrame, rules: Rules) -> DataFrame:
     contents; only files that a check names give theirs."""
     mine = rules.of("file_content")
     checks = rules.assigned.join(rules.checks, DEFINITION).drop(*DEFINITION)
-    named = _meet(checks, manifest.select("submission_id", "path", "is_dir"), F.col("pattern"), _first).filter(glob_match(F.col("path"), F.col("pattern")))
+    named = materialize(_meet(checks, manifest.select("submission_id", "path", "is_dir"), F.col("pattern"), _first).filter(glob_match(F.col("path"), F.col("pattern"))))
     content = decode_text(F.col("content")) if manifest.schema["content"].dataType.typeName() == "binary" else F.col("content")
     files = manifest.filter(~F.col("is_dir")).select("submission_id", "path", content.alias("content"))
     in_text = F.when(F.col("sensitive"), F.col("content").contains(F.col("text"))).otherwise(F.lower("content").contains(F.lower("text")))
@@ -362,7 +364,8 @@ def judge(manifest: DataFrame, rules: DataFrame) -> DataFrame:
     judged = [table.faulty.select(*KEY, "name", F.lit(False).alias("passed"), "code", F.array("parameter").alias("faults"))]
     for name, rule in TABLE_RULES.items():
         out = rule(manifest, table)
-        judged.append(out.select(*KEY, F.lit(name).alias("name"), F.col("code").isNull().alias("passed"), "code", "faults"))
+        # Each rule is a job of its own: one plan of all of them would be long to make and large on the driver.
+        judged.append(materialize(out.select(*KEY, F.lit(name).alias("name"), F.col("code").isNull().alias("passed"), "code", "faults")))
     return reduce(DataFrame.unionByName, judged)
 
 
