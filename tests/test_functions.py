@@ -117,6 +117,42 @@ def test_tokenize_families(values):
     assert got["h"][0]["text"] == "if x > 1.5:  # note" and got["h"][-1]["start"] == 1
 
 
+# Collections and signs of a value, in order, among calls, indices, blocks, parameters and types that are none.
+NESTED = {
+    "python": (
+        "x = [1, -2, (3, 4)]\nd = {'a': [1], 'b': {}}\nf(a[0], {1, 2})\nreturn (a, b)\ny = (a + b) * -c[1:2]\nz = foo(\n    [1],\n    -1,\n)\nif x in [1, 2]: pass\n",
+        ["list:[1,-2,(3,4)]", "unary_operator:-", "tuple:(3,4)", "dictionary:{'a':[1],'b':{}}", "list:[1]", "dictionary:{}", "set:{1,2}", "tuple:(a,b)", "unary_operator:-", "list:[1]", "unary_operator:-", "list:[1,2]"],
+    ),
+    "javascript": (
+        "const a = [1, 2].map((x, y) => { return x; });\nconst o = { k: [a[0]], m: {} };\nif (a) { b(); }\nfor (const q of [1]) { f({ z: -1 }); }\nimport { adj } from 'x';\nswitch (a) {\ncase 1: { break; }\n}\n",
+        ["list:[1,2]", "dictionary:{k:[a[0]],m:{}}", "list:[a[0]]", "dictionary:{}", "dictionary:{z:-1}", "unary_operator:-"],
+    ),
+    "java": ("int[] a = {1, 2};\nint[] b = new int[] {3};\nvoid f(int x, int y) {\n  a[0] = -1;\n  run((p, q) -> p + q);\n}\n", ["list:{1,2}", "list:{3}", "unary_operator:-"]),
+    "go": ("xs := []int{1, -2}\nm := map[string]int{\"a\": 1}\np := Point{1, 2}\nif x == y {\n  xs[0] = 2\n}\nfor i := range xs {\n}\n", ["list:{1,-2}", "unary_operator:-", "dictionary:{\"a\":1}", "list:{1,2}"]),
+    "ruby": ("a = [1, -2]\nh = { 'k' => 1 }\nputs a[0]\n[1].each { |x| x }\nreturn [a, h]\n", ["list:[1,-2]", "unary_operator:-", "dictionary:{'k'=>1}", "list:[a,h]"]),
+    "lua": ("local t = {1, 2}\nlocal d = {a = 1, [2] = {}}\nprint(t[1], -x)\n", ["list:{1,2}", "dictionary:{a=1,[2]={}}", "list:[2]", "dictionary:{}", "unary_operator:-"]),
+    "php": ("$a = [1, 'k' => [2]];\nif ($x) { f(-$a[0]); }\n", ["list:[1,'k'=>[2]]", "list:[2]", "unary_operator:-"]),
+    "c": ("int a[3] = {1, -2};\nint f(int x, int y) {\n  return -x + (y);\n}\n", ["list:{1,-2}", "unary_operator:-", "unary_operator:-"]),
+    "rust": ("let v = [1, 2];\nlet t = (1, -2);\nfn f(a: u8) -> [u8] {\n  v[0]\n}\n", ["list:[1,2]", "tuple:(1,-2)", "unary_operator:-"]),
+    "matlab": ("x = [1, -2];\ny = x(1);\nc = {1, 2};\n", ["list:[1,-2]", "unary_operator:-", "list:{1,2}"]),
+    "swift": ("let d = [\"a\": 1]\nlet t = (1, 2)\nfunc f(a: Int, b: Int) -> Int {\n  return -a\n}\n", ["list:[\"a\":1]", "tuple:(1,2)", "unary_operator:-"]),
+    "julia": ("a = [1 2]\nt = (1, 2)\nf(x) = a[end] - 1\n", ["list:[12]", "tuple:(1,2)"]),
+}
+
+
+def test_nesting_in_ten_languages(spark):
+    from twinscan.operators.tokenize import tokenize_files
+
+    rows = [(language, source) for language, (source, _) in NESTED.items()]
+    made = tokenize_files(spark.createDataFrame(rows, "language string, content string")).select("language", "tokens", tokens.structural_sequence(F.col("tokens")).alias("shape"))
+    kinds = ("list", "tuple", "dictionary", "set", "unary_operator")
+    for r in made.collect():
+        got = [f"{t.type}:{t.text}" for t in r.tokens if t.type in kinds]
+        assert got == NESTED[r.language][1], r.language
+        assert r["shape"].count("COLLECTION") == sum(not x.startswith("unary") for x in got)
+        assert [t.start for t in r.tokens] == sorted(t.start for t in r.tokens)
+
+
 def test_lcs_and_penalties(spark, values):
     import random
 

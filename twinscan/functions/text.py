@@ -22,6 +22,12 @@ def literal_map(d: dict[str, str]) -> Column:
     return F.expr("map(" + ", ".join(f"{_quoted(k)}, {_quoted(v)}" for k, v in d.items()) + ")")
 
 
+def let(value: Column, use) -> Column:
+    """`use` of a value that is computed once: an expression that a lambda takes from outside would be computed anew for
+    each element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def one_of(c: Column, values) -> Column:
     """Membership in a constant list, parsed from one SQL text like `literal_map`."""
     return F.array_contains(F.expr("array(" + ", ".join(_quoted(v) for v in values) + ")"), c)

@@ -2,6 +2,10 @@
 
 Each line is cut by one regular expression per language family. Words that open a statement take the
 statement's type and carry the logical line; calls, operators, literals and names keep their own text.
+
+Lines on which a bracket or a sign stands where a value begins are read more closely: their lexemes include brackets,
+and their shape (one letter for the kind of each lexeme) tells collections from blocks, indices and arguments, and
+signs of a value from operators between two. A collection stands before its elements and carries its own text.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinscan.functions.languages import detect_language
-from twinscan.functions.text import literal_map, one_of, strip
+from twinscan.functions.text import let, literal_map, one_of, strip
 
 # Statement type of a keyword, and the words that are operators.
 STATEMENT_WORDS = {
@@ -103,6 +107,35 @@ MARKUP_LANGUAGES = ["html", "xml", "vue", "svelte"]
 TEXT_LANGUAGES = ["text", "markdown"]
 
 
+#: Words behind which a value begins, and which are no calls with a bracket behind them.
+VALUE_WORDS = ["return", "in", "yield", "and", "or", "not", "is", "await", "throw", "raise"]
+#: A bracket or sign where a value may begin. Other lines have no collection and no sign of a value.
+_MAY_NEST = (
+    r"(?:^|[=(,\[:{?<>!&|+*/%-]|\b(?i:" + "|".join(VALUE_WORDS) + r")\b|\][ ]*[\p{L}_]*|[=(,][ ]*[\p{L}_][\p{L}\p{N}_.]*)[ ]*[\[{(+-]"
+)
+_NEST_LEXEMES = {
+    family: pattern.replace(WORD + r"[ ]*\(", r"(?!(?i:" + "|".join(VALUE_WORDS) + r")\b)" + WORD + r"[ ]*\(") + r"|[\[\](){},:;]"
+    for family, pattern in LEXEMES.items()
+    if family not in ("markup", "text")
+}
+# Shapes: brackets, commas, colons and semicolons as they are, c a call with its bracket, e an equals sign, a and t arrows,
+# r a word of VALUE_WORDS, k another word with a meaning, w a word, v a literal, o an operator, z a comment.
+_VALUE_BEFORE = r"[eo(c\[{,:r;]"
+
+
+def _balanced(levels: int = 4) -> tuple[str, str]:
+    """Patterns over shapes: what stands inside brackets, and a group in brackets, so many levels deep."""
+    inner = r"[^c(\[{)\]}]"
+    group = ""
+    for _ in range(levels):
+        group = rf"(?:[c(]{inner}*+\)|\[{inner}*+\]|\{{{inner}*+\}})"
+        inner = rf"(?:[^c(\[{{)\]}}]|{group})"
+    return inner, group
+
+
+_INSIDE, _GROUP = _balanced()
+
+
 def language_family(language: Column) -> Column:
     return (
         F.when(one_of(language, HASH_LANGUAGES), "hash")
@@ -177,15 +210,9 @@ def _code_token(e: Column, line: Column, row: Column, family: str) -> Column:
     )
 
 
-def _line_tokens(line: Column, row: Column, family: str) -> Column:
-    """Tokens of one stripped line. Each stage is evaluated once per lexeme."""
-    lexemes = F.regexp_extract_all(line, F.lit(LEXEMES[family]), F.lit(0))
-    if family == "markup":
-        return F.transform(lexemes, lambda x: _markup_token(x, row))
+def _read_words(lexemes: Column) -> Column:
+    """(lex, word, kw) of each lexeme: a call without its bracket, and the type of a word with a meaning."""
     table = _word_table()
-    if family == "text":
-        found = F.transform(lexemes, lambda x: F.named_struct(F.lit("lex"), x, F.lit("kw"), F.try_element_at(table, x)))
-        return F.transform(found, lambda e: _text_token(e["lex"], e["kw"], row))
     starts_word = r"^[\p{L}_].*\($"
     words = F.transform(
         lexemes,
@@ -193,13 +220,96 @@ def _line_tokens(line: Column, row: Column, family: str) -> Column:
             F.lit("lex"), x, F.lit("word"), F.when(x.rlike(starts_word), F.rtrim(F.rtrim(x, F.lit("(")))).otherwise(x)
         ),
     )
-    found = F.transform(
+    return F.transform(
         words,
         lambda e: F.named_struct(
             F.lit("lex"), e["lex"], F.lit("word"), e["word"], F.lit("kw"), F.try_element_at(table, e["word"])
         ),
     )
-    return F.transform(found, lambda e: _code_token(e, line, row, family))
+
+
+def _shape(e: Column, family: str) -> Column:
+    lexeme = e["lex"]
+    comment = reduce(or_, [lexeme.startswith(sign) for sign in COMMENT_STARTS[family]])
+    return (
+        F.when(one_of(lexeme, list("[](){},:;")), lexeme)
+        .when(lexeme == "=", "e")
+        .when(lexeme == "=>", "a")
+        .when(lexeme == "->", "t")
+        .when(comment, "z")
+        .when(lexeme != e["word"], "c")
+        .when(one_of(F.lower(lexeme), VALUE_WORDS), "r")
+        .when(e["kw"].isNotNull(), "k")
+        .when(lexeme.rlike(r"^[\p{L}_]"), "w")
+        .when(lexeme.rlike(r"^[0-9\"']"), "v")
+        .otherwise("o")
+    )
+
+
+def _collection(sign: Column, before: Column, two_before: Column, rest: Column, group: Column, family: str) -> Column:
+    """Type of the collection that a bracket opens, or null. `rest` is the shape from the bracket on, `group` that of
+    the whole bracket if the line closes it; before are the shapes of one and of two lexemes."""
+    value = before.rlike("^" + _VALUE_BEFORE)
+    closed, inside = group != "", F.substring(group, 2, 1_000_000)
+    behind = F.substring(rest, F.length(group) + 1, 1)
+    arrow = one_of(behind, ["a", "t", "{"])
+    listed = rf"^{_INSIDE}*?," 
+    keyed = ~closed | (F.length(group) == 2) | inside.rlike(rf"^(?:[^c(\[{{)\]}}:ae]|{_GROUP})*+[:ae]")
+    # Literals behind a type: `[]int{1}`, `Point{1, 2}`, `new int[] {1}`. A block's brace ends its line.
+    typed = F.lit(family == "slash") & two_before.rlike(r"^(?:\]w|[e(,cr:]w|.\])$") & (F.length(rest) > 1)
+    braced = F.when(keyed, "dictionary").otherwise("set" if family == "hash" else "list")
+    return (
+        F.when((sign == "[") & (value | (before == "a")) & (behind != "w") & F.lit(family != "semicolon"), "list")
+        .when((sign == "(") & value & closed & ~arrow & inside.rlike(listed), "tuple")
+        .when((sign == "{") & (before.rlike(r"^[eo(c\[{,:r]") | typed), braced)
+    )
+
+
+def _nested_tokens(line: Column, goes_on: Column, row: Column, family: str) -> Column:
+    """Tokens of a line with its collections and signs; `goes_on` is the shape of what the line before ends in."""
+    case = line.rlike(r"^(?:case|default)\b")
+
+    def at(found: Column, shape: Column, e: Column, i: Column) -> Column:
+        lexeme = e["lex"]
+        before = F.when(i == 0, goes_on).otherwise(F.substr(shape, i, F.lit(1)))
+        two_before = F.when(i < 2, F.lit("")).otherwise(F.substr(shape, i - 1, F.lit(2)))
+        rest = F.substr(shape, i + 1, F.lit(1_000_000))
+
+        def token(kind: Column, text: Column) -> Column:
+            return F.struct(kind.alias("type"), text.alias("text"), row.alias("start"), row.alias("end"))
+
+        def opened(group: Column) -> Column:
+            kind = _collection(lexeme, before, two_before, rest, group, family)
+            size = F.when(group == "", F.size(found)).otherwise(F.length(group))
+            text = F.array_join(F.transform(F.slice(found, i + 1, size), lambda x: x["lex"]), "")
+            return F.when(kind.isNotNull() & ~((lexeme == "{") & case), token(kind, text))
+
+        signed = one_of(lexeme, ["-", "+"]) & ((before == "") | before.rlike("^" + _VALUE_BEFORE))
+        return (
+            F.when(one_of(lexeme, ["[", "(", "{"]), let(F.regexp_extract(rest, "^" + _GROUP, 0), opened))
+            .when(one_of(lexeme, list("]),}:;")), F.lit(None))
+            .when(signed, token(F.lit("unary_operator"), lexeme))
+            .otherwise(_code_token(e, line, row, family))
+        )
+
+    def read(found: Column) -> Column:
+        shape = F.array_join(F.transform(found, lambda e: _shape(e, family)), "")
+        return let(shape, lambda s: F.filter(F.transform(found, lambda e, i: at(found, s, e, i)), lambda t: t.isNotNull()))
+
+    return let(_read_words(F.regexp_extract_all(line, F.lit(_NEST_LEXEMES[family]), F.lit(0))), read)
+
+
+def _line_tokens(line: Column, goes_on: Column, row: Column, family: str) -> Column:
+    """Tokens of one stripped line. Each stage is evaluated once per lexeme."""
+    lexemes = F.regexp_extract_all(line, F.lit(LEXEMES[family]), F.lit(0))
+    if family == "markup":
+        return F.transform(lexemes, lambda x: _markup_token(x, row))
+    if family == "text":
+        table = _word_table()
+        found = F.transform(lexemes, lambda x: F.named_struct(F.lit("lex"), x, F.lit("kw"), F.try_element_at(table, x)))
+        return F.transform(found, lambda e: _text_token(e["lex"], e["kw"], row))
+    plain = F.transform(_read_words(lexemes), lambda e: _code_token(e, line, row, family))
+    return F.when(line.rlike(_MAY_NEST), _nested_tokens(line, goes_on, row, family)).otherwise(plain)
 
 
 def flat_source(text: Column, family: str) -> Column:
@@ -225,7 +335,13 @@ def tokenize(text: Column, family: str) -> Column:
     """Token array of a text in one language family."""
     source = flat_source(text, family) if family in _SPANNING else text
     lines = F.transform(F.split(source, "\n"), strip)
-    return F.flatten(F.transform(lines, lambda line, row: _line_tokens(line, row, family)))
+    if family in ("markup", "text"):
+        return F.flatten(F.transform(lines, lambda line, row: _line_tokens(line, F.lit(""), row, family)))
+    # A line goes on from the one before if that ends in a sign that wants a value.
+    ends = F.transform(lines, lambda line: F.regexp_extract(line, r"([=(,\[])$", 1))
+    paired = F.zip_with(lines, F.concat(F.array(F.lit("")), ends), lambda line, before: F.struct(line.alias("line"), F.when(before == "=", "e").otherwise(before).alias("before")))
+    known = F.filter(paired, lambda x: x["line"].isNotNull())
+    return F.flatten(F.transform(known, lambda x, row: _line_tokens(x["line"], x["before"], row, family)))
 
 
 def tokenize_by_language(text: Column, language: Column) -> Column:
