@@ -649,6 +649,11 @@ ORACLES["lookup_step"] = with_(
     SUBS, body="SELECT id, group_id, status, upload_time FROM s WHERE project = 'p1996' AND step = '1-URGENT'"
 )
 ORACLES["lookup_group"] = with_(SUBS, body="SELECT id, step, status, upload_time FROM s WHERE project = 'p1996' AND group_id = '257'")
+ORACLES["lookup_first_of_step"] = with_(
+    SUBS,
+    body="""SELECT project, group_id, step, id, upload_time, status FROM s
+        QUALIFY row_number() OVER (PARTITION BY project, group_id, step ORDER BY upload_time, id) = 1""",
+)
 ORACLES["lookup_id"] = with_(SUBS, body="SELECT id, project, step, group_id FROM s WHERE id = '7'")
 ORACLES["lookup_pair"] = with_(COMPS, body="SELECT id, overall_similarity, status FROM c WHERE submission_id = '7' AND compared_submission_id = '491'")
 ORACLES["lookup_comparisons_of_step"] = with_(

@@ -660,6 +660,12 @@ def lookup_group(spark, d):
     return found.select("id", "step", "status", "upload_time")
 
 
+@query
+def lookup_first_of_step(spark, d):
+    """The first submission of every project, group and step."""
+    return submissions.first_of_step(view(spark, d, "submissions")).select("project", "group_id", "step", "id", "upload_time", "status")
+
+
 @query
 def lookup_id(spark, d):
     return submissions.lookup(view(spark, d, "submissions"), newest_first=False, id="7").select("id", "project", "step", "group_id")
