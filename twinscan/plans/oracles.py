@@ -790,3 +790,27 @@ ORACLES["rule_table_report"] = with_(
         count(*) FILTER (faults <> '') = 0 AS passed,
         count(*) FILTER (faults <> '') = 0 OR (starts_with(submission_id, 'blog') AND count(*) FILTER (code = 'unknownRule') = 0) AS accepted FROM rt GROUP BY 1""",
 )
+_CLASS_OF = [*TOKENISED, features("project, language, submission_id, group_id, file_id", name="fc")]
+_CLASS_WINDOW = "WINDOW w AS (PARTITION BY project, language, parts, types, ops)"
+ORACLES["source_class_members"] = with_(
+    *_CLASS_OF,
+    body=f"SELECT project, language, file_id, group_id, submission_id, min(file_id) OVER w AS class_id, count(*) OVER w AS copies FROM fc {_CLASS_WINDOW}",
+)
+ORACLES["submission_class_members"] = with_(
+    *TOKENISED,
+    features("project, submission_id, file_id"),
+    f"""ss AS (SELECT project, submission_id, list_sort(list_distinct(list_filter(flatten(list(parts)), lambda x: trim(x) <> ''))) AS ps FROM ft GROUP BY 1, 2),
+    xs AS (SELECT submission_id, {_SUBSEQ} FROM sig GROUP BY 1),
+    ts AS (SELECT submission_id, count(*) AS n_tokens, count(DISTINCT file_id) AS files_count FROM tok GROUP BY 1)""",
+    body="""SELECT project, submission_id, min(submission_id) OVER w AS class_id, count(*) OVER w AS copies FROM ss JOIN xs USING (submission_id) JOIN ts USING (submission_id)
+        WINDOW w AS (PARTITION BY project, ps, types, structural, flow, ops, n_tokens, files_count)""",
+)
+ORACLES["class_block_summary"] = with_(
+    *SUMMED,
+    features("project, language, submission_id, group_id, file_id", name="fx"),
+    f"""mc AS (SELECT *, min(file_id) OVER w AS class_id FROM fx {_CLASS_WINDOW}),
+    nc AS (SELECT class_id, count(DISTINCT file_id) AS files, count(DISTINCT submission_id) AS submissions, count(DISTINCT group_id) AS groups FROM mc GROUP BY 1)""",
+    body="""SELECT sm.*, left_class, right_class, a.files AS left_files, a.submissions AS left_submissions, a.groups AS left_groups,
+        b.files AS right_files, b.submissions AS right_submissions, b.groups AS right_groups
+        FROM sm JOIN sp USING (left_id, right_id) JOIN nc a ON a.class_id = left_class JOIN nc b ON b.class_id = right_class""",
+)
