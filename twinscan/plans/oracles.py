@@ -814,3 +814,17 @@ ORACLES["class_block_summary"] = with_(
         b.files AS right_files, b.submissions AS right_submissions, b.groups AS right_groups
         FROM sm JOIN sp USING (left_id, right_id) JOIN nc a ON a.class_id = left_class JOIN nc b ON b.class_id = right_class""",
 )
+_JACCARD = "len(list_intersect(a.ps, b.ps)) / CAST(len(a.ps) + len(b.ps) - len(list_intersect(a.ps, b.ps)) AS DOUBLE)"
+ORACLES["similar_submissions"] = with_(
+    *TOKENISED,
+    features("project, submission_id, file_id"),
+    f"""ss AS (SELECT project, submission_id, list_sort(list_distinct(list_filter(flatten(list(parts)), lambda x: trim(x) <> ''))) AS ps FROM ft GROUP BY 1, 2),
+    xs AS (SELECT submission_id, {_SUBSEQ} FROM sig GROUP BY 1),
+    ts AS (SELECT submission_id, count(*) AS n_tokens, count(DISTINCT file_id) AS files_count FROM tok GROUP BY 1),
+    cl AS (SELECT project, ps, min(submission_id) AS id, max(submission_id) AS hi, count(*) AS copies FROM ss JOIN xs USING (submission_id) JOIN ts USING (submission_id)
+        WHERE len(ps) > 0 GROUP BY project, ps, types, structural, flow, ops, n_tokens, files_count)""",
+    body=f"""SELECT a.project, a.id AS submission_id, b.id AS compared_submission_id, a.copies AS left_copies, b.copies AS right_copies, a.id AS left_class, b.id AS right_class,
+        len(list_intersect(a.ps, b.ps)) AS common, len(a.ps) AS n1, len(b.ps) AS n2, {_JACCARD} AS jaccard_similarity
+        FROM cl a JOIN cl b ON a.project = b.project AND a.id < b.id WHERE {_JACCARD} >= 0.8
+        UNION ALL SELECT project, id, hi, copies, copies, id, id, len(ps), len(ps), len(ps), 1.0 FROM cl WHERE copies > 1""",
+)
