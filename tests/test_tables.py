@@ -98,6 +98,24 @@ def test_rule_parameters():
     assert rules.unknown_rules([{"name": "nope"}, {}]) == ["nope", "(unnamed rule)"]
 
 
+def test_a_job_leaves_no_intermediate_tables(spark):
+    before = tables.scratch_folder(spark)
+    with tables.job(spark) as folder:
+        stored = tables.materialize(spark.range(10))
+        assert stored.count() == 10 and os.listdir(folder) and folder.startswith(before)
+        with tables.job(spark) as inner:
+            tables.materialize(spark.range(1))
+            assert inner.startswith(folder) and os.path.isdir(inner)
+        assert not os.path.isdir(inner) and stored.count() == 10
+    assert not os.path.isdir(folder) and tables.scratch_folder(spark) == before
+    try:
+        with tables.job(spark) as folder:
+            tables.materialize(spark.range(1))
+            raise KeyError
+    except KeyError:
+        assert not os.path.isdir(folder)
+
+
 def test_submission_tables(spark, tmp_path):
     made = tables.new_submissions(spark.createDataFrame([("https://github.com/u/r", "p", "g", "s")], "link string, project string, group_id string, step string"))
     r = made.first()

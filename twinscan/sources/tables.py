@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,10 +14,13 @@ from twinscan.functions.links import link_type
 from twinscan.session import checkpoint_folder
 
 _LOCAL_FOLDER: list[str] = []
+_JOB_FOLDER: list[str] = []
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only for a local master."""
+    """The cluster's shared checkpoint folder, a temporary one only for a local master; in a `job`, its folder there."""
+    if _JOB_FOLDER:
+        return _JOB_FOLDER[-1]
     folder = checkpoint_folder(spark)
     if folder:
         return folder
@@ -31,6 +36,20 @@ def _file_system(spark: SparkSession, path: str):
     return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
 
+@contextmanager
+def job(spark: SparkSession) -> Iterator[str]:
+    """Keep all intermediate tables of a job in one folder and remove it at the end, also after a failure. Results are
+    computed when they are written or collected, so that belongs inside."""
+    folder = f"{scratch_folder(spark)}/twinscan-job-{uuid.uuid4().hex}"
+    _JOB_FOLDER.append(folder)
+    try:
+        yield folder
+    finally:
+        _JOB_FOLDER.remove(folder)
+        files, target = _file_system(spark, folder)
+        files.delete(target, True)
+
+
 def is_written(spark: SparkSession, path: str) -> bool:
     """Whether a table was written to this folder as a whole and committed."""
     files, target = _file_system(spark, f"{path}/_SUCCESS")
