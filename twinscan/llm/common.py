@@ -10,7 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinscan.sources.tables import materialize, scratch_folder
+from twinscan.sources.tables import scratch_folder
+from twinscan.sources.tables import write_once as materialize
 
 __all__ = ["chosen", "delete", "materialize", "read_documents", "scratch_folder", "text_slices"]
 

@@ -35,7 +35,7 @@ def submission_sets(features: DataFrame) -> DataFrame:
     usable = F.filter(F.array_distinct(F.flatten(F.collect_list("parts"))), lambda p: F.length(F.trim(p)) > 0)
     sets = features.groupBy("project", "submission_id").agg(F.array_sort(usable).alias("parts"))
     sizes = F.array(F.col("n_tokens").cast("string"), F.col("files_count").cast("string"))
-    return sets.join(submission_sequences(features), "submission_id").select(
+    return sets.hint("merge").join(submission_sequences(features), "submission_id").select(
         "project",
         F.col("submission_id").alias("id"),
         F.lit("").alias("group_id"),
@@ -91,11 +91,13 @@ def compare_submissions(pairs: DataFrame, features: DataFrame) -> DataFrame:
     Jaccard is the exact one: part sets of whole submissions stay rows.
     """
     ids = ["submission_id", "compared_submission_id"]
-    whole = submission_sequences(features).join(submission_types(features), "submission_id", "left")
+    whole = submission_sequences(features).hint("merge").join(submission_types(features), "submission_id", "left")
     names = [c for c in whole.columns if c != "submission_id"]
     first = whole.select("submission_id", F.struct(*names).alias("s1"))
     second = whole.select(F.col("submission_id").alias("compared_submission_id"), F.struct(*names).alias("s2"))
-    joined = part_overlap(pairs.select(*ids), submission_parts(features)).join(first, "submission_id").join(second, "compared_submission_id")
+    # Rows are whole submissions: never broadcast, however small the files are that they come from.
+    overlap = part_overlap(pairs.select(*ids), submission_parts(features))
+    joined = overlap.join(first.hint("merge"), "submission_id").join(second.hint("merge"), "compared_submission_id")
     s1, s2 = F.col("s1"), F.col("s2")
     none = F.array().cast("array<string>")
 
