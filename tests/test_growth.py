@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from twinscan.operators import sequences
+from twinscan.operators import blocks, functions, sequences
 from twinscan.plans.bindings import view
 from twinscan.sources.tables import materialize
 
@@ -23,3 +23,16 @@ def test_shared_tables_and_texts_are_never_broadcast(spark, tmp_path):
         plan = joined._jdf.queryExecution().sparkPlan().toString()
         assert plan.count("SortMergeJoin") >= merges, plan
         assert merges > 1 or "BroadcastHashJoin" not in plan
+
+
+def test_functions_of_a_file_pair_meet_without_a_shuffle_of_their_elements(spark, monkeypatch):
+    """What is joined by file pair is one row a pair, not one per leading element; the blocks stay."""
+    body = "    total = 0\n    for row in rows:\n        if row > limit:\n            total = total + row\n    return total\n"
+    code = "".join(f"def f{i}(rows, limit):\n{body}{'    limit = rows' + chr(10) if i % 2 else ''}" for i in range(3))
+    files = spark.createDataFrame([(1, "python", code), (2, "python", code)], "file_id long, language string, content string")
+    found = functions.all_functions(files)
+    written = []
+    monkeypatch.setattr(blocks, "materialize", lambda df: (written.append(df), df)[1])
+    out = blocks.shared_blocks(spark.createDataFrame([(1, 2)], "left_id long, right_id long"), found)
+    assert sum(r.function_pairs for r in out.collect()) == 9
+    assert [x for x in written if "held" in x.columns and x.count() == 2]
