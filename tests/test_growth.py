@@ -1,8 +1,10 @@
 """What keeps joins and shuffles in proportion to the tables."""
 
+import random
+
 from pyspark.sql import functions as F
 
-from twinscan.operators import blocks, functions, sequences
+from twinscan.operators import blocks, functions, pairs, sequences
 from twinscan.plans.bindings import view
 from twinscan.sources.tables import materialize
 
@@ -36,3 +38,24 @@ def test_functions_of_a_file_pair_meet_without_a_shuffle_of_their_elements(spark
     out = blocks.shared_blocks(spark.createDataFrame([(1, 2)], "left_id long, right_id long"), found)
     assert sum(r.function_pairs for r in out.collect()) == 9
     assert [x for x in written if "held" in x.columns and x.count() == 2]
+
+
+def test_whole_sets_travel_only_with_similar_pairs(spark):
+    """The sketches lose no pair and leave few of the others, whatever the sizes of the sets."""
+    rnd, threshold = random.Random(1), 0.7
+    base = [[f"w{rnd.randrange(5000)}" for _ in range(rnd.choice([1, 20, 70, 90, 200, 2000]))] for _ in range(60)]
+    sets = [sorted({w if rnd.random() > 0.12 else f"w{rnd.randrange(5000)}" for w in rnd.choice(base)}) for _ in range(200)]
+    rows = spark.createDataFrame([(i % 2, i, i, s) for i, s in enumerate(sets)], "project int, id long, group_id int, parts array<string>")
+    first = {}
+    for i, s in enumerate(sets):
+        first.setdefault((i % 2, tuple(s)), i)
+    alike = {
+        (i, j) for (p, s), i in first.items() for (q, t), j in first.items()
+        if p == q and i < j and len({*s} & {*t}) >= threshold * len({*s} | {*t})
+    }
+    found = pairs.threshold_pairs(rows, ["project"], threshold, across_groups=False)
+    assert {(r.left_id, r.right_id) for r in found.filter("similarity < 1").collect()} == alike
+    classes = materialize(pairs.copy_classes(rows, ["project"]))
+    met = pairs.candidate_classes(classes, ["project"], threshold)
+    left = pairs.sieve(met, classes, ["project"], threshold, "jaccard").count()
+    assert len(alike) <= left < met.count() / 2
