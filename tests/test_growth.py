@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from twinscan.operators import blocks, functions, pairs, sequences
+from twinscan.operators import blocks, functions, pairs, reports, sequences, submissions
 from twinscan.plans.bindings import view
 from twinscan.sources.tables import materialize
 
@@ -59,3 +59,17 @@ def test_whole_sets_travel_only_with_similar_pairs(spark):
     met = pairs.candidate_classes(classes, ["project"], threshold)
     left = pairs.sieve(met, classes, ["project"], threshold, "jaccard").count()
     assert len(alike) <= left < met.count() / 2
+
+
+def test_comparisons_are_joined_with_submissions_without_sorting(spark):
+    subs = spark.createDataFrame([("1", "x"), ("2", "y")], "id string, link string")
+    comps = spark.createDataFrame([("a", "1", "2", "done", 0)], "id string, submission_id string, compared_submission_id string, status string, created_at int")
+    plans = [
+        submissions.delete_submissions(subs, comps, subs.filter("id = '2'"))[1],
+        reports.submission_similarities(comps, subs),
+        pairs.enrich_with_submissions(comps, subs, ["link"]),
+    ]
+    for df, joins in zip(plans, (2, 1, 2)):
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        assert plan.count("ShuffledHashJoin") == joins and "SortMergeJoin" not in plan
+    assert plans[0].count() == 0

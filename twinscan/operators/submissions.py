@@ -123,8 +123,9 @@ def update_status(comparisons: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def delete_submissions(subs: DataFrame, comparisons: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Drop submissions and every comparison that touches them on either side."""
-    gone = ids.select("id")
+    """Drop submissions and every comparison that touches them on either side. The ids are hashed, a partition at a time,
+    so the comparisons are shuffled but not sorted."""
+    gone = ids.select("id").hint("shuffle_hash")
     left = comparisons.join(gone.withColumnRenamed("id", "submission_id"), "submission_id", "left_anti")
     left = left.join(gone.withColumnRenamed("id", "compared_submission_id"), "compared_submission_id", "left_anti")
     return subs.join(gone, "id", "left_anti"), left
