@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from twinscan.operators import blocks, functions, pairs, reports, sequences, submissions
+from twinscan.operators.tokenize import token_rows, tokenize_files
 from twinscan.plans.bindings import view
 from twinscan.sources.tables import materialize
 
@@ -73,3 +74,14 @@ def test_comparisons_are_joined_with_submissions_without_sorting(spark):
         plan = df._jdf.queryExecution().sparkPlan().toString()
         assert plan.count("ShuffledHashJoin") == joins and "SortMergeJoin" not in plan
     assert plans[0].count() == 0
+
+
+def test_texts_are_cut_once_for_their_token_rows(spark):
+    """No filter on the tokens is pushed below the columns they are made of; files without tokens have no rows."""
+    files = spark.createDataFrame([(1, "a.py", "x = 1\ny"), (2, "b.js", ""), (3, "c.py", None)], "file_id long, path string, content string")
+    rows = token_rows(tokenize_files(files), "file_id")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and ("size(" in line or "split(" in line)], plan
+    assert sorted((r.file_id, r.pos, r.type, r.text) for r in rows.collect()) == [
+        (1, 0, "identifier", "x"), (1, 1, "assignment", "x = 1"), (1, 2, "integer", "1"), (1, 3, "identifier", "y"),
+    ]
