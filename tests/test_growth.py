@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from twinscan.operators import blocks, functions, pairs, reports, sequences, submissions
 from twinscan.operators.tokenize import token_rows, tokenize_files
 from twinscan.plans.bindings import view
-from twinscan.sources.tables import materialize
+from twinscan.sources.tables import materialize, spread
 
 
 def test_shared_tables_and_texts_are_never_broadcast(spark, tmp_path):
@@ -85,3 +85,26 @@ def test_texts_are_cut_once_for_their_token_rows(spark):
     assert sorted((r.file_id, r.pos, r.type, r.text) for r in rows.collect()) == [
         (1, 0, "identifier", "x"), (1, 1, "assignment", "x = 1"), (1, 2, "integer", "1"), (1, 3, "identifier", "y"),
     ]
+
+
+def test_members_of_classes_are_keyed_once(spark):
+    """What both sides of the join read is stored; rows without a scope have classes, too."""
+    rows = spark.createDataFrame([("a", 1, 1, ["x"]), ("a", 2, 1, ["x"]), (None, 3, 1, ["x"]), (None, 4, 2, ["x"])], "scope string, id long, group_id int, parts array<string>")
+    members = pairs.copy_class_members(rows, ["scope"])
+    assert "sha2(" not in members._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(r) for r in members.collect()} == {("a", 1, 1, 1, 2), ("a", 2, 1, 1, 2), (None, 3, 1, 3, 2), (None, 4, 2, 3, 2)}
+
+
+def test_one_row_group_is_dealt_to_all_cores(spark, tmp_path):
+    """A file of one row group is cut into many slices by its bytes, of which one holds all rows."""
+    spark.range(200_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("text")).coalesce(1).write.option("parquet.block.size", 1 << 30).parquet(str(tmp_path / "t"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 1 << 19)
+    try:
+        files = spark.read.parquet(str(tmp_path / "t"))
+        assert files.rdd.getNumPartitions() >= 8
+        held = [r["count"] for r in spread(files).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sum(held) == 200_000 and max(held) <= 200_000 / 4
+    even = spark.range(800, numPartitions=8)
+    assert spread(even) is even
