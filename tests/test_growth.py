@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from twinscan.operators import blocks, functions, pairs, reports, sequences, submissions
-from twinscan.operators.tokenize import token_rows, tokenize_files
+from twinscan.operators.tokenize import token_rows, tokenize, tokenize_files, type_counts
 from twinscan.plans.bindings import view
 from twinscan.sources.tables import materialize, spread
 
@@ -108,3 +108,15 @@ def test_one_row_group_is_dealt_to_all_cores(spark, tmp_path):
     assert sum(held) == 200_000 and max(held) <= 200_000 / 4
     even = spark.range(800, numPartitions=8)
     assert spread(even) is even
+
+
+def test_tokens_are_summed_up_in_their_row(spark):
+    """What is grouped is a row per file and type; texts of files with the same key, or none, are counted once."""
+    texts = [(1, "a b a\n1"), (2, "a"), (2, "b a\n\nc"), (None, "x"), (None, "x"), (3, None), (4, "")]
+    files = spark.createDataFrame(texts, "file_id long, content string").select("file_id", tokenize(F.col("content"), "text").alias("tokens"))
+    counts = type_counts(files, "file_id")
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan
+    assert {tuple(r) for r in counts.select("file_id", "type", "n", "texts", "last_line").collect()} == {
+        (1, "word", 3, 2, 0), (1, "integer", 1, 1, 1), (2, "word", 4, 3, 2), (None, "word", 2, 1, 0),
+    }
