@@ -249,3 +249,18 @@ def test_places_of_many_matches(spark):
         spans = [s for x in base.values() for s in x]
         tried = [(m.start(), m.end()) for m in re.finditer(secrets.CANDIDATE, text)]
         assert [(x.start, x.end) for x in r["random"]] == [t for t in tried if not any(a < t[1] and t[0] < b for a, b in spans)]
+
+
+def test_language_tasks_keep_no_encoder_of_an_earlier_stage(spark, monkeypatch):
+    """A worker that ran other stages before does not hold their encoders beside its own vectors."""
+    from twinscan.llm import encoding, language
+
+    docs = spark.createDataFrame([(1, "a word", "en")], "doc_id long, text string, lang string")
+    tasks = []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: (tasks.append(run), self.limit(0).selectExpr("'en' AS lang", "0 AS dim", "0D AS value"))[1])
+    language.train(docs)
+    language.predict(docs, {})
+    for run in tasks:
+        monkeypatch.setattr(encoding, "_ENCODERS", {("vocabulary", encoding.PartEncoder): None})
+        assert list(run(iter([]))) == [] and not encoding._ENCODERS
+    assert len(tasks) == 2

@@ -244,3 +244,10 @@ def encoder(path: str, kind: type[PartEncoder]) -> PartEncoder:
     if (path, kind) not in _ENCODERS:
         _ENCODERS[path, kind] = kind(path)
     return _ENCODERS[path, kind]
+
+
+def forget() -> None:
+    """Drop the worker's encoders with all they remember, and hand back what Arrow holds unused. For steps that encode
+    nothing: workers outlive a stage, and what each of its stages remembers would add up."""
+    _ENCODERS.clear()
+    pa.default_memory_pool().release_unused()

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinscan.llm.common import text_slices
+from twinscan.llm.encoding import forget
 
 DIMENSIONS = 1_024
 NGRAM = 3
@@ -98,6 +99,7 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     space = space or Space()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         sums: dict[str, np.ndarray] = {}
         for rows in text_slices(batches):
             symbols: dict[str, list[np.ndarray]] = {}
@@ -134,6 +136,7 @@ def predict(
     columns = [doc_id, *keep]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for rows in text_slices(batches, "text_"):
             best: list[str] = []
             scores: list[float] = []
