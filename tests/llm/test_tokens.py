@@ -11,7 +11,7 @@ from llm.helpers import awkward, prose, rows, table
 P = pytest.importorskip("public_tokenizers")
 
 from twinscan.llm.encoding import ByteEncoder, WordEncoder, load  # noqa: E402
-from twinscan.llm.packing import assemble, best_fit, pack, token_pieces  # noqa: E402
+from twinscan.llm.packing import _gathered, assemble, best_fit, pack, pack_documents, token_pieces  # noqa: E402
 from twinscan.llm.token_counts import count_tokens, encode_long  # noqa: E402
 from twinscan.llm.token_files import EliasFano, read_token_files, write_token_files  # noqa: E402
 
@@ -115,6 +115,30 @@ def test_packing_of_lengths_clustered_by_partition(spark):
         assert found["sequence_id"].nunique() <= 6000 * 1.02
 
 
+def test_documents_are_cut_and_packed_in_one_python_pass(spark, monkeypatch):
+    """A second pass would take a second worker for each core, and all of them would come to hold an encoder."""
+    docs = table(spark, awkward() * 4).repartition(5)
+    pieces = token_pieces(docs, BYTE, 64, 2)
+    passes = []
+    own = type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: (passes.append(schema), own(self, run, schema))[1])
+    found = pack_documents(docs, BYTE, 64, 2)
+    assert len(passes) == 1
+    names = ("doc_id", "piece", "start", "length", "ids_crc32")
+    assert sorted(rows(found, *names)) == sorted(rows(pieces, *names))
+    for _, g in found.toPandas().groupby("sequence_id"):
+        g = g.sort_values("offset")
+        assert g["length"].sum() <= 64 and g["offset"].tolist() == [0, *np.cumsum(g["length"])[:-1]]
+    assert found.select("sequence_id").distinct().count() == pack(pieces, 64).select("sequence_id").distinct().count()
+    assert pack_documents(table(spark, []), BYTE, 64, 2).count() == 0
+
+
+def test_small_batches_are_packed_together():
+    batches = [pa.RecordBatch.from_pydict({"x": list(range(i, i + 3))}) for i in range(0, 12, 3)]
+    assert [[r["x"] for r in held] for held in _gathered(batches, 5)] == [[0, 1, 2, 3, 4, 5], [6, 7, 8, 9, 10, 11]]
+    assert [len(held) for held in _gathered(batches, 8)] == [9, 3] and list(_gathered([], 5)) == []
+
+
 def test_assembled_sequences(spark):
     texts = [prose(i, 8) for i in range(9)]
     tokenizer = load(BYTE)

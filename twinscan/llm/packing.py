@@ -10,7 +10,7 @@ and places travel, not tokens; a task's share is bounded, and the number of bins
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -25,6 +25,8 @@ from twinscan.llm.encoding import ByteEncoder, encoder
 #: A task packs about FAN_IN * CARRIED pieces at once after the first packing.
 FAN_IN = 16
 CARRIED = 4_096
+#: Pieces a task gathers, about, for each run of the first packing.
+GATHERED = 10_000
 #: Bins with at most this share of the capacity free are nearly full.
 NEARLY = 1 / 128
 
@@ -32,10 +34,8 @@ _BIN = "grp long, bin long, done boolean, items array<struct<doc_id:long,piece:i
 _ITEM = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("ids_crc32", pa.int64()), ("offset", pa.int64())])
 
 
-def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32[, ids]) of each document's ids and the end id behind them.
-    A document of more than `capacity` ids is cut from its end into full pieces; the first may be shorter.
-    A null text has the end id alone."""
+def _cutting(path: str, capacity: int, end_id: int, with_ids: bool = False) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What a task of `token_pieces` does with its documents."""
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,8 +57,15 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, doc_id:
             names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [*kinds, *[pa.binary()] * with_ids])], names)
 
+    return run
+
+
+def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32[, ids]) of each document's ids and the end id behind them.
+    A document of more than `capacity` ids is cut from its end into full pieces; the first may be shorter.
+    A null text has the end id alone."""
     schema = "doc_id long, piece int, start long, length int, ids_crc32 long" + ", ids binary" * with_ids
-    return chosen(docs, doc_id, text).mapInArrow(run, schema)
+    return chosen(docs, doc_id, text).mapInArrow(_cutting(path, capacity, end_id, with_ids), schema)
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
@@ -111,19 +118,42 @@ def _packed(group: int, first: int, items: list[list[dict]], capacity: int, near
     )
 
 
+def _gathered(batches: Iterable[pa.RecordBatch], rows: int = GATHERED) -> Iterator[list[dict]]:
+    """The rows of these batches in lists of at least `rows`, but for the last one."""
+    held: list[dict] = []
+    for batch in batches:
+        held += batch.to_pylist()
+        if len(held) >= rows:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
+def _packing_first(capacity: int, nearly: float) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What a task of the first packing does with its pieces."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, first = TaskContext.get().partitionId(), 0
+        for held in _gathered(batches):
+            out = _packed(group, first, [[x] for x in held], capacity, nearly)
+            first += len(out)
+            yield from out.to_batches()
+
+    return run
+
+
 def pack(pieces: DataFrame, capacity: int, nearly: float = NEARLY, fan_in: int = FAN_IN, carried: int = CARRIED) -> DataFrame:
     """Give each piece a sequence and a place: (doc_id, piece, start, length, ids_crc32, sequence_id, offset).
 
     Each row of `pieces` (at most `capacity` long) is placed exactly once; sequences are filled without gaps
     from 0. Equal rows are separate items. An empty table gives an empty one.
     """
+    return _merged(pieces.mapInArrow(_packing_first(capacity, nearly), _BIN), capacity, nearly, fan_in, carried)
 
-    def local(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, first = TaskContext.get().partitionId(), 0
-        for batch in batches:  # a batch of rows (10 000 by default) is packed at once
-            out = _packed(group, first, [[x] for x in batch.to_pylist()], capacity, nearly)
-            first += len(out)
-            yield from out.to_batches()
+
+def _merged(bins: DataFrame, capacity: int, nearly: float = NEARLY, fan_in: int = FAN_IN, carried: int = CARRIED) -> DataFrame:
+    """The result of `pack` from the bins of its first packing."""
 
     def packing(whole: bool):
         def again(key: tuple, group: pa.Table) -> pa.Table:
@@ -138,7 +168,7 @@ def pack(pieces: DataFrame, capacity: int, nearly: float = NEARLY, fan_in: int =
         still = F.when(~F.col("done"), F.size("items"))
         return tuple(x or 0 for x in bins.agg(F.count("*"), F.count(still), F.sum(still), F.max("grp")).first())
 
-    bins = materialize(pieces.mapInArrow(local, _BIN))
+    bins = materialize(bins)
     _, left, n_pieces, last = counted(bins)
     finished, groups, dealt = [bins.where("done")], last + 1, 0
     bins = bins.where("not done")
@@ -172,5 +202,7 @@ def assemble(pieces_with_ids: DataFrame, packed: DataFrame) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Token pieces of whole documents, packed; see `token_pieces` and `pack`."""
-    return pack(token_pieces(docs, path, capacity, end_id, doc_id, text), capacity)
+    """Token pieces of whole documents, packed; see `token_pieces` and `pack`. A task cuts and packs in one Python
+    worker: with one for each of both, all workers of an executor would in time hold an encoder."""
+    cut, fit = _cutting(path, capacity, end_id), _packing_first(capacity, NEARLY)
+    return _merged(chosen(docs, doc_id, text).mapInArrow(lambda batches: fit(cut(batches)), _BIN), capacity)
