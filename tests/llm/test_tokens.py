@@ -116,7 +116,7 @@ def test_packing_of_lengths_clustered_by_partition(spark):
 
 
 def test_documents_are_cut_and_packed_in_one_python_pass(spark, monkeypatch):
-    """A second pass would take a second worker for each core, and all of them would come to hold an encoder."""
+    """A second pass would take a second worker for each core, kept for all later stages."""
     docs = table(spark, awkward() * 4).repartition(5)
     pieces = token_pieces(docs, BYTE, 64, 2)
     passes = []

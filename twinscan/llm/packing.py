@@ -203,6 +203,6 @@ def assemble(pieces_with_ids: DataFrame, packed: DataFrame) -> DataFrame:
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Token pieces of whole documents, packed; see `token_pieces` and `pack`. A task cuts and packs in one Python
-    worker: with one for each of both, all workers of an executor would in time hold an encoder."""
+    worker: with one for each of both, an executor would keep twice as many."""
     cut, fit = _cutting(path, capacity, end_id), _packing_first(capacity, NEARLY)
     return _merged(chosen(docs, doc_id, text).mapInArrow(lambda batches: fit(cut(batches)), _BIN), capacity)
