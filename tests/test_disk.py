@@ -5,7 +5,8 @@ import time
 
 from pyspark.sql import functions as F
 
-from twinscan.operators import pairs
+from twinscan.operators import pairs, scoring
+from twinscan.operators.tokenize import tokenize_files
 from twinscan.sources.tables import job, materialize, step
 
 
@@ -58,3 +59,24 @@ def test_prefix_rows_are_met_by_one_number_and_the_smaller_set_with_fewer_of_the
     assert join.count("spot") == 2 and "band" not in join and "part" not in join, plan
     assert leading.filter("pos = 0").count() == 6 and leading.count() == 6 * 13
     assert {(r.a_key, r.b_key) for r in met.collect()} >= {(i, j) for i in range(6) for j in range(i + 1, 6)}
+
+
+def test_scored_files_are_two_ids_their_facts_and_sequences_once(spark):
+    """Before, the parts and four sequences of either file went with every pair, twice."""
+    codes = [f"def f{i}(a):\n    if a > {i % 3}:\n        a = {'-' if i % 2 else '+'}a\n    return a\nx{i // 4} = [1, 2]\n" for i in range(12)]
+    rows = [(g * 100 + i, g, f"{i}.py", c, "p") for g in (0, 1) for i, c in enumerate(codes)]
+    files = tokenize_files(spark.createDataFrame(rows, "file_id long, group_id int, path string, content string, project string"))
+    with job(spark) as folder:
+        scored = scoring.compare_files(files, ["project"], 0.3)
+        assert len(os.listdir(folder.removeprefix("file:"))) == 2
+        plan = scored._jdf.queryExecution().optimizedPlan().toString()
+        leaves = [x for x in plan.splitlines() if "Relation" in x]
+        assert leaves and not [x for x in leaves if "parts#" in x or "tokens#" in x], plan
+        got = {(r.left_id, r.right_id): r for r in scored.collect()}
+    features = scoring.similarity_features(files.select("file_id", "tokens"))
+    wanted = spark.createDataFrame(list(got), "left_id long, right_id long")
+    whole = scoring.compare_similarity(scoring.attach_features(wanted, features, "file_id"))
+    names = [c for c in whole.columns if c not in ("left_id", "right_id")]
+    assert len(got) >= 3 and any(r.jaccard_similarity < 1 for r in got.values())
+    for r in whole.collect():
+        assert [r[c] for c in names] == [got[r.left_id, r.right_id][c] for c in names]
