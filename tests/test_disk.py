@@ -1,13 +1,17 @@
 """What keeps the disk of a job small: what is stored, what is shuffled, and how long it stays."""
 
+import datetime
 import os
+import threading
 import time
 
 from pyspark.sql import functions as F
 
 from twinscan.operators import pairs, scoring
 from twinscan.operators.tokenize import tokenize_files
-from twinscan.sources.tables import job, materialize, step
+from twinscan.sources.tables import job, materialize, scratch_folder, step
+from twinscan.streaming import incremental
+from twinscan.streaming.arrival_index import ArrivalIndex
 
 
 def shuffle_files(spark):
@@ -80,3 +84,26 @@ def test_scored_files_are_two_ids_their_facts_and_sequences_once(spark):
     assert len(got) >= 3 and any(r.jaccard_similarity < 1 for r in got.values())
     for r in whole.collect():
         assert [r[c] for c in names] == [got[r.left_id, r.right_id][c] for c in names]
+
+
+def test_a_batch_leaves_the_index_and_its_pairs_only(spark, tmp_path):
+    """Its own tables go with it, in its thread; contents without a project meet each other, and copies need no parts."""
+    at = datetime.datetime(2024, 1, 1)
+    words = [f"w{i}" for i in range(20)]
+    sets = [words, [*words[1:], "new"], words, [f"v{i}" for i in range(20)]]
+    rows = [(f"{p}{i}", p, f"g{i}", "s", at + datetime.timedelta(hours=i), s) for p in ("x", None) for i, s in enumerate(sets)]
+    schema = "id string, project string, group_id string, step string, upload_time timestamp, parts array<string>"
+    with job(spark) as folder:
+        incremental.compare_batch(spark.createDataFrame(rows, schema), ArrivalIndex(spark, f"{tmp_path}/i", "r", 0, 4), f"{tmp_path}/p", 0.7)
+        assert not os.path.exists(folder.removeprefix("file:")) or not os.listdir(folder.removeprefix("file:"))
+        assert threading_scratch(spark) != folder
+    got = {(r.submission_id, r.compared_submission_id) for r in incremental.read_pairs(spark, f"{tmp_path}/p").collect()}
+    assert got == {(f"{p}{i}", f"{p}{j}") for p in ("x", None) for i, j in ((1, 0), (2, 0), (2, 1))}
+
+
+def threading_scratch(spark):
+    found = []
+    thread = threading.Thread(target=lambda: found.append(scratch_folder(spark)))
+    thread.start()
+    thread.join()
+    return found[0]
