@@ -2,12 +2,14 @@
 
 import datetime
 import os
+import random
 import threading
 import time
 
 from pyspark.sql import functions as F
 
-from twinscan.operators import pairs, scoring
+from twinscan.functions import kernels
+from twinscan.operators import pairs, scoring, sequences
 from twinscan.operators.tokenize import tokenize_files
 from twinscan.sources.tables import job, materialize, scratch_folder, step
 from twinscan.streaming import incremental
@@ -107,3 +109,54 @@ def threading_scratch(spark):
     thread.start()
     thread.join()
     return found[0]
+
+
+def test_submissions_are_keyed_without_holding_their_sequences(spark):
+    """Equal concatenations have one key wherever files are cut; order, operators, parts and sizes count."""
+    schema = "project string, submission_id string, path string, n_tokens int, parts array<string>, types array<string>, structural array<string>, flow array<string>, ops array<string>"
+
+    def files(name, *cut, parts=("p", "q", " ")):
+        return [("x", name, f"{i}.py", 2, list(parts) if i == 0 else ["q"], list(t), list(t.upper()), [], list(o)) for i, (t, o) in enumerate(cut)]
+
+    rows = [
+        *files("a", ("ab", "+"), ("ca", "-")), *files("same", ("abc", ""), ("a", "+-")), *files("parts", ("ab", "+"), ("ca", "-"), parts=["q", "p", "p"]),
+        *files("order", ("ba", "+"), ("ca", "-")), *files("ops", ("ab", "-"), ("ca", "+")), *files("other", ("ab", "+"), ("ca", "-"), parts=["z"]),
+        *files("more", ("ab", "+"), ("ca", "-"), ("", "")), *files("none", ("", ""), parts=[" "]),
+    ]
+    features = spark.createDataFrame(rows, schema)
+    keys = {r.submission_id: r._key for r in sequences.submission_keys(features).collect()}
+    assert keys["a"] == keys["same"] == keys["parts"] and len(set(keys.values())) == 6
+    plan = sequences.submission_keys(features)._jdf.queryExecution().optimizedPlan().toString()
+    collected = [x for x in plan.splitlines() if "collect_list" in x]
+    assert collected and not [x for x in collected if "structural" in x or "flow" in x], plan
+    sets = {r.id: (r.parts, r._key) for r in sequences.submission_sets(features).collect()}
+    assert sets["a"] == (["p", "q"], keys["a"]) and sets["none"] == ([], keys["none"])
+
+
+def test_rows_of_the_lcs_are_masked_now_and_then(spark):
+    """Same lengths as one mask a step over long sequences, in clearly less time."""
+
+    def masked_each_step(a, b):
+        where, full = {}, (1 << len(a)) - 1
+        for i, x in enumerate(a):
+            where[x] = where.get(x, 0) | (1 << i)
+        row = full
+        began = time.process_time()
+        for y in b:
+            hit = row & where.get(y, 0)
+            row = ((row + hit) | (row - hit)) & full
+        return len(a) - row.bit_count(), time.process_time() - began
+
+    rnd = random.Random(5)
+    for n in (1, 64, 1023, 1024, 1025, 5000):
+        a, b = ([rnd.randrange(4) for _ in range(n)] for _ in range(2))
+        assert kernels.lcs_length(a, b) == masked_each_step(a, b)[0]
+    a = [9, *[rnd.randrange(6) for _ in range(60_000)]]
+    b = [8, *[rnd.randrange(6) for _ in range(60_000)]]
+    times = []
+    for _ in range(3):
+        began = time.process_time()
+        found = kernels.lcs_length(a, b)
+        times.append(time.process_time() - began)
+    wanted, took = masked_each_step(a, b)
+    assert found == wanted and min(times) < 0.85 * took

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinscan.functions import similarity as sim
@@ -10,6 +10,9 @@ from twinscan.functions.kernels import lcs_similarity
 from twinscan.operators.pairs import content_key, threshold_pairs
 
 SEQUENCES = ["types", "structural", "flow", "ops"]
+# Four moduli below 2^31, so that products fit a long, and a base for each; together 124 bits.
+PRIMES = [2147483647, 2147483629, 2147483587, 2147483579]
+BASES = [1103515245, 1664525127, 1229782938, 1597334677]
 
 
 def submission_sequences(features: DataFrame) -> DataFrame:
@@ -29,19 +32,65 @@ def submission_sequences(features: DataFrame) -> DataFrame:
     )
 
 
+def sequence_hash(sequence: Column) -> Column:
+    """A polynomial hash of a sequence by each of `PRIMES`, and what the hash of all that stands before it has to be multiplied
+    by, as a struct. So the hash of a concatenation comes from those of its pieces, wherever they are cut."""
+    start = F.struct(*[F.lit(x).cast("bigint").alias(f"{p}{i}") for i in range(len(PRIMES)) for p, x in (("h", 0), ("b", 1))])
+
+    def add(s: Column, x: Column) -> Column:
+        made = []
+        for i, (p, b) in enumerate(zip(PRIMES, BASES)):
+            made += [((s[f"h{i}"] * b + F.pmod(F.xxhash64(x, F.lit(i)), F.lit(p)) + 1) % p).alias(f"h{i}"), ((s[f"b{i}"] * b) % p).alias(f"b{i}")]
+        return F.struct(*made)
+
+    return F.aggregate(F.coalesce(sequence, F.array().cast("array<string>")), start, add)
+
+
+def joined_hash(pieces: Column, name: str) -> Column:
+    """The hash of the concatenation of pieces (structs with a `sequence_hash` each), as an array."""
+    start = F.struct(*[F.lit(0).cast("bigint").alias(f"h{i}") for i in range(len(PRIMES))])
+
+    def add(s: Column, x: Column) -> Column:
+        return F.struct(*[((s[f"h{i}"] * x[name][f"b{i}"] + x[name][f"h{i}"]) % p).alias(f"h{i}") for i, p in enumerate(PRIMES)])
+
+    total = F.aggregate(pieces, start, add)
+    return F.array(*[total[f"h{i}"] for i in range(len(PRIMES))])
+
+
+def submission_keys(features: DataFrame) -> DataFrame:
+    """(project, submission_id, _key): submissions of one key have the same parts, concatenated sequences, tokens and number of
+    files. Nothing of a submission is held in one row but three numbers and two hashes a file; types give structure and flow.
+    Paths are taken to differ within a submission."""
+    keys = ["project", "submission_id"]
+    files = features.select("submission_id", "path", "n_tokens", *[sequence_hash(F.col(s)).alias(s) for s in ("types", "ops")])
+    whole = files.groupBy("submission_id").agg(
+        F.sum("n_tokens").alias("n_tokens"),
+        F.count("*").alias("files_count"),
+        F.array_sort(F.collect_list(F.struct("path", "types", "ops"))).alias("files"),
+    )
+    hashed = whole.select("submission_id", "n_tokens", "files_count", *[joined_hash(F.col("files"), s).cast("array<string>").alias(s) for s in ("types", "ops")])
+    # Also those without a part that counts.
+    parts = features.select(*keys, F.explode_outer("parts").alias("part")).distinct()
+    usable = F.length(F.trim("part")) > 0
+    hashes = [F.when(usable, F.xxhash64("part", F.lit(i))) for i in range(4)]
+    sums = parts.groupBy(*keys).agg(
+        F.count_if(usable).alias("n_parts"),
+        *[F.sum(h.cast("decimal(20,0)")).alias(f"sum{i}") for i, h in enumerate(hashes[:2])],
+        *[F.bit_xor(h).alias(f"xor{i}") for i, h in enumerate(hashes[2:])],
+    )
+    digits = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("n_tokens", "files_count", "n_parts", "sum0", "sum1", "xor0", "xor1")]
+    # Hashed by partition, so that neither side is sent to the driver for its small files.
+    return sums.join(hashed.hint("shuffle_hash"), "submission_id").select(*keys, content_key(F.col("types"), F.col("ops"), F.array(*digits)).alias("_key"))
+
+
 def submission_sets(features: DataFrame) -> DataFrame:
     """Rows of submissions (project, id, group_id, parts) for pairs and classes. Submissions of one `_key`
     have equal values of every metric against any third; their groups play no part."""
     usable = F.filter(F.array_distinct(F.flatten(F.collect_list("parts"))), lambda p: F.length(F.trim(p)) > 0)
     sets = features.groupBy("project", "submission_id").agg(F.array_sort(usable).alias("parts"))
-    sizes = F.array(F.col("n_tokens").cast("string"), F.col("files_count").cast("string"))
-    return sets.hint("merge").join(submission_sequences(features), "submission_id").select(
-        "project",
-        F.col("submission_id").alias("id"),
-        F.lit("").alias("group_id"),
-        "parts",
-        content_key(F.col("parts"), *[F.col(s) for s in SEQUENCES], sizes).alias("_key"),
-    )
+    keyed = submission_keys(features).withColumnsRenamed({"project": "_project", "submission_id": "id"})
+    same = (F.col("submission_id") == F.col("id")) & F.col("project").eqNullSafe(F.col("_project"))
+    return sets.hint("merge").join(keyed, same).select("project", "id", F.lit("").alias("group_id"), "parts", "_key")
 
 
 def submission_pairs(sets: DataFrame, threshold: float) -> DataFrame:
