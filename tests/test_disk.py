@@ -160,3 +160,12 @@ def test_rows_of_the_lcs_are_masked_now_and_then(spark):
         times.append(time.process_time() - began)
     wanted, took = masked_each_step(a, b)
     assert found == wanted and min(times) < 0.85 * took
+
+
+def test_candidates_are_stored_before_sketches_travel(spark, monkeypatch):
+    """The leading entries, the candidates and the sketches each stand on their own, so the shuffles of one step are gone in the next."""
+    written = []
+    store = pairs.materialize
+    monkeypatch.setattr(pairs, "materialize", lambda df: (written.append(set(df.columns)), store(df))[1])
+    assert pairs.threshold_pairs(sets(spark), ["scope"], 0.7).count() == 60
+    assert [c for c in written if "lead" in c] and {"a_key", "b_key"} in written and [c for c in written if "sketch" in c]
